@@ -31,7 +31,8 @@ from graphloom.llm.text import Words, mix, pieces
 
 SHINGLE = 3
 REGISTERS = 64
-ROWS = 4
+#: 21 bands of 3: a pair at the threshold shares a band with probability 1 - (1 - 0.5**3)**21 = 0.94, a likelier one more.
+ROWS = 3
 THRESHOLD = 0.5
 STAR_ROUNDS = 3
 SALT_ROWS = 4096
