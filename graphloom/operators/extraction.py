@@ -77,16 +77,24 @@ def resolve_names(names: list[str], threshold: float = 0.85) -> dict[str, str]:
     return out
 
 
-def resolve(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(doc_id, type, name, canonical) of entities (doc_id, type, name, idx), for each type of each document by itself."""
+@F.pandas_udf(ArrayType(StringType()))
+def _canonical(names: pd.Series) -> pd.Series:
+    out = []
+    for n in names:
+        got = resolve_names(list(n))
+        out.append([got.get(x) for x in n])
+    return pd.Series(out, index=names.index)
+
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        names = list(dict.fromkeys(rows.sort_values("idx", kind="stable")["name"]))
-        got = resolve_names(names, threshold)
-        return pd.DataFrame([(*key, n, c) for n, c in got.items()], columns=["doc_id", "type", "name", "canonical"], dtype=object)
+def resolve(entities: DataFrame) -> DataFrame:
+    """(doc_id, type, name, canonical) of entities (doc_id, type, name, idx), for each type of each document by itself.
 
-    doc = entities.schema["doc_id"].dataType.simpleString()
-    return entities.select("doc_id", "type", "name", "idx").groupBy("doc_id", "type").applyInPandas(run, f"doc_id {doc}, type string, name string, canonical string")
+    A type with one name has no mapping. Names are gathered into one array a group, so that a batch carries many groups.
+    """
+    first = entities.groupBy("doc_id", "type", "name").agg(F.min("idx").alias("idx"))
+    groups = first.groupBy("doc_id", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("names")).where("size(names) > 1")
+    got = groups.select("doc_id", "type", F.explode(F.arrays_zip("names", _canonical("names").alias("canonical"))).alias("x"))
+    return got.select("doc_id", "type", F.col("x.names").alias("name"), F.col("x.canonical").alias("canonical"))
 
 
 def map_relations(triples: DataFrame, mapping: DataFrame) -> DataFrame:
