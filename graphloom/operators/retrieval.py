@@ -207,7 +207,7 @@ def dfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], vectors: DataFrame
         got = dfs_order(start, near, sim, max_depth, threshold, max_nodes)
         return pd.DataFrame([(x, d, i) for i, (x, d) in enumerate(got)], columns=["id", "depth", "position"])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(walk, "id string, depth int, position int")
+    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(walk, "id string, depth int, position int")
 
 
 # Retrieval -----------------------------------------------------------------------------------------------------------

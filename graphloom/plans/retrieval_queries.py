@@ -17,19 +17,24 @@ from graphloom.sources.textgraph import TRIPLES, chunks, mentions, triples
 
 VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
 ALL_PAIRS = f"{VEC}, pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, b.label, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b WHERE a.vec_id <> b.vec_id)"
-KNN = "SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {src}) WHERE rank <= {k}"
+KNN = "SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {src}) WHERE rank <= {k}"
 
 
 def vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings")
 
 
+def shown(found: DataFrame) -> DataFrame:
+    """Scores to six places, as they are compared with other engines' sums."""
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("g18_mock_embeddings")
 def g18_mock_embeddings(s: SparkSession, d: str) -> DataFrame:
     return V.attach_embeddings(nodes(s, d).select("id"))
 
 
-@query("g19_similarity_edges", f"WITH {VEC} SELECT a.vec_id AS source, b.vec_id AS target, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 9) >= 0.35")
+@query("g19_similarity_edges", f"WITH {VEC} SELECT a.vec_id AS source, b.vec_id AS target, round(round(list_cosine_similarity(a.e, b.e), 9), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 9) >= 0.35")
 def g19_similarity_edges(s: SparkSession, d: str) -> DataFrame:
     return V.similar_pairs(vectors(s, d), 0.35).withColumn("score", F.round("score", 6))
 
@@ -51,10 +56,10 @@ def v1_validation(s: SparkSession, d: str) -> DataFrame:
 
 @query("v2_exact_knn", f"WITH {ALL_PAIRS} {KNN.format(src='pairs', k=5)}")
 def v2_exact_knn(s: SparkSession, d: str) -> DataFrame:
-    return V.knn(vectors(s, d), vectors(s, d), 5)
+    return shown(V.knn(vectors(s, d), vectors(s, d), 5))
 
 
-@query("v3_score_transforms", f"""WITH {ALL_PAIRS}, d AS (SELECT query_id, vec_id, 2 - 2 * score AS d FROM ({KNN.format(src='pairs', k=5)}))
+@query("v3_score_transforms", f"""WITH {ALL_PAIRS}, d AS (SELECT query_id, vec_id, 2 - 2 * score AS d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5)
 SELECT query_id, vec_id, round(1 - d / 2, 6) AS cosine, round(CASE WHEN d <= 1 THEN 1 - d ELSE 1 / (1 + d) END, 6) AS bounded, round(1 / (1 + d), 6) AS inverse, round(1 - d, 6) AS native FROM d""")
 def v3_score_transforms(s: SparkSession, d: str) -> DataFrame:
     found = V.knn(vectors(s, d), vectors(s, d), 5).withColumn("d", 2 - 2 * F.col("score"))
@@ -68,12 +73,12 @@ def v4_ivf_search(s: SparkSession, d: str) -> DataFrame:
 
 @query("v5_filtered_search", f"WITH {ALL_PAIRS} {KNN.format(src='(SELECT * FROM pairs WHERE label IN (1, 2))', k=5)}")
 def v5_filtered_search(s: SparkSession, d: str) -> DataFrame:
-    return V.search(vectors(s, d), vectors(s, d), 5, {"label": {"$in": [1, 2]}})
+    return shown(V.search(vectors(s, d), vectors(s, d), 5, {"label": {"$in": [1, 2]}}))
 
 
 @query("v5_post_filtered_search", f"WITH {ALL_PAIRS}, k AS ({KNN.format(src='pairs', k=5)}) SELECT k.* FROM k SEMI JOIN (SELECT vec_id FROM v WHERE label IN (1, 2)) USING (vec_id)")
 def v5_post_filtered_search(s: SparkSession, d: str) -> DataFrame:
-    return V.search(vectors(s, d), vectors(s, d), 5, {"label": {"$in": [1, 2]}}, post_filter=True).select("query_id", "vec_id", "score", "rank")
+    return V.search(vectors(s, d), vectors(s, d), 5, {"label": {"$in": [1, 2]}}, post_filter=True).transform(shown).select("query_id", "vec_id", "score", "rank")
 
 
 @query("v6_upsert", "SELECT vec_id, label FROM embeddings WHERE label <> 2 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE label = 2 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE label = 5")
@@ -255,7 +260,7 @@ def r11_hybrid_vector_only(s: SparkSession, d: str) -> DataFrame:
     return R.hybrid(near, same, 10, "weighted").withColumn("score", F.round("score", 6))
 
 
-@query("r1_rag_retrieve", f"WITH {ALL_PAIRS} SELECT k.query_id, k.vec_id, k.rank, round(k.score, 6) AS score, text FROM ({KNN.format(src='pairs', k=3)}) k JOIN documents ON doc_id = vec_id")
+@query("r1_rag_retrieve", f"WITH {ALL_PAIRS} SELECT k.query_id, k.vec_id, k.rank, k.score, text FROM ({KNN.format(src='pairs', k=3)}) k JOIN documents ON doc_id = vec_id")
 def r1_rag_retrieve(s: SparkSession, d: str) -> DataFrame:
     """Every vector retrieves the texts of its three nearest."""
     found = V.knn(vectors(s, d), vectors(s, d), 3)
