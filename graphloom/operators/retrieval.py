@@ -197,13 +197,15 @@ def dfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], vectors: DataFrame
         rows = rows.unionByName(sims.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("edge_idx"), F.col("id").alias("a"), F.col("id").alias("b"), "sim"))
     start = [r["id"] for r in _seed_table(nodes, seeds).orderBy("rank").collect()]  # as many as seeds
 
+    prune = sims is not None
+
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}
         for a, b in g[g["kind"] == 0].sort_values("edge_idx")[["a", "b"]].itertuples(index=False):
             near.setdefault(a, []).append(b)
             near.setdefault(b, []).append(a)
         near = {a: list(dict.fromkeys(b)) for a, b in near.items()}
-        sim = dict(g[g["kind"] == 1][["a", "sim"]].itertuples(index=False)) if sims is not None else None
+        sim = dict(g[g["kind"] == 1][["a", "sim"]].itertuples(index=False)) if prune else None
         got = dfs_order(start, near, sim, max_depth, threshold, max_nodes)
         return pd.DataFrame([(x, d, i) for i, (x, d) in enumerate(got)], columns=["id", "depth", "position"])
 

@@ -260,7 +260,7 @@ def attach_embeddings(nodes: DataFrame, provider: EmbeddingProvider | None = Non
     @F.pandas_udf(ArrayType(DoubleType()))
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            known = part.dropna()
-            yield pd.Series(provider.embed_batch(known.to_list()), index=known.index, dtype=object).reindex(part.index)
+            found = iter(provider.embed_batch(part.dropna().to_list()))
+            yield pd.Series([None if missing else next(found) for missing in part.isna()], index=part.index, dtype=object)
 
     return nodes.withColumn("embedding", embed(text_col))
