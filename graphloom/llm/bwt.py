@@ -67,38 +67,33 @@ def merge(bwts: list[np.ndarray], n_ends: list[int], depth: int) -> tuple[np.nda
     b = np.concatenate(bwts)
     n, sizes = len(b), np.array([len(x) for x in bwts])
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    shard = np.repeat(np.arange(len(bwts)), sizes).astype(np.uint16)
     q = int(sum(n_ends))
-    head = np.repeat(np.arange(len(bwts)), n_ends).astype(np.uint16)  # the terminators' rows, the same in each round
-    z = np.concatenate([head, np.repeat(np.arange(len(bwts)), sizes - np.array(n_ends)).astype(np.uint16)])
+    # where each row's suffix goes when the symbol before it is put in front: fixed for each shard, whatever the interleave
+    ahead = np.zeros(n, dtype=np.int32)
+    for t, start, k in zip(bwts, base, n_ends):
+        ahead[start + np.argsort(t, kind="stable")[k:]] = np.arange(start + k, start + len(t), dtype=np.int32)
+    heads = np.concatenate([np.arange(s, s + k, dtype=np.int32) for s, k in zip(base, n_ends)])  # the terminators' rows, the same in each round
+    rows = np.concatenate([heads, *(np.arange(s + k, s + m, dtype=np.int32) for s, k, m in zip(base, n_ends, sizes))])
     lcp = np.full(n, depth, dtype=np.int16)
     lcp[: q + 1] = 0
     bound = np.zeros(n, dtype=bool)
     bound[0] = True  # before the first round all rows, terminators too, are one group
-    rows = np.empty(n, dtype=np.int64)
-
-    def place(z: np.ndarray) -> None:  # each shard's rows stay in its own order
-        if len(bwts) == 1:
-            rows[:] = np.arange(n)
-        else:
-            rows[np.argsort(z, kind="stable")] = np.arange(n)
-
-    place(z)
+    tally = np.bincount(b)
+    edge = np.zeros(n, dtype=bool)  # where the sorted symbols change, the same in each round
+    edge[: q + 1] = True
+    edge[np.cumsum(tally[tally > 0])[:-1]] = True
     for h in range(1, depth + 1):
-        sym = b[rows]
-        block = np.cumsum(bound, dtype=np.int32)
-        order = np.argsort(sym, kind="stable")[q:]  # radix sort of 16 bits; the terminators' places are known
-        s, k = sym[order], block[order]
-        fresh = np.ones(n, dtype=bool)
-        fresh[q + 1 :] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-        fresh |= bound
-        parted = fresh & ~bound
+        order = np.argsort(b[rows], kind="stable")[q:]  # radix sort of 16 bits; the terminators' places are known
+        both = (rows.astype(np.int64) << 32 | np.cumsum(bound, dtype=np.int32))[order]
+        block = both.astype(np.int32)
+        fresh = bound | edge
+        fresh[q + 1 :] |= block[1:] != block[:-1]
+        parted = np.flatnonzero(fresh != bound)
         lcp[parted] = h - 1
-        new = np.concatenate([head, shard[rows[order]]]) if len(bwts) > 1 else z
-        if not parted.any() and np.array_equal(new, z):
+        new = np.concatenate([heads, ahead[both >> 32]])
+        if not len(parted) and np.array_equal(new, rows):
             break  # all intervals are final
-        z, bound = new, fresh
-        place(z)
+        rows, bound = new, fresh
     return rows, lcp
 
 
