@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][\w:-]*))")
+_STOP = re.compile(r"[>\"']")
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe textarea select".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _PARAGRAPH = frozenset("p pre td blockquote".split())
@@ -32,12 +34,59 @@ _TAG_BONUS = {"article": 8.0, "main": 8.0, "section": 3.0, "div": 3.0, "pre": 3.
 _SPACES = re.compile(r"\s+")
 
 
+def tokens(html: str) -> Iterator[tuple[bool, str | None, str, int, int]]:
+    """(end tag, name, attributes, start, end) of each tag, and with name None of comments, declarations and elements whose content isn't read.
+
+    One pass: a tag ends at the first > outside quotes. Where quotes run to the end of the page they are not believed any
+    more, neither there nor later; where no > is left, what remains is text.
+    """
+    at, quoted = 0, True
+    while True:
+        m = _OPEN.search(html, at)
+        if m is None:
+            return
+        start, i = m.start(), m.end()
+        if m[1]:
+            end = html.find("-->", i)
+            at = len(html) if end < 0 else end + 3
+            yield False, None, "", start, at
+            continue
+        end = -1
+        while quoted and not m[2]:
+            stop = _STOP.search(html, i)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            i = html.find(stop[0], stop.end()) + 1
+            if not i:
+                break
+        if end < 0:
+            quoted = quoted and bool(m[2])
+            end = html.find(">", m.end())
+        if end < 0:
+            return
+        at = end + 1
+        if m[2]:
+            yield False, None, "", start, at
+            continue
+        name = m[4].lower()
+        if name in _RAW and not m[3]:
+            close = _RAW[name].search(html, at)
+            at = close.end() if close else len(html)
+            yield False, None, "", start, at
+        else:
+            yield bool(m[3]), name, html[m.end() : end], start, at
+
+
 def extract(html: str | None) -> tuple[str, str, float, int]:
     """Title, text, score and number of paragraphs of a page."""
     if not html:
         return "", "", 0.0, 0
     tag, parent, attrs, texts = ["#root"], [-1], [""], []  # texts: (node, text) in order
     stack = [0]
+    opened: dict[str, int] = {}  # open elements by name: an end tag without one is skipped
     title, pos = "", 0
 
     def add(raw: str) -> None:
@@ -47,26 +96,31 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
         elif t and texts:
             texts.append((stack[-1], " "))
 
+    def leave(i: int) -> None:
+        for k in stack[i:]:
+            opened[tag[k]] -= 1
+        del stack[i:]
+
     def close(names: frozenset[str] | set[str], fence: frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if tag[stack[i]] in names:
-                del stack[i:]
+                leave(i)
                 return
             if tag[stack[i]] in fence:
                 return
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > pos:
-            add(html[pos : m.start()])
-        pos = m.end()
-        name = m[3]
+    for slash, name, attributes, start, end in tokens(html):
+        if start > pos:
+            add(html[pos:start])
+        pos = end
         if name is None:
             continue
-        name = name.lower()
-        if m[2]:
+        if slash:
+            if not opened.get(name):
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if tag[stack[i]] == name:
-                    del stack[i:]
+                    leave(i)
                     break
                 if tag[stack[i]] in ("td", "table", "body") and name not in _BLOCK:
                     break
@@ -83,9 +137,10 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
                 close({"dd", "dt"}, frozenset(("dl",)))
         tag.append(name)
         parent.append(stack[-1])
-        attrs.append(m[4] or "")
-        if name not in _VOID and not (m[4] or "").endswith("/"):
+        attrs.append(attributes)
+        if name not in _VOID and not attributes.endswith("/"):
             stack.append(len(tag) - 1)
+            opened[name] = opened.get(name, 0) + 1
     if pos < len(html):
         add(html[pos:])
 
@@ -116,6 +171,9 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
     if not length[0]:
         return title.strip(), "", 0.0, 0
     score: dict[int, float] = {}
+    holder = [-1] * n  # the nearest container above
+    for i in range(1, n):
+        holder[i] = parent[i] if parent[i] <= 0 or tag[parent[i]] in _CONTAINER else holder[parent[i]]
 
     def give(i: int, points: float) -> None:
         if i not in score:
@@ -129,9 +187,7 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
         if tag[i] in _PARAGRAPH and length[i] >= 25 and not (tag[i] == "td" and commas[i] == 0 and length[i] < 80):
             points = 1.0 + commas[i] + min(length[i] / 100.0, 3.0)
             points *= 1.0 - linked[i] / length[i]
-            up = parent[i]
-            while up > 0 and tag[up] not in _CONTAINER:
-                up = parent[up]
+            up = holder[i]
             if up >= 0:
                 give(up, points)
                 if up > 0:
