@@ -170,12 +170,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         index, queries = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if not len(index) or not len(queries):
-            return pd.DataFrame({"u": [], "v": []})
+            return pd.DataFrame([], columns=["u", "v"], dtype=object)
         first, words = shared.value
         x, q = np.stack(index["vec"].to_list()).astype(np.float32), np.stack(queries["vec"].to_list()).astype(np.float32)
         codes = np.frombuffer(b"".join(index["codes"]), dtype=np.uint8).reshape(len(index), -1)
         got = search(q, queries["vec_id"].to_numpy(), x, index["vec_id"].to_numpy(), codes, index["error"].to_numpy(), first[key[0]], words, threshold)
-        return pd.DataFrame([g[:2] for g in got], columns=["u", "v"])
+        return pd.DataFrame([g[:2] for g in got], columns=["u", "v"], dtype=None if got else object)
 
     pairs = placed.groupBy("cell").applyInPandas(solve, f"u {id_type}, v {id_type}")
     return components(equal.unionByName(pairs.select("u", "v"))).select(F.col("doc_id").alias("vec_id"), F.col("keeper").alias("keeper_id"))

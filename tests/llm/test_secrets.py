@@ -1,0 +1,71 @@
+import pytest
+
+from graphloom.llm import secrets
+
+KEY = "9f8aQ2xLmN4pR7tVw1Yz"
+DOCS = "doc_id long, text string, n_chars long"
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (f'password = "{KEY}"', ["password"]),
+        (f"export DB_PASSWORD={KEY}", ["DB_PASSWORD"]),
+        (f'"apiKey": "{KEY}",', ["apiKey"]),
+        (f"client_secret: '{KEY}'", ["client_secret"]),
+        (f'config["auth_token"] = "{KEY}"', ["auth_token"]),
+        (f"--api-key={KEY}", ["api-key"]),
+        (f'a = "{KEY[:10]}"\nb = "{KEY[10:]}"\npassword = a + b', ["password"]),
+        (f'x = "{KEY}"\ny = x\nsecret_key = y', ["secret_key"]),
+        (f'x := "{KEY}"; token => x', ["token"]),
+        ('password = "changeme"', []),
+        ('password = "<your password>"', []),
+        ('password = "${DB_PASS}"', []),
+        (f'title = "{KEY}"', []),
+        ("max_tokens = 4096", []),
+        (f'public_key_id = "{KEY}"', []),
+        (f'if password == "{KEY}":', []),
+        ("the password is long and nobody knows it", []),
+        ("the secret: of life, and tokens", []),
+        ("http://x.example:80/a?b=c", []),
+        ("", []),
+    ],
+)
+def test_assignments(text, names):
+    assert [f[2] for f in secrets.scan(text)] == names
+
+
+def test_values_are_put_together():
+    found = secrets.scan(f'a = "{KEY[:10]}"\npassword = a + "{KEY[10:]}"')
+    assert [f[4] for f in found] == [KEY]
+
+
+def test_redaction(spark, rows):
+    data = [(1, f'é x = 1\npassword = "{KEY}" # end', 40), (2, None, None), (3, "", 0), (None, f"token: {KEY}", 5), (4, "clean: text", 11), (1, f'password = "{KEY}"', 9)]
+    df = spark.createDataFrame(data, DOCS).selectExpr("*", "1 AS start", "2 AS name")
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    text = sorted((str(r["doc_id"]), r["text"], r["n_chars"]) for r in got.collect())
+    assert ("1", 'é x = 1\npassword = "[REDACTED]" # end', 37) in text and ("2", None, None) in text and ("3", "", 0) in text and ("4", "clean: text", 11) in text
+    assert all(KEY not in (t or "") for _, t, _ in text)
+    found = secrets.find_secrets(df).collect()
+    assert len(found) == 3 and all(KEY not in str(r) for r in found)
+    by = {i: t for i, t, _ in data}
+    assert all(KEY in by[r["doc_id"]][r["start"] : r["end"]] for r in found if r["doc_id"] != 1)
+    assert secrets.find_secrets(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(secrets.scan("word: word = a.b.c-d " * 50_000 + f'password = "{KEY}"')) == 1
+    for bad in ("a" * 400_000, '"' * 200_000, "=" * 200_000, "a." * 200_000, "a:'" * 100_000, "a = b + " * 50_000):
+        secrets.scan(bad)
+    assert time.time() - began < 30
+
+
+def test_redacting_again_changes_nothing(spark):
+    df = spark.createDataFrame([(1, f'password = "{KEY}"', 1)], DOCS)
+    once = secrets.redact(df)
+    assert secrets.redact(once).collect() == once.collect()
