@@ -9,7 +9,7 @@ from graphloom.operators import exports as E
 from graphloom.operators.relations import TYPES
 from graphloom.plans.catalog import query
 from graphloom.plans.cluster_queries import MEMBERS, members
-from graphloom.plans.graph_queries import DETAIL, DETAIL_SQL
+from graphloom.plans.graph_queries import DETAIL_SQL, detail
 from graphloom.plans.service import standard_types
 from graphloom.plans.retrieval_queries import _TOP_CHUNKS, _provenance
 from graphloom.sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
@@ -20,7 +20,7 @@ FULL = f"{MEMBERS}, full_edges AS (SELECT *, {DETAIL_SQL} FROM edges), deg AS (S
 
 
 def full_edges(s: SparkSession, d: str) -> DataFrame:
-    return edges(s, d).select("*", DETAIL)
+    return edges(s, d).select("*", detail())
 
 
 def weighted_edges(s: SparkSession, d: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.plans.catalog import query
 from graphloom.sources.tables import EDGES_SQL, GRAPH, NODES_SQL, PLACES, edges, nodes, table
 
-DETAIL = F.concat_ws(" ", "source", "relationship_type", "target").alias("relationship_detail")
 DETAIL_SQL = "source || ' ' || relationship_type || ' ' || target AS relationship_detail"
 
 
+def detail() -> Column:
+    return F.concat_ws(" ", "source", "relationship_type", "target").alias("relationship_detail")
+
+
 @query("g0_nodes", NODES_SQL)
 def g0_nodes(s: SparkSession, d: str) -> DataFrame:
     return nodes(s, d)
@@ -103,7 +106,7 @@ split AS (
 
 
 def _split(s: SparkSession, d: str) -> DataFrame:
-    return G.hub_split(edges(s, d).select("source", "target", "relationship_type", DETAIL), 60)
+    return G.hub_split(edges(s, d).select("source", "target", "relationship_type", detail()), 60)
 
 
 @query("g14_hub_split", HUB_SQL + "SELECT * FROM split")
