@@ -63,7 +63,7 @@ def retrieval(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def coverage(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """M5: names found in any chunk over chunks (the reference's "precision", which can exceed 1), over names, and F1."""
+    """M5: names found in any chunk, over chunks (called precision, though it can exceed 1), over names, and their F1."""
     from graphloom.operators.retrieval import containing
 
     found = containing(chunks.select(F.monotonically_increasing_id().alias("chunk"), "text"), names, "chunk").select(F.lower("name").alias("name")).distinct()

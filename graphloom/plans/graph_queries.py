@@ -152,7 +152,7 @@ def s9_property_nodes(s: SparkSession, d: str) -> DataFrame:
     return property_nodes(nodes(s, d)).select("id", "name", "labels")
 
 
-@query("s10_property_edges", """SELECT source, target, upper(replace('ships to', ' ', '_')) AS label, max_by(confidence, edge_idx) AS weight FROM
+@query("s10_property_edges", """SELECT source, target, upper(replace('ships to', ' ', '_')) AS label, max({'i': edge_idx, 'w': confidence}).w AS weight FROM
 (SELECT 'supplier:' || l_suppkey AS source, 'part:' || l_partkey AS target, 1 - l_discount AS confidence, l_orderkey * 10 + l_linenumber AS edge_idx FROM lineitem) GROUP BY source, target""")
 def s10_property_edges(s: SparkSession, d: str) -> DataFrame:
     from graphloom.sources.files import property_edges

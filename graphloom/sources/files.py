@@ -72,9 +72,9 @@ def property_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def property_edges(edges: DataFrame) -> DataFrame:
-    """One row for (source, label, target), the last one wins; weight is confidence, else weight, else 1."""
+    """One row for (source, label, target), the last one wins (of equal edge_idx the heaviest); weight is confidence, else weight, else 1."""
     label = F.upper(F.replace(F.coalesce("relationship_type", F.lit("relates to")), F.lit(" "), F.lit("_")))
-    return edges.withColumn("label", label).groupBy("source", "label", "target").agg(F.max_by(F.coalesce("confidence", "weight", F.lit(1.0)), "edge_idx").alias("weight"))
+    return edges.withColumn("label", label).groupBy("source", "label", "target").agg(F.max(F.struct("edge_idx", F.coalesce("confidence", "weight", F.lit(1.0)).alias("w")))["w"].alias("weight"))
 
 
 def property_clusters(clusters: DataFrame) -> DataFrame:
