@@ -146,10 +146,10 @@ def anchors(chunks: DataFrame, mentions: DataFrame, min_len: int = MIN_ANCHOR, t
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
     count = lambda n: F.when(n.rlike(r"^[\p{L}\p{N}_]+$"), F.size(F.filter("words", lambda w: w == F.lower(n)))).otherwise(occurrences(F.col("text"), n))
     tf = chunks.select(*key, "n_chunks", "text", words.alias("words")).join(names, key).select(*key, "n_chunks", F.explode(F.transform("names", lambda n: F.struct(n.alias("name"), count(n).alias("tf")))).alias("x")).select(*key, "n_chunks", "x.*")
-    df = mentions.select("doc_id", F.lower("name").alias("low"), "sequence_index").distinct().groupBy("doc_id", "low").agg(F.count(F.lit(1)).alias("df"))
+    df = F.size(F.collect_set("sequence_index").over(Window.partitionBy("doc_id", "low")))  # every name of a chunk is in tf, so no second pass over the texts
     fit = (F.length("name") >= min_len) & ~F.lower("name").isin(*PRONOUN_LIKE) & ~F.col("name").rlike(r"^\d+$") & (F.col("tf") > 0)
     score = F.col("tf") * (F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1) * (1 + F.least(F.length("name") / 20.0, F.lit(1.0)) * 0.1)
-    got = tf.where(fit).withColumn("low", F.lower("name")).join(df, ["doc_id", "low"]).withColumn("score", F.round(score, 9))
+    got = tf.withColumn("low", F.lower("name")).withColumn("df", df).where(fit).withColumn("score", F.round(score, 9))
     return got.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "low"))).where(F.col("rank") <= top).select(*key, "name", "score", "rank")
 
 

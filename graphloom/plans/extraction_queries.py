@@ -125,8 +125,9 @@ def x12_coreference(s: SparkSession, d: str) -> DataFrame:
 
 
 def _windows(s: SparkSession, d: str) -> DataFrame:
-    m = chunks(s, d).select("doc_id", "sequence_index", "lang", "text", found_names(F.col("text")).alias("m")).where(F.size("m") > 1)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("m") - 2), lambda i: F.struct(F.get("m", i)["name"].alias("a"), F.get("m", i + 1)["name"].alias("b"), relation_of(F.get("m", i + 1)["type"]).alias("relation")))
+    m = chunks(s, d).select("doc_id", "sequence_index", "lang", "text", found_names(F.col("text")).alias("m"))
+    rest = F.greatest(F.size("m") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("m", 1, rest), F.slice("m", 2, rest), lambda a, b: F.struct(a["name"].alias("a"), b["name"].alias("b"), relation_of(b["type"]).alias("relation")))
     m = m.withColumn("pairs", pairs).withColumn("windows", X.evidence_windows("text", F.transform("pairs", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))))
     return m.select("doc_id", "sequence_index", "lang", F.posexplode(F.arrays_zip("pairs", "windows")).alias("pos", "x")).select("doc_id", "sequence_index", "pos", "lang", F.col("x.pairs.a").alias("source"), F.col("x.pairs.relation").alias("relation"), F.col("x.pairs.b").alias("target"), F.col("x.windows").alias("evidence"))
 

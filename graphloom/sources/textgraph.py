@@ -55,8 +55,9 @@ def relation_of(kind: Column) -> Column:
 
 def triples(chunked: DataFrame) -> DataFrame:
     """(doc_id, sequence_index, pos, idx, source, relation, target): each mention with the next one of its chunk."""
-    m = chunked.select("doc_id", "sequence_index", found_names(F.col("text")).alias("m")).where(F.size("m") > 1)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("m") - 2), lambda i: F.struct(F.get("m", i).alias("a"), F.get("m", i + 1).alias("b")))
+    m = chunked.select("doc_id", "sequence_index", found_names(F.col("text")).alias("m"))
+    # the two slices side by side; a filter on the size would be pushed down and extract the names twice
+    pairs = F.zip_with(F.slice("m", 1, F.greatest(F.size("m") - 1, F.lit(0))), F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     p = m.select("doc_id", "sequence_index", F.posexplode(pairs).alias("pos", "p"))
     return p.select("doc_id", "sequence_index", "pos", (F.col("doc_id") * DOC_STEP + F.col("sequence_index") * CHUNK_STEP + F.col("pos")).alias("idx"), F.col("p.a.name").alias("source"), relation_of(F.col("p.b.type")).alias("relation"), F.col("p.b.name").alias("target"))
 
