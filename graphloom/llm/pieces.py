@@ -190,7 +190,6 @@ class Chunk:
 
     def reach(self, starts: list[tuple[int, int]], stop: int, over: bool) -> dict[tuple[int, int], np.ndarray]:
         """Best weights, by start, of the pieces that end at stop or, if over, are the first to reach it."""
-        best: dict[tuple[int, int], np.ndarray] = {}
         todo: dict[int, dict[tuple[int, int], np.ndarray]] = {}
         out: dict[tuple[int, int], np.ndarray] = {}
 
@@ -211,7 +210,6 @@ class Chunk:
             for x, w in todo.pop(p).items():
                 for y in self.next_pieces(x):
                     put(y, w)
-        del best
         return out
 
     def transfer(self) -> np.ndarray:
