@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 #: Negation cues, found anywhere in a lower-cased window.
-NEGATION_CUES = tuple(sorted(("never", "cannot", "stopped", "can't", "won't", "ceased to", "no longer", "discontinued", "discontinue", *(f"{v} not" for v in ("are", "did", "do", "does", "is", "was", "were")))))
+NEGATION_CUES = tuple("are not|can't|cannot|ceased to|did not|discontinue|discontinued|do not|does not|is not|never|no longer|stopped|was not|were not|won't".split("|"))
 MAKING = ("manufactur", "mak", "produc")
 MAKING_STEMS = ("make", "makes", "manufacture", "manufactures", "produce", "produced", "produces")
 PRONOUNS = ("he", "her", "him", "it", "she", "them", "they")
+#: What stands between the parts of a sample.
+TRUNCATED = "[... truncated ...]".join(["\n" * 2] * 2)
 #: What no anchor may be.
-PRONOUN_LIKE = tuple(sorted((*PRONOUNS, "his", "hers", "its", "their", "theirs", "that", "this", "o", "bu", "şu", "ona", "onu", "onun", "onlar", "onların")))
+PRONOUN_LIKE = tuple(sorted({*PRONOUNS, *"bu her hers his its o ona onlar onların onu onun that their theirs this şu".split()}))
 
 
 def tokens(text: Column) -> Column:
@@ -47,8 +49,9 @@ def negated(window: Column, relation: Column) -> Column:
     return cue & (((F.length(stem) >= 4) & w.contains(stem)) | (making & stem.isin(*MAKING_STEMS)))
 
 
-_YEAR = r"(?:^|[^0-9A-Za-z_])((?:19|20)[0-9]{2})(?=$|[^0-9A-Za-z_])"
-_RANGE = r"(?i)(?:^|[^0-9A-Za-z_])((?:19|20)[0-9]{2})\s*(?:-|to|until|through)\s*((?:19|20)[0-9]{2})(?:$|[^0-9A-Za-z_])"
+_Y = "((?:19|20)[0-9]{2})"
+_YEAR = rf"(?:^|[^0-9A-Za-z_]){_Y}(?=$|[^0-9A-Za-z_])"
+_RANGE = rf"(?i)(?:^|[^0-9A-Za-z_]){_Y}\s*(?:through|until|to|-)\s*{_Y}(?:$|[^0-9A-Za-z_])"
 
 
 def year_span(window: Column) -> Column:
@@ -67,7 +70,7 @@ def parse_json_output(raw: Column, schema: str) -> Column:
 
 def schema_sample(text: Column) -> Column:
     """Whole texts to 8,000 characters; longer ones as two, three or four parts around truncation marks."""
-    n, gap = F.length(text), F.lit("\n\n[... truncated ...]\n\n")
+    n, gap = F.length(text), F.lit(TRUNCATED)
     part = lambda at, size: F.substring(text, at + F.lit(1), F.lit(size))
     third, quarter = F.floor(n / 3).cast("int"), F.floor(n / 4).cast("int")
     return (
@@ -89,12 +92,15 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], index=a.index)
 
 
+def whole_word(term: str) -> re.Pattern[str]:
+    not_before, not_after = r"(?<!\w)", r"(?!\w)"
+    return re.compile(not_before + re.escape(term) + not_after, re.IGNORECASE)
+
+
 def evidence(text: str | None, a: str | None, b: str | None, reach: int = 220) -> str:
     """The sentence around the closest pair of whole-word mentions of a and b, else a stretch around them, else nothing."""
-    if not text or not a or not b:
-        return ""
-    at = [[m.start() for m in re.finditer(rf"(?i)(?<!\w){re.escape(x)}(?!\w)", text)] for x in (a, b)]
-    if not at[0] or not at[1]:
+    at = [[m.start() for m in whole_word(x).finditer(text or "")] if x else [] for x in (a, b)]
+    if not all(at):
         return ""
     best, i, j = None, 0, 0
     while i < len(at[0]) and j < len(at[1]):  # both ascending: one pass finds the closest pair

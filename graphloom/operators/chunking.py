@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from graphloom.functions.text import tokens
+from graphloom.functions.text import TRUNCATED, tokens
 
 #: Name -> (strategy, size, overlap share or overlapping sentences).
 PRESETS = {"small": ("token", 256, 0.15), "medium": ("token", 512, 0.15), "large": ("token", 768, 0.15), "xlarge": ("token", 1024, 0.15), "graphrag": ("token", 200, 0.15), "rag": ("token", 512, 0.2), "sentence": ("sentence", 512, 2)}
@@ -111,7 +111,7 @@ def sampled(text: str, parts: int = 4, part_chars: int = 1500, budget: int = 12_
     at = [round(i * (len(text) - part_chars) / (slots - 1)) for i in range(slots)]
     order = [0, slots - 1, *sorted(range(1, slots - 1), key=lambda i: (abs(i - (slots - 1) / 2), i))]
     chosen = sorted(order[: max(2, budget // part_chars)])
-    return "\n\n[... truncated ...]\n\n".join(text[at[i] : at[i] + part_chars] for i in chosen)
+    return TRUNCATED.join(text[at[i] : at[i] + part_chars] for i in chosen)
 
 
 @F.pandas_udf(StringType())

@@ -56,7 +56,7 @@ def ensure_clusters(nodes: DataFrame, edges: DataFrame, min_size: int = MIN_SIZE
     universe = nodes.join(inside, "id", "left_semi").withColumn("type", F.when(F.trim(F.coalesce("type", F.lit(""))) == "", "Unknown").otherwise(F.col("type")))
     groups = type_groups(universe).orderBy("rank").limit(max_clusters).collect()
     kept = [g for g in groups if g["n"] >= min_size] or groups[:1]
-    names = spark.createDataFrame([(g["type"], f"type_{i}_{g['type'].lower().replace(' ', '_')}") for i, g in enumerate(kept, 1)], "type string, cluster_id string")
+    names = spark.createDataFrame([(g["type"], f"type_{i}_{'_'.join(g['type'].lower().split(' '))}") for i, g in enumerate(kept, 1)], "type string, cluster_id string")
     return universe.join(F.broadcast(names), "type").select("cluster_id", F.col("id").alias("node_id"))
 
 

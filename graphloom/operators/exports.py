@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import degrees, positions
 
-NODE_COLOURS = {"Company": "#95E1D3", "Event": "#FFE66D", "Location": "#4ECDC4", "Organization": "#95E1D3", "Person": "#FF6B6B", "Product": "#F38181"}
-EDGE_COLOURS = {"caused_by": "#4ECDC4", "collaborates_with": "#FFE66D", "influences": "#FF6B6B", "located_at": "#95E1D3", "works_with": "#FFE66D"}
-PROVENANCE_COLOURS = {"answer": "#F38181", "chunk": "#4ECDC4", "community": "#FFE66D", "query": "#FF6B6B", "summary": "#95E1D3"}
+
+def _colours(text: str) -> dict[str, str]:
+    return {k: f"#{v}" for k, _, v in (pair.partition("=") for pair in text.split())}
+
+
+NODE_COLOURS = _colours("Company=95E1D3 Event=FFE66D Location=4ECDC4 Organization=95E1D3 Person=FF6B6B Product=F38181")
+EDGE_COLOURS = _colours("caused_by=4ECDC4 collaborates_with=FFE66D influences=FF6B6B located_at=95E1D3 works_with=FFE66D")
+PROVENANCE_COLOURS = _colours("answer=F38181 chunk=4ECDC4 community=FFE66D query=FF6B6B summary=95E1D3")
 NODE_DEFAULT, EDGE_DEFAULT = "#A8A8A8", "#CCCCCC"
-PALETTE = ("#FF6B6B", "#4ECDC4", "#FFE66D", "#95E1D3", "#F38181", "#A8E6CF", "#FFD3B6", "#FFAAA5", "#FF8B94", "#C7CEEA")
+PALETTE = tuple(f"#{c}" for c in "FF6B6B 4ECDC4 FFE66D 95E1D3 F38181 A8E6CF FFD3B6 FFAAA5 FF8B94 C7CEEA".split())
 
 
 def colour(value: Column, table: dict[str, str], default: str) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from graphloom.functions.text import PRONOUN_LIKE, PRONOUNS, evidence, negated, year_span
+from graphloom.functions.text import PRONOUN_LIKE, PRONOUNS, evidence, negated, whole_word, year_span
 from graphloom.operators.graph import first_wins
 
 MIN_ANCHOR, MAX_ANCHORS = 3, 8
@@ -159,7 +158,7 @@ def snippets_of(texts: dict[int, str], names: dict[int, list[str]], index: dict[
 
     def find(name: str, j: int) -> int:
         if (name, j) not in seen:
-            m = re.search(rf"(?i)(?<!\w){re.escape(name)}(?!\w)", texts[j])
+            m = whole_word(name).search(texts[j])
             seen[name, j] = m.start() if m else -1
         return seen[name, j]
 

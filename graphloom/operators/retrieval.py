@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +17,7 @@ STOPWORDS = frozenset("a about an and are at did do does for how in is of on or
 GRAM = 4
 
 
-# Names in texts ------------------------------------------------------------------------------------------------------
+# Names in texts
 
 
 def containing(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
@@ -41,7 +42,7 @@ def text_context(texts: DataFrame, entities: DataFrame, edges: DataFrame, key: s
     return found, touched.select("source", "relation", "target").distinct()
 
 
-# Deterministic queries -----------------------------------------------------------------------------------------------
+# Deterministic queries
 
 
 @dataclass(frozen=True)
@@ -61,10 +62,11 @@ class Query:
 
     @staticmethod
     def _relation(raw: str) -> str | None:
-        if "(" in raw and ")" in raw:
-            inside = raw.partition("(")[2].partition(")")[0].strip()
-            if inside and " " not in inside and len(inside) <= 64:
-                return inside
+        first = re.search(r"\(([^)]*)", raw)
+        if first and ")" in raw:
+            word = first[1].strip()
+            if 0 < len(word) <= 64 and " " not in word:
+                return word
         low = raw.lower()
         for sep in (":", "="):
             for key in ("relation", "rel"):
@@ -118,7 +120,7 @@ def execute_query(nodes: DataFrame, edges: DataFrame, text: str, k_entities: int
     return QueryResult(seeds, found, met, answer)
 
 
-# Traversal -----------------------------------------------------------------------------------------------------------
+# Traversal
 
 
 def _seed_table(nodes: DataFrame, seeds: list[str]) -> DataFrame:
@@ -212,7 +214,7 @@ def dfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], vectors: DataFrame
     return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(walk, "id string, depth int, position int")
 
 
-# Retrieval -----------------------------------------------------------------------------------------------------------
+# Retrieval
 
 
 def seed_entities(vectors: DataFrame, query: list[float], k: int = 10, threshold: float = 0.5) -> DataFrame:

@@ -64,7 +64,7 @@ class Schema:
 
     def legacy(self) -> dict:
         """H4"""
-        return {"entities": [{"name": t.name} for t in self.entity_types], "relations": [{"name": r.name, "source": r.src, "target": r.dst} for r in self.relations]}
+        return {"entities": [{"name": t.name} for t in self.entity_types], "relations": [dict(zip(("name", "source", "target"), (r.name, r.src, r.dst))) for r in self.relations]}
 
     def is_valid(self, name: str, src: str, dst: str) -> bool:
         """H2"""
@@ -84,7 +84,7 @@ class Schema:
 
 #: X24
 DEFAULT = Schema([EntityType("Person"), EntityType("Location"), EntityType("Event")], [Relation("related_to", "Person", "Person"), Relation("located_in", "Person", "Location"), Relation("participated_in", "Person", "Event")])
-CLI_DEFAULT = Schema([EntityType("Company"), EntityType("Product")], [Relation("produces", "Company", "Product")])
+CLI_DEFAULT = Schema([EntityType("Company"), EntityType("Product")], [Relation("produces", *("Company Product".split()))])
 
 
 def violations(types: DataFrame, relations: DataFrame, groups: DataFrame) -> DataFrame:

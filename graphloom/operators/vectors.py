@@ -230,7 +230,7 @@ class VectorTable:
 
 def create_vector_table(backend: str, spark, path: str, dim: int) -> VectorTable:  # noqa: ANN001
     """V9: one table behind every backend's name."""
-    if backend not in ("parquet", "chroma", "qdrant", "pinecone", "faiss"):
+    if backend not in "chroma faiss parquet pinecone qdrant".split():
         raise ValueError(f"unknown backend {backend}")
     return VectorTable(spark, path, dim)
 

@@ -13,7 +13,7 @@ from graphloom.plans.catalog import query
 from graphloom.sources.tables import GRAPH, PLACES, edges, nodes, table
 from graphloom.sources.textgraph import MENTIONS, chunks, mentions
 
-# Schemas: brands and types of parts stand for declared types, parts for relations between them -------------------------
+# Schemas: brands and types of parts stand for declared types, parts for relations between them
 
 
 
@@ -49,7 +49,7 @@ def h4_flatten_groups(s: SparkSession, d: str) -> DataFrame:
     return groups.select("group", F.explode("relations").alias("name"))
 
 
-# Clusters: the places of a nation -------------------------------------------------------------------------------------
+# Clusters: the places of a nation
 
 MEMBERS = f"{GRAPH}, members AS (SELECT target AS cluster_id, source AS node_id FROM edges WHERE relationship_type = 'located_in' UNION ALL SELECT id, id FROM nodes WHERE type = 'Nation')"
 INNER = f"{MEMBERS}, inner_edges AS (SELECT a.cluster_id, e.* FROM edges e JOIN members a ON a.node_id = e.source JOIN members b ON b.node_id = e.target AND b.cluster_id = a.cluster_id)"
@@ -163,7 +163,7 @@ def k17_summary_sentences(s: SparkSession, d: str) -> DataFrame:
     return K.reports(nodes(s, d), edges(s, d), members(s, d)).select("cluster_id", "summary")
 
 
-# Metrics ----------------------------------------------------------------------------------------------------------------
+# Metrics
 
 _SETS = """ee AS (SELECT DISTINCT l_returnflag AS ex, l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 25), ep AS (SELECT DISTINCT l_returnflag AS ex, l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_discount > {cut}),
 re AS (SELECT DISTINCT l_returnflag AS ex, l_orderkey AS a, l_linenumber AS b FROM lineitem WHERE l_tax > 0.04), rp AS (SELECT DISTINCT l_returnflag AS ex, l_orderkey AS a, l_linenumber AS b FROM lineitem WHERE l_discount > {cut}),

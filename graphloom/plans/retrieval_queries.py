@@ -99,7 +99,7 @@ def v8_metadata_counts(s: SparkSession, d: str) -> DataFrame:
     return vectors(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.max(F.size("embedding")).alias("dim"))
 
 
-# Deterministic queries ---------------------------------------------------------------------------------------------------
+# Deterministic queries
 
 TEXTS = ("nation:3 (located_in)", "What is part_of region:1?", "supplier:12 rel:supplies", "the zzz")
 
@@ -142,10 +142,10 @@ def n3_relation_filter(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.regexp_extract(F.lower(q), r"rel(?:ation)?[:=]\s*([^\s,.;]+)", 1).alias("relation"))
 
 
-@query("n4_entity_scores", f"WITH nodes AS ({NODES_SQL}) SELECT id, score FROM (SELECT id, CASE WHEN contains(id, 'nation:1') THEN 3 ELSE 0 END + CASE WHEN id IN ('nation:1', 'customer:7') THEN 1.4 ELSE 0 END AS score FROM nodes) WHERE score > 0 AND id <> 'nation:1' OR id IN (SELECT id FROM nodes WHERE id = 'x')")
+@query("n4_entity_scores", f"WITH nodes AS ({NODES_SQL}) SELECT id, score FROM (SELECT id, CASE WHEN id = 'nation:1' THEN 5.0 ELSE CASE WHEN contains(id, 'nation:1') THEN 3.0 ELSE 0.0 END + CASE WHEN id = 'customer:7' THEN 1.4 ELSE 0.0 END END AS score FROM nodes) WHERE score > 0")
 def n4_entity_scores(s: SparkSession, d: str) -> DataFrame:
-    q = R.Query("nation:1", ("nation:1", "customer:7"), None)
-    return R.entity_scores(nodes(s, d), q).where("id <> 'nation:1'").select("id", F.round("score", 6).alias("score"))
+    """Scores of an exact match, of ids that hold the query, and of an id that shares a token."""
+    return R.entity_scores(nodes(s, d), R.Query("nation:1", ("nation:1", "customer:7"), None)).select("id", "score")
 
 
 @query("n5_fallback_seeds", f"WITH {GRAPH} SELECT id, CAST(row_number() OVER (ORDER BY count(*) DESC, lower(id)) - 1 AS INTEGER) AS rank FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id ORDER BY rank LIMIT 10")
@@ -153,7 +153,7 @@ def n5_fallback_seeds(s: SparkSession, d: str) -> DataFrame:
     return R.seeds_for(nodes(s, d), edges(s, d), R.Query.parse("zzz qqq"))
 
 
-# Retrieval -----------------------------------------------------------------------------------------------------------------
+# Retrieval
 
 
 @query("r2_text_context", f"WITH {TRIPLES}, names AS (SELECT DISTINCT name FROM mentions), b AS (SELECT lower(text) AS t FROM benchmark), found AS (SELECT name FROM names WHERE EXISTS (SELECT 1 FROM b WHERE contains(t, lower(name)))) SELECT DISTINCT source, relation, target FROM triples WHERE source IN (SELECT name FROM found) OR target IN (SELECT name FROM found)")

@@ -71,7 +71,8 @@ class ModelConfig:
         return cls(name, float(os.environ.get("GRAPHLOOM_TEMPERATURE", "0")))
 
     def key_name(self) -> str | None:
-        return {"openai": "OPENAI_API_KEY", "gemini": "GEMINI_API_KEY", "openrouter": "OPENROUTER_API_KEY"}.get(self.model.split("/")[0])
+        provider = self.model.partition("/")[0]
+        return f"{provider.upper()}_API_KEY" if provider in ("gemini", "openai", "openrouter") else None
 
 
 def extract(docs: DataFrame, schema: Schema, preset: str = "small", resolve: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +166,7 @@ class ToolServer:
         return out
 
     def _define_schema(self, name: str, entities: list[str], relations: list[dict]) -> dict:
-        self.schemas[name] = Schema([EntityType(e) for e in entities], [Relation(r["name"], r["src"], r["dst"], r.get("description", "")) for r in relations])
+        self.schemas[name] = Schema([EntityType(e) for e in entities], [Relation(*map(r.__getitem__, ("name", "src", "dst")), r.get("description", "")) for r in relations])
         return self.schemas[name].summary()
 
     def _get_schema(self, name: str) -> dict:
@@ -174,7 +175,7 @@ class ToolServer:
     def _extract(self, text: str, schema: str) -> dict:
         docs = self.spark.createDataFrame([(0, text)], "doc_id long, text string")
         e, t = extract(docs, self.schemas[schema])
-        return {"entities": sorted((r["name"], r["type"]) for r in e.collect()), "relations": [(r["source"], r["relation"], r["target"]) for r in t.orderBy("idx").collect()]}
+        return {"entities": sorted((r["name"], r["type"]) for r in e.collect()), "relations": [tuple(r) for r in t.orderBy("idx").select("source", "relation", "target").collect()]}
 
     def _build_kg(self, name: str, entities: list, relations: list) -> dict:
         ids = {e[0] for e in entities}

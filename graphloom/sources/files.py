@@ -56,7 +56,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
 def save_json(payload: object, path: str) -> None:
     """One JSON document written by the driver (results of the size of a report); folders are made."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(payload, indent=2, ensure_ascii=False), encoding="utf-8")
+    Path(path).write_text(json.dumps(payload, ensure_ascii=False, indent=2), "utf-8")
 
 
 def save_reports(reports: DataFrame, path: str) -> None:

@@ -136,3 +136,10 @@ def test_classifier(spark):
     best = df.select(R.classified(F.col("f")).alias("b")).collect()
     assert [[x["type"] for x in r["b"]] for r in best][1] == ["related_to", "knows"]
     assert len(R.TYPES) == 47 and len({t for t, _ in R.TYPES}) == 47
+
+
+def test_similarity_column(spark):
+    pairs = [("Apple Inc", " apple inc"), ("abcd", "bcde"), ("", ""), (None, "a"), ("x", "y")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(T.name_similarity("a", "b")).collect()]
+    assert got == [1.0, SequenceMatcher(None, "abcd", "bcde").ratio(), 1.0, 0.0, 0.0]
