@@ -152,7 +152,7 @@ def decode_flat(m: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return out[keep], bounds - np.searchsorted(gone, bounds)
 
 
-# Giant documents -----------------------------------------------------------------------------------------------------
+# Giant documents
 
 
 class Chunk:
