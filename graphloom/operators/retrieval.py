@@ -126,26 +126,26 @@ def execute_query(nodes: DataFrame, edges: DataFrame, text: str, k_entities: int
 def _seed_table(nodes: DataFrame, seeds: list[str]) -> DataFrame:
     spark = nodes.sparkSession
     given = spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(seeds))], "id string, rank long")
-    return nodes.select("id").join(F.broadcast(given), "id").select("id", "rank")
+    return nodes.select("id").join(F.broadcast(given), "id").select("id", F.array("rank").alias("rank"))
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, seeds: list[str], max_hops: int = 2) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, hop, rank) up to max_hops, and the tree's edges, which lead one hop further.
 
-    One join a level. A new node keeps its best (parent's rank, edge) pair, and that order is the next level's, as in a
-    queue. Ranks are dense by construction of a level only, so the order needs no global sort.
+    One join a level. A node's rank is its path: its seed's place and the indexes of the edges that lead to it. Paths of a
+    level are equally long, and their order is that of a queue, so a new node keeps its least path and nothing is sorted
+    or numbered, whatever a level's size.
     """
     front = cut(_seed_table(nodes, seeds).withColumn("hop", F.lit(0)))
     seen, tree = front, None
     ends = edges.select("edge_idx", F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select("edge_idx", F.col("target").alias("id"), F.col("source").alias("other")))
     for hop in range(max_hops + 1):
-        met = ends.join(front.select("id", "rank"), "id").select("other", "edge_idx", "rank").join(seen.select(F.col("id").alias("other")), "other", "left_anti")
-        best = cut(met.groupBy("other").agg(F.min(F.struct("rank", "edge_idx")).alias("b")).select(F.col("other").alias("id"), "b.rank", "b.edge_idx"))
-        if best.isEmpty():
+        met = ends.join(front.select("id", "rank"), "id").select("other", F.concat("rank", F.array("edge_idx")).alias("rank")).join(seen.select(F.col("id").alias("other")), "other", "left_anti")
+        front = cut(met.groupBy(F.col("other").alias("id")).agg(F.min("rank").alias("rank")).withColumn("hop", F.lit(hop + 1)))
+        if front.isEmpty():
             break
-        tree = best.select("edge_idx") if tree is None else tree.unionByName(best.select("edge_idx"))
-        order = F.row_number().over(Window.partitionBy("hop").orderBy("rank", "edge_idx")).cast("long")
-        front = cut(best.withColumn("hop", F.lit(hop + 1)).select("id", order.alias("rank"), "hop"))
+        led = front.select(F.element_at("rank", -1).alias("edge_idx"))
+        tree = led if tree is None else tree.unionByName(led)
         seen = seen.unionByName(front)
     picked = edges.join(tree.distinct(), "edge_idx", "left_semi") if tree is not None else edges.limit(0)
     return seen.where(F.col("hop") <= max_hops), picked
