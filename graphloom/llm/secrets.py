@@ -5,7 +5,8 @@ flags), an operator (=, :=, =>, :) and a right-hand side of string literals, bar
 Constants are propagated in order of appearance: a name on a right-hand side stands for the literal it was last given,
 so a secret that is put together from parts, or handed on under another name, is scored under its sensitive target. A
 finding's score is the product of how sensitive the target's words are and how much its value looks like a credential
-(length, variety and mixture of characters; placeholders and plain words score low).
+(length, variety and mixture of characters; placeholders and plain words score low). A literal that begins with a
+published credential prefix names its own target, so it is scored under that name wherever it stands, in prose too.
 
 Results, case by case: a null or empty text has no findings; a null doc_id is carried as null; repeated rows are scanned
 each for itself; ties cannot arise (findings do not overlap); long texts are lexed whole, in one pass; extra columns are
@@ -14,6 +15,7 @@ ignored by the scan and kept by the redaction; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,13 @@ ASSIGN = re.compile(
 _PART = re.compile(_ATOM)
 _WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
+#: Literals that name their own target.
+NAMED = re.compile(
+    r"(?<![A-Za-z0-9_/+])(?:(?P<aws_access_key>(?:AKIA|ASIA)[0-9A-Z]{16})|(?P<github_token>gh[opsur]_[A-Za-z0-9]{36,255})"
+    r"|(?P<slack_token>xox[abprs]-[A-Za-z0-9-]{10,200})|(?P<secret_key>sk-[A-Za-z0-9_-]{32,200}))(?![A-Za-z0-9_/+])"
+)
+_NAMED_HINT = "AKIA|ASIA|gh[opsur]_|xox[abprs]-|sk-"
+
 #: How sensitive a target is, by the words of its name, the most telling first.
 SENSITIVE = (
     (1.0, ("password", "passwd", "passphrase", "pwd", "secret", "apikey", "accesskey", "privatekey", "secretkey", "authtoken", "accesstoken")),
@@ -109,14 +119,22 @@ def scan(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str, f
                 found.append((m.start("value"), m.end("value"), target, round(score, 6), value))
         if quoted or via:
             known[target] = value
-    return found
+    taken = [(a, b) for a, b, *_ in found]
+    for m in NAMED.finditer(text):
+        k = bisect.bisect_right(taken, (m.end(), 0)) - 1
+        if k < 0 or taken[k][1] <= m.start():
+            score = sensitivity(m.lastgroup) * plausibility(m[0])
+            if score >= min_score:
+                found.append((m.start(), m.end(), m.lastgroup, round(score, 6), m[0]))
+    return sorted(found)
 
 
 def candidates(col: pa.Array) -> np.ndarray:
-    """Rows that hold an assignment operator at all."""
+    """Rows that hold an assignment operator or a credential prefix at all."""
     data, offsets = string_buffers(col)
     c = np.concatenate([[0], np.cumsum((data == 61) | (data == 58))])
-    return np.flatnonzero(c[offsets[1:]] > c[offsets[:-1]])
+    named = pc.fill_null(pc.match_substring_regex(col, _NAMED_HINT), False) if len(col) else pa.array([], pa.bool_())
+    return np.flatnonzero((c[offsets[1:]] > c[offsets[:-1]]) | np.asarray(named))
 
 
 def find_secrets(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
