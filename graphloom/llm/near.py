@@ -7,8 +7,10 @@ document. Two registers agree with the probability Jaccard similarity of the doc
 documents that share a band are candidates, and a candidate counts only if its exact similarity reaches the threshold.
 
 Documents with equal elements are joined first, by a 128-bit hash, so that thousands of exact copies cost one candidate.
-In a bucket every document is compared with the least one. Those that miss the threshold are compared with the least of
-their own number, and what is left after `star_rounds` rounds is compared pair by pair: no candidate is capped or
+In a bucket every document is compared with a leader, the least one; then the leader leaves, and the next is the least
+that missed all leaders so far. It is compared with those that matched them, too: only pairs that are already in one
+component are left out, which changes no group. Buckets whose documents are not in one component after `star_rounds`
+rounds are compared pair by pair, in tiles of `TILE` by `TILE` documents spread over the tasks: no candidate is capped or
 dropped. Groups are the connected components of the verified pairs, and the least doc_id of each stays.
 
 Results, case by case: a null doc_id or text and a text without words are in no group; rows that share an id are one
@@ -36,6 +38,7 @@ ROWS = 3
 THRESHOLD = 0.5
 STAR_ROUNDS = 3
 SALT_ROWS = 4096
+TILE = 64
 
 
 def elements(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,6 +172,60 @@ def components(edges: DataFrame) -> DataFrame:
         state = fresh
 
 
+def unsettled(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets whose documents are not all in one component."""
+    one = Window.partitionBy("key")
+    return buckets.withColumn("least", F.min("label").over(one)).withColumn("most", F.max("label").over(one)).where("least <> most").drop("least", "most")
+
+
+def crowds(docs: DataFrame, members: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(u, v) that reach the threshold, enough to join the components of every two that do. members: key, doc_id, label, bands.
+
+    A pair is compared in the first bucket that it shares, unless its components, in the tile at least, are one by then.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    one = Window.partitionBy("key")
+    placed = members.withColumn("b", F.floor((F.row_number().over(one.orderBy("label", "doc_id")) - 1) / TILE).cast("int")).withColumn("last", F.max("b").over(one.orderBy("label", "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    tiles = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last")))).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "doc_id", "label", "bands")
+    whole = Window.partitionBy("key", "i", "j")
+    tiles = tiles.withColumn("least", F.min("label").over(whole)).withColumn("most", F.max("label").over(whole)).where("least <> most").drop("least", "most")
+    rows = docs.join(tiles, "doc_id").select("key", "i", "j", "side", "doc_id", "label", "bands", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, root = None, [], {}
+
+        def find(x: object) -> object:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for big in batches:
+            for batch in pieces(big):
+                w = Words(batch.column("text"))
+                row, h, weight = elements(w, shingle)
+                bound = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                found = []
+                for r, (key, i, j, side, doc, label, bands) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "doc_id", "label", "bands")))):
+                    own = h[bound[r] : bound[r + 1]].copy(), weight[bound[r] : bound[r + 1]].copy()
+                    bands = np.array(bands, dtype=np.int64)
+                    if (key, i, j) != now:
+                        now, held, root = (key, i, j), [], {}
+                    if i == j or side == 1:
+                        for other, their, at, theirs in held:
+                            a, b = find(label), find(their)
+                            if a == b:
+                                continue
+                            same = bands == at
+                            if bands[same.argmax()] == key and similarity(theirs, own) >= threshold:
+                                root[max(a, b)] = min(a, b)
+                                found.append((doc, other))
+                    if i == j or side == 0:
+                        held.append((doc, label, bands, own))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.column("doc_id").type) for k in (0, 1)], names=["u", "v"])
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, f"u {id_type}, v {id_type}")
+
+
 def near_duplicates(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, shingle: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
@@ -177,30 +234,33 @@ def near_duplicates(
     sketch = cut(sketches(docs, shingle, registers, rows))
     equal = sketch.select("doc_id", "c1", "c2", F.min("doc_id").over(Window.partitionBy("c1", "c2")).alias("rep"))
     exact = equal.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    reps = sketch.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("r.doc_id", "r.bands")
-    buckets = reps.select(F.explode("bands").alias("key"), "doc_id")
-    buckets = cut(buckets.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "doc_id"))
+    reps = cut(sketch.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("r.doc_id", "r.bands"))
+    buckets = cut(unsettled(reps.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("met"))))
     checked: DataFrame | None = None
-    for step in range(star_rounds + 1):
-        if step < star_rounds:
-            led = buckets.withColumn("leader", F.min("doc_id").over(Window.partitionBy("key"))).where("leader < doc_id")
-        else:  # the rest, pair by pair
-            a = buckets.select("key", F.col("doc_id").alias("leader"))
-            led = buckets.join(a, "key").where("leader < doc_id")
-        led = cut(led)
-        pairs = led.select("leader", "doc_id").distinct()
+    crowded: DataFrame | None = None
+    for _ in range(star_rounds):
+        first = F.min(F.struct("met", "doc_id", "label")).over(Window.partitionBy("key"))
+        led = cut(buckets.withColumn("first", first).select("key", "doc_id", "label", "met", F.col("first.doc_id").alias("leader"), F.col("first.label").alias("led")).where("doc_id <> leader"))
+        pairs = led.where("label <> led").select("leader", "doc_id").distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("leader", "doc_id"), ["leader", "doc_id"], "left_anti")
         found = cut(verify(docs, pairs, shingle))
         checked = found if checked is None else checked.unionByName(found)
-        if step == star_rounds:
-            break
-        good = checked.where(F.col("similarity") >= threshold).select("leader", "doc_id")
-        buckets = cut(led.join(good, ["leader", "doc_id"], "left_anti").select("key", "doc_id").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "doc_id"))
+        joined = components(checked.where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")))
+        led = led.select("key", "doc_id", "met", "leader").join(joined.withColumnRenamed("keeper", "own"), "doc_id", "left")
+        led = led.join(joined.select(F.col("doc_id").alias("leader"), F.col("keeper").alias("led")), "leader", "left")
+        label = F.coalesce("own", "doc_id")
+        buckets = cut(unsettled(led.select("key", "doc_id", label.alias("label"), (F.col("met") | (label == F.coalesce("led", "leader"))).alias("met"))))
         if buckets.isEmpty():
             break
-    near = checked.where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
-    return components(exact.unionByName(near)).select("doc_id", F.col("keeper").alias("keeper_id"))
+    else:
+        crowded = cut(crowds(docs, buckets.join(reps, "doc_id"), threshold, shingle))
+    edges = exact
+    if checked is not None:
+        edges = edges.unionByName(checked.where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")))
+    if crowded is not None:
+        edges = edges.unionByName(crowded)
+    return components(edges).select("doc_id", F.col("keeper").alias("keeper_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
