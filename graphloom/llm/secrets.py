@@ -3,7 +3,8 @@
 A text is lexed into assignments: a target name (identifiers, dotted and indexed names, quoted keys, command-line
 flags), an operator (=, :=, =>, :) and a right-hand side of string literals, bare values and names joined by + or `.`.
 Constants are propagated in order of appearance: a name on a right-hand side stands for the literal it was last given,
-so a secret that is put together from parts, or handed on under another name, is scored under its sensitive target. A
+so a secret that is put together from parts, or handed on under another name, is scored under its sensitive target; the
+literals that it came from are reported, each by its own bounds, and redacted as well. A
 finding's score is the product of how sensitive the target's words are and how much its value looks like a credential
 (length, variety and mixture of characters; placeholders and plain words score low). A literal that begins with a
 published credential prefix names its own target, so it is scored under that name wherever it stands, in prose too.
@@ -91,44 +92,57 @@ def literal(atom: str) -> str:
     return re.sub(r"\\(.)", r"\1", atom[1:-1]) if atom[0] in "\"'`" and atom[-1] == atom[0] and len(atom) > 1 else atom
 
 
-def scan(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str, float, str]]:
-    """(start, end, name, score, value) of each finding; start and end bound the right-hand side that holds the value."""
-    found, known = [], {}
+def scan(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str, float, str, tuple[tuple[int, int], ...]]]:
+    """(start, end, name, score, value, sources) of each finding; start and end bound the right-hand side that holds the
+    value, and sources the literals elsewhere that it was propagated from, each once."""
+    found, known, spent = [], {}, set()
     for m in ASSIGN.finditer(text):
         name = m["name"].strip("-")
         index = re.search(r"\[\s*[\"']([^\"']+)[\"']\s*\]$", name)
         target = index[1] if index else name.strip("\"'")
-        raw = m["value"]
+        raw, at = m["value"], m.start("value")
         bare = not any(q in raw for q in " \t\"'`")  # a + inside a bare value belongs to it
-        parts = [raw] if bare else [p.group() for p in _PART.finditer(raw)]
-        resolved, via = [], False
-        for p in parts:
+        parts = [(raw, at)] if bare else [(p.group(), at + p.start()) for p in _PART.finditer(raw)]
+        resolved, via, spans = [], False, []
+        for p, start in parts:
             if p[0] not in "\"'`" and p.rstrip(".") in known:
-                resolved.append(known[p.rstrip(".")])
+                literals, sources = known[p.rstrip(".")]
+                resolved.append(literals)
+                spans += sources
                 via = True
             else:
                 resolved.append(literal(p))
+                if p[0] in "\"'`":
+                    spans.append((start, start + len(p)))
         value = "".join(resolved)
-        quoted = any(p[0] in "\"'`" for p in parts)
+        spans = list(dict.fromkeys(spans))
+        quoted = any(p[0] in "\"'`" for p, _ in parts)
         score = sensitivity(target)
         if score:
             if m["op"] == ":" and not quoted and not via:
                 score *= 0.8
             score *= plausibility(value)
             if score >= min_score:
-                found.append((m.start("value"), m.end("value"), target, round(score, 6), value))
+                sources = tuple(x for x in spans if x not in spent and not at <= x[0] < m.end("value"))
+                found.append((at, m.end("value"), target, round(score, 6), value, sources))
+                spent.update(spans)
         if quoted or via:
-            known[target] = value
-    taken = [(a, b) for a, b, *_ in found]
+            known[target] = value, spans
+    taken = sorted(x for a, b, *_, sources in found for x in ((a, b), *sources))
     for m in NAMED.finditer(text):
         k = bisect.bisect_right(taken, (m.end(), 0)) - 1
         if k < 0 or taken[k][1] <= m.start():
             score = sensitivity(m.lastgroup) * plausibility(m[0])
             if score >= min_score:
-                found.append((m.start(), m.end(), m.lastgroup, round(score, 6), m[0]))
+                found.append((m.start(), m.end(), m.lastgroup, round(score, 6), m[0], ()))
     return sorted(found)
 
 
+def bounds(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str, float, str]]:
+    """(start, end, name, score, value) of each finding and of each of its sources, in order."""
+    return sorted((a, b, *x) for start, end, *x, sources in scan(text, min_score) for a, b in ((start, end), *sources))
+
+
 def candidates(col: pa.Array) -> np.ndarray:
     """Rows that hold an assignment operator or a credential prefix at all."""
     data, offsets = string_buffers(col)
@@ -144,7 +158,7 @@ def find_secrets(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = candidates(batch.column("text"))
-            out = [(r, *f) for r, t in zip(rows.tolist(), batch.column("text").take(pa.array(rows)).to_pylist()) for f in scan(t, min_score)]
+            out = [(r, *f) for r, t in zip(rows.tolist(), batch.column("text").take(pa.array(rows)).to_pylist()) for f in bounds(t, min_score)]
             if out:
                 r, start, end, name, score, value = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -164,7 +178,7 @@ def redact(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
             out = part.copy()
             for i in candidates(pa.array(part, pa.string(), from_pandas=True)).tolist():
                 t = part.iloc[i]
-                for start, end, *_ in reversed(scan(t, min_score)):
+                for start, end, *_ in reversed(bounds(t, min_score)):
                     t = t[:start] + '"[REDACTED]"' + t[end:]
                 out.iloc[i] = t
             yield out
