@@ -4,7 +4,8 @@ A text is lexed into assignments: a target name (identifiers, dotted and indexed
 flags), an operator (=, :=, =>, :) and a right-hand side of string literals, bare values and names joined by + or `.`.
 Constants are propagated in order of appearance: a name on a right-hand side stands for the literal it was last given,
 so a secret that is put together from parts, or handed on under another name, is scored under its sensitive target; the
-literals that it came from are reported, each by its own bounds, and redacted as well. A
+literals that it came from are reported, each by its own bounds, and redacted as well. Where a bare value is itself a
+target, as in `env: KEY=x` or `a = b = "x"`, the value at the end of the chain counts for every name of it. A
 finding's score is the product of how sensitive the target's words are and how much its value looks like a credential
 (length, variety and mixture of characters; placeholders and plain words score low). A literal that begins with a
 published credential prefix names its own target, so it is scored under that name wherever it stands, in prose too.
@@ -36,11 +37,14 @@ from graphloom.llm.text import string_buffers
 MIN_SCORE = 0.5
 
 _ATOM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;|()\[\]{}<>+]+)"""
-ASSIGN = re.compile(
+_HEAD = (
     r"""(?P<name>(?:--)?(?:"[A-Za-z_$][\w$.\- ]{0,126}"|'[A-Za-z_$][\w$.\- ]{0,126}'|(?<![\w$])[A-Za-z_$][\w$.\-]{0,126}+)(?:\[\s*["'][^"'\n]{1,64}["']\s*\])?)"""
     r"""[ \t]*(?P<op>:=|=>|(?<![=!<>])=(?![=~])|:(?![:/=]))[ \t]*"""
-    rf"""(?P<value>{_ATOM}(?:[ \t]*(?:\+|\.(?=[ \t]*["'])|\\\n)[ \t]*{_ATOM})*)"""
 )
+_VALUE = rf"""(?P<value>{_ATOM}(?:[ \t]*(?:\+|\.(?=[ \t]*["'])|\\\n)[ \t]*{_ATOM})*)"""
+ASSIGN = re.compile(_HEAD + _VALUE)
+HEAD = re.compile(_HEAD)
+VALUE = re.compile(_VALUE)
 _PART = re.compile(_ATOM)
 _WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -96,10 +100,14 @@ def scan(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str, f
     """(start, end, name, score, value, sources) of each finding; start and end bound the right-hand side that holds the
     value, and sources the literals elsewhere that it was propagated from, each once."""
     found, known, spent = [], {}, set()
-    for m in ASSIGN.finditer(text):
+
+    def target(m: re.Match) -> str:
         name = m["name"].strip("-")
         index = re.search(r"\[\s*[\"']([^\"']+)[\"']\s*\]$", name)
-        target = index[1] if index else name.strip("\"'")
+        return index[1] if index else name.strip("\"'")
+
+    def score(heads: list[re.Match], m: re.Match) -> tuple[tuple | None, list[tuple[int, int]]]:
+        """The finding of the first head that has one for the value m, and the spans of its literals."""
         raw, at = m["value"], m.start("value")
         bare = not any(q in raw for q in " \t\"'`")  # a + inside a bare value belongs to it
         parts = [(raw, at)] if bare else [(p.group(), at + p.start()) for p in _PART.finditer(raw)]
@@ -117,17 +125,37 @@ def scan(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str, f
         value = "".join(resolved)
         spans = list(dict.fromkeys(spans))
         quoted = any(p[0] in "\"'`" for p, _ in parts)
-        score = sensitivity(target)
-        if score:
-            if m["op"] == ":" and not quoted and not via:
-                score *= 0.8
-            score *= plausibility(value)
-            if score >= min_score:
-                sources = tuple(x for x in spans if x not in spent and not at <= x[0] < m.end("value"))
-                found.append((at, m.end("value"), target, round(score, 6), value, sources))
-                spent.update(spans)
-        if quoted or via:
-            known[target] = value, spans
+        finding, likely = None, None
+        for head in heads:
+            name = target(head)
+            if finding is None and (much := sensitivity(name)):
+                if head["op"] == ":" and not quoted and not via:
+                    much *= 0.8
+                likely = plausibility(value) if likely is None else likely
+                if much * likely >= min_score:
+                    finding = at, m.end("value"), name, round(much * likely, 6), value
+            if quoted or via:
+                known[name] = value, spans
+        return finding, spans
+
+    pos = 0
+    while m := ASSIGN.search(text, pos):
+        heads, at = [m], m.start("value")
+        while text[at] not in "\"'`" and (head := HEAD.match(text, at)):
+            heads.append(head)
+            at = head.end()
+            if at == len(text):
+                break
+        pos = max(m.end(), at)
+        finding, spans = score([m], m)
+        if len(heads) > 1 and (last := VALUE.match(text, at)):
+            inner, their = score(heads[::-1], last)
+            if inner and (not finding or inner[1] > finding[1]):  # else it lies within the outer one
+                finding, spans = inner, their
+            pos = max(pos, last.end())
+        if finding:
+            found.append((*finding, tuple(x for x in spans if x not in spent and not finding[0] <= x[0] < finding[1])))
+            spent.update(spans)
     taken = sorted(x for a, b, *_, sources in found for x in ((a, b), *sources))
     for m in NAMED.finditer(text):
         k = bisect.bisect_right(taken, (m.end(), 0)) - 1

@@ -88,3 +88,32 @@ def test_sources_of_propagated_secrets_are_redacted(spark, text, want):
     df = spark.createDataFrame([(1, text, 1)], DOCS)
     assert secrets.redact(df).first()["text"] == want
     assert secrets.find_secrets(df).count() == want.count("[REDACTED]")
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        (f'config: token = "{KEY}"', "token"),
+        (f'Note: password = "{KEY}"', "password"),
+        (f"env: DB_PASSWORD={KEY}", "DB_PASSWORD"),
+        (f'environment: API_KEY="{KEY}"', "API_KEY"),
+        (f'password = token = "{KEY}"', "token"),
+        (f'api_key: str = "{KEY}"', "api_key"),
+        (f'password = other_name = "{KEY}"', "password"),
+        (f'command: --api-key={KEY}', "api-key"),
+        (f"token: {KEY}=", "token"),
+        (f"token: {KEY}=x9", "token"),
+    ],
+)
+def test_nested_assignments(text, name):
+    ((start, end, found, *_),) = secrets.scan(text)
+    assert found == name and KEY in text[start:end] and not any(KEY in x for x in (text[:start], text[end:]))
+
+
+def test_long_chains_take_linear_time():
+    import time
+
+    began = time.time()
+    for bad in ("a=" * 200_000, "a = " * 200_000, "a: " * 200_000, "a=b " * 100_000, "a: b=" * 100_000):
+        secrets.scan(bad)
+    assert time.time() - began < 30
