@@ -38,12 +38,13 @@ MIN_SCORE = 0.5
 
 _ATOM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;|()\[\]{}<>+]+)"""
 _HEAD = (
-    r"""(?P<name>(?:--)?(?:"[A-Za-z_$][\w$.\- ]{0,126}"|'[A-Za-z_$][\w$.\- ]{0,126}'|(?<![\w$])[A-Za-z_$][\w$.\-]{0,126}+)(?:\[\s*["'][^"'\n]{1,64}["']\s*\])?)"""
+    r"""(?P<name>(?:"[A-Za-z_$][\w$.\- ]*+"|'[A-Za-z_$][\w$.\- ]*+'|(?<![\w$.\-])(?:[.\-]|[^\W_A-Za-z][\w$]*+)*+[A-Za-z_$][\w$.\-]*+)(?:\[\s*["'][^"'\n]+["']\s*\])?)"""
     r"""[ \t]*(?P<op>:=|=>|(?<![=!<>])=(?![=~])|:(?![:/=]))[ \t]*"""
 )
 _VALUE = rf"""(?P<value>{_ATOM}(?:[ \t]*(?:\+|\.(?=[ \t]*["'])|\\\n)[ \t]*{_ATOM})*)"""
 ASSIGN = re.compile(_HEAD + _VALUE)
 HEAD = re.compile(_HEAD)
+_LEAD = re.compile(r"^(?:[.\-]|[^\W_A-Za-z][\w$]*+)*+")  # what stands before a bare name: it begins where its run of characters does, so that long ones are read once
 VALUE = re.compile(_VALUE)
 _PART = re.compile(_ATOM)
 _WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -83,7 +84,7 @@ def sensitivity(name: str) -> float:
 def plausibility(value: str) -> float:
     """How much a literal looks like a credential."""
     n = len(value)
-    if n < 6 or n > 4096 or _PLACEHOLDER.match(value) or " " in value.strip() and n < 40:
+    if n < 6 or _PLACEHOLDER.match(value) or " " in value.strip() and n < 40:
         return 0.0
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     kinds = sum(bool(re.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))
@@ -102,7 +103,7 @@ def scan(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str, f
     found, known, spent = [], {}, set()
 
     def target(m: re.Match) -> str:
-        name = m["name"].strip("-")
+        name = _LEAD.sub("", m["name"]).strip("-")
         index = re.search(r"\[\s*[\"']([^\"']+)[\"']\s*\]$", name)
         return index[1] if index else name.strip("\"'")
 

@@ -1,3 +1,7 @@
+import random
+import string
+import time
+
 import pytest
 
 from graphloom.llm import secrets
@@ -117,3 +121,16 @@ def test_long_chains_take_linear_time():
     for bad in ("a=" * 200_000, "a = " * 200_000, "a: " * 200_000, "a=b " * 100_000, "a: b=" * 100_000):
         secrets.scan(bad)
     assert time.time() - began < 30
+
+
+def test_long_literals_and_names():
+    r = random.Random(5)
+    long = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(10_000))
+    for text in (f'private_key = "{long}"', f"private_key={long}", f'{"a_" * 100}password = "{KEY}"', f'"{"a " * 100}password": "{KEY}"', f'c["{"a_" * 50}password"] = "{KEY}"'):
+        ((start, end, *_),) = secrets.scan(text)
+        assert text[start:end].strip('"') in (long, KEY)
+    assert [f[2] for f in secrets.scan(f'9.password = "{KEY}"; -é.token = "{KEY}"')] == ["password", "token"]
+    began = time.time()
+    for bad in ("a." * 200_000, "a-" * 200_000 + "=", "1." * 200_000, "1a." * 200_000, "é" * 400_000, '"a ' * 200_000, 'a["' * 100_000, "'a" * 200_000):
+        secrets.scan(bad)
+    assert time.time() - began < 30
