@@ -1,6 +1,6 @@
 """Operator 9, HTML extraction by tree scoring.
 
-A page is tokenised into tags and text and built into a tree (unclosed paragraphs and list items end where HTML says;
+A page is tokenised into tags and text and built into a tree (unclosed heads, paragraphs and list items end where HTML says;
 scripts, styles and comments are skipped). Each paragraph gives its parent, and half as much its grandparent, a point,
 a point per comma, and up to three for length. A container's score is discounted by its link density; the best
 container is kept, with the siblings that score at least a fifth of it or are long, link-poor paragraphs.
@@ -25,6 +25,7 @@ _STOP = re.compile(r"[>\"']")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe textarea select".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_HEAD = frozenset("head title meta link base basefont bgsound noframes".split())  # and what is skipped anyway
 _PARAGRAPH = frozenset("p pre td blockquote".split())
 _CONTAINER = frozenset("article aside body blockquote center dd div dl fieldset figure footer form header html li main nav ol section table tbody td tr ul".split())
 _UNLIKELY = re.compile(r"(?i)\b(?:ad|ads|advert\w*|banner|breadcrumb\w*|combx|comment\w*|cookie\w*|disqus|footer|menu|nav\w*|pager|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe)\b")
@@ -91,6 +92,8 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
 
     def add(raw: str) -> None:
         t = _SPACES.sub(" ", unescape(raw) if "&" in raw else raw)
+        if tag[stack[-1]] == "head" and t.strip():
+            leave(len(stack) - 1)
         if t and t != " ":
             texts.append((stack[-1], t))
         elif t and texts:
@@ -125,6 +128,8 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
                 if tag[stack[i]] in ("td", "table", "body") and name not in _BLOCK:
                     break
             continue
+        if name not in _HEAD and (opened.get("head") or opened.get("title")) and (name in _BLOCK or not opened.get("title")):
+            leave(next(i for i, k in enumerate(stack) if tag[k] in ("head", "title")))
         if name in _BLOCK:
             close({"p"}, _BLOCK - {"p"})
             if name == "li":

@@ -54,3 +54,16 @@ def test_tables(spark):
     got = sorted(((str(r["page_id"]), r["text"]) for r in html.extract_pages(pages).collect()))
     assert got == [("1", P), ("1", P), ("2", ""), ("None", "")]
     assert html.extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title>", "<head><meta charset=utf-8><title>t", "<title>t", "<head><title>t</title><link rel=x><style>p {}</style>"])
+@pytest.mark.parametrize("body", ["<body>", "<BODY class=x>", "", "<div>", "<span>s</span>"])
+def test_a_head_that_is_left_open(head, body):
+    title, text, score, _ = html.extract(f"<html>{head}{body}<p>{P}</p><p>{P}")
+    assert title.startswith("t") and text.count(P) == 2 and score > 0
+
+
+def test_text_ends_a_head():
+    assert html.extract(f"<head><title>t</title>{P}")[:2] == ("t", P)
+    assert html.extract(f"<head><title>t</title><b>{P}</b>")[:2] == ("t", P)
+    assert html.extract(f"<head><title>a <b>x</b></title></head><body><p>{P}</p>")[1] == P
