@@ -25,4 +25,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": rlz.ORACLE,
     "op4_suffix_array_dedup": bwt.ORACLE,
+    "op7_arc_to_warc": archive.ORACLE,
 }

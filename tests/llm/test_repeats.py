@@ -3,11 +3,10 @@
 import random
 import re
 
-import duckdb
 import numpy as np
 import pytest
 
-from graphloom.llm import bwt, queries, repeats, rlz
+from graphloom.llm import bwt, repeats, rlz
 
 DOCS = "doc_id long, text string"
 SPAN, GRAM = 6, 3
@@ -114,16 +113,5 @@ def test_merged_order_is_the_suffix_order():
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_sql(spark, name):
-    d = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
-    df = queries.QUERIES[name](spark, d)
-    found = con.execute(queries.ORACLES[name])
-    cols = [c[0] for c in found.description]
-    assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(found.fetchall())
-
-
 def test_winnowing_covers_equal_windows_alike():
     assert repeats.SPAN == 50 and repeats.GRAM < repeats.SPAN
