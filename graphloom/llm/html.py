@@ -2,8 +2,10 @@
 
 A page is tokenised into tags and text and built into a tree (unclosed heads, paragraphs and list items end where HTML says;
 scripts, styles and comments are skipped). Each paragraph gives its parent, and half as much its grandparent, a point,
-a point per comma, and up to three for length. A container's score is discounted by its link density; the best
-container is kept, with the siblings that score at least a fifth of it or are long, link-poor paragraphs.
+a point per comma, and up to three for length, all less its own link density. An element such as div that holds one run
+of text is a paragraph; where it holds several, parted by blocks or blank lines (two br), each is one within it. A
+container's score is discounted by its link density; the best container is kept, with the siblings that score at least a
+fifth of it or are long, link-poor paragraphs. A br ends a line.
 
 Results, case by case: a null or empty page, or one without text, gives an empty text with score 0; null ids and urls
 are carried; ties go to the container that begins first; repeated rows are extracted each for itself; nesting may be of
@@ -27,6 +29,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _HEAD = frozenset("head title meta link base basefont bgsound noframes".split())  # and what is skipped anyway
 _PARAGRAPH = frozenset("p pre td blockquote".split())
+_LEAF = frozenset("center dd div".split())  # paragraphs too, if they hold nothing but one run of text
+_RUNS = frozenset("#root article body center dd div html main section".split())  # whose other runs of text count as paragraphs within them
 _CONTAINER = frozenset("article aside body blockquote center dd div dl fieldset figure footer form header html li main nav ol section table tbody td tr ul".split())
 _UNLIKELY = re.compile(r"(?i)\b(?:ad|ads|advert\w*|banner|breadcrumb\w*|combx|comment\w*|cookie\w*|disqus|footer|menu|nav\w*|pager|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe)\b")
 _LIKELY = re.compile(r"(?i)\b(?:article|body|content|entry|main|post|story|text)\b")
@@ -85,7 +89,7 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
     """Title, text, score and number of paragraphs of a page."""
     if not html:
         return "", "", 0.0, 0
-    tag, parent, attrs, texts = ["#root"], [-1], [""], []  # texts: (node, text) in order
+    tag, parent, attrs, texts = ["#root"], [-1], [""], []  # texts: (node, text) in order; text None is a line break
     stack = [0]
     opened: dict[str, int] = {}  # open elements by name: an end tag without one is skipped
     title, pos = "", 0
@@ -96,7 +100,7 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
             leave(len(stack) - 1)
         if t and t != " ":
             texts.append((stack[-1], t))
-        elif t and texts:
+        elif t and texts and texts[-1][1] is not None:
             texts.append((stack[-1], " "))
 
     def leave(i: int) -> None:
@@ -118,6 +122,9 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
         pos = end
         if name is None:
             continue
+        if name == "br":
+            texts.append((stack[-1], None))
+            continue
         if slash:
             if not opened.get(name):
                 continue
@@ -157,17 +164,36 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
         inside_title[i] = tag[i] in ("title", "head") or inside_title[parent[i]]
         in_link[i] = tag[i] == "a" or in_link[parent[i]]
     order = []
-    for k, (node, t) in enumerate(texts):
+    block = [0] * n  # the nearest block element
+    parts = [False] * n  # has block elements below it, or a blank line
+    for i in range(1, n):
+        block[i] = i if tag[i] in _BLOCK else block[parent[i]]
+        if tag[i] in _BLOCK:
+            parts[block[parent[i]]] = True
+    runs: list[list[int]] = []  # block element, length, commas, length in links
+    breaks, last = 0, None
+    for node, t in texts:
         if inside_title[node]:
-            title += t if tag[node] == "title" else ""
+            title += t or "" if tag[node] == "title" else ""
+            continue
+        if t is None:
+            breaks += 1
+            order.append((node, t))
             continue
         size = len(t.strip())
+        if size:
+            if breaks > 1 and block[node] == last:
+                parts[last] = True
+            if breaks > 1 or block[node] != last:
+                runs.append([block[node], 0, 0, 0])
+            breaks, last = 0, block[node]
+            for k, x in enumerate((size, t.count(","), size * in_link[node]), 1):
+                runs[-1][k] += x
         length[node] += size
         commas[node] += t.count(",")
         if in_link[node]:
             linked[node] += size
         order.append((node, t))
-    own = list(zip(length, commas))
     for i in range(n - 1, 0, -1):
         p = parent[i]
         length[p] += length[i]
@@ -188,15 +214,21 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
                 score[i] += 8.0 * bool(_LIKELY.search(known)) - 15.0 * bool(_UNLIKELY.search(known))
         score[i] += points
 
+    def credit(up: int, size: int, marks: int, links: int) -> None:
+        points = (1.0 + marks + min(size / 100.0, 3.0)) * (1.0 - links / size)
+        if up >= 0:
+            give(up, points)
+            if up > 0:
+                give(parent[up], points / 2.0)
+
+    unlikely = lambda i: any(_UNLIKELY.search(a or b or c) for a, b, c in _ATTR.findall(attrs[i]))
+    leaf = [tag[i] in _LEAF and not parts[i] for i in range(n)]
     for i in range(1, n):
-        if tag[i] in _PARAGRAPH and length[i] >= 25 and not (tag[i] == "td" and commas[i] == 0 and length[i] < 80):
-            points = 1.0 + commas[i] + min(length[i] / 100.0, 3.0)
-            points *= 1.0 - linked[i] / length[i]
-            up = holder[i]
-            if up >= 0:
-                give(up, points)
-                if up > 0:
-                    give(parent[up], points / 2.0)
+        if length[i] >= 25 and (tag[i] in _PARAGRAPH and not (tag[i] == "td" and commas[i] == 0 and length[i] < 80) or leaf[i] and not unlikely(i)):
+            credit(holder[i], length[i], commas[i], linked[i])
+    for i, size, marks, links in runs:
+        if tag[i] in _RUNS and not leaf[i] and size >= 25:
+            credit(i, size, marks, links)
     density = lambda i: linked[i] / length[i] if length[i] else 1.0
     final = {i: s * (1.0 - density(i)) for i, s in score.items()}
     if final:
@@ -208,22 +240,19 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
     if best > 0:
         for i in range(1, n):
             if parent[i] == parent[best] and i != best:
-                if final.get(i, -1e9) >= max(5.0, 0.2 * top) or tag[i] == "p" and length[i] > 80 and density(i) < 0.25:
+                if final.get(i, -1e9) >= max(5.0, 0.2 * top) or (tag[i] == "p" or leaf[i] and not unlikely(i)) and length[i] > 80 and density(i) < 0.25:
                     chosen.add(i)
     keep = [False] * n
     dropped = {i for i in range(1, n) if tag[i] in ("nav", "footer", "aside", "form", "button") or final.get(i, 0.0) < 0}
     for i in range(n):
         keep[i] = i in chosen or (parent[i] >= 0 and keep[parent[i]] and i not in dropped)
-    block = [0] * n  # the nearest block element
-    for i in range(1, n):
-        block[i] = i if tag[i] in _BLOCK else block[parent[i]]
     lines, last = [], None
     for node, t in order:
         if keep[node]:
-            if block[node] != last:
+            if block[node] != last or t is None:
                 lines.append([])
                 last = block[node]
-            lines[-1].append(t)
+            lines[-1].append(t or "")
     shown = [x for x in (_SPACES.sub(" ", "".join(p)).strip() for p in lines) if x]
     return title.strip(), "\n".join(shown), round(top, 6), len(shown)
 

@@ -1,3 +1,5 @@
+import random
+import re
 import time
 
 import pytest
@@ -67,3 +69,75 @@ def test_text_ends_a_head():
     assert html.extract(f"<head><title>t</title>{P}")[:2] == ("t", P)
     assert html.extract(f"<head><title>t</title><b>{P}</b>")[:2] == ("t", P)
     assert html.extract(f"<head><title>a <b>x</b></title></head><body><p>{P}</p>")[1] == P
+
+
+def test_paragraphs_in_divs_and_between_blank_lines():
+    teaser = "<div class=top><p>Read this teaser, it is thirty-nine ch.</p></div>"
+    assert html.extract(page(teaser + "<div>" + "<br><br>".join([P] * 10) + "</div>"))[1:4:2] == ("\n".join([P] * 10), 10)
+    assert html.extract(page(teaser + "<div>" + f"<div>{P}<br></div>" * 10 + "</div>"))[1] == "\n".join([P] * 10)
+    assert html.extract(page(teaser + "<section>" + f"{P}<h2>Head</h2>" * 5 + "</section>"))[1].count(P) == 5
+    assert html.extract("<div>one<br>two<br/></div>")[1] == "one\ntwo"
+
+
+def grow(r, depth):
+    """A random tree of (tag, children), children being texts or trees."""
+    text = lambda: " ".join(r.choice(["word", "longer,", "clause,", "and", "more."]) for _ in range(r.randint(1, 30)))
+    if depth == 0 or r.random() < 0.3:
+        return (r.choice(["p", "p", "div"]), [("a", [text()]) if r.random() < 0.15 else text() for _ in range(1)])
+    return (r.choice(["div", "article", "section"]), [grow(r, depth - 1) for _ in range(r.randint(1, 4))])
+
+
+def markup(x):
+    return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(markup, x[1]))}</{x[0]}>"
+
+
+def naive(body):
+    """Best score and text by the definition, on trees of grow()."""
+    bonus = {"article": 8.0, "section": 3.0, "div": 3.0}
+    nodes = []
+
+    def walk(x, path):
+        me = len(nodes)
+        nodes.append((x[0], path))
+        inner = [(c, True) if isinstance(c, str) and x[0] == "a" else (c, False) if isinstance(c, str) else None for c in x[1]]
+        texts = [t for t in inner if t]
+        leaves = [(me, c) for c in x[1] if isinstance(c, str)]
+        for c in x[1]:
+            if not isinstance(c, str):
+                below, more = walk(c, [*path, me])
+                texts += below
+                leaves += more
+        info[me] = texts
+        return texts, leaves
+
+    info = {}
+    _, leaves = walk(body, [])
+    size = {i: sum(len(t) for t, _ in x) for i, x in info.items()}
+    links = {i: sum(len(t) for t, a in x if a) for i, x in info.items()}
+    score = {}
+    blocks = {p for i, (tag, path) in enumerate(nodes) if tag != "a" for p in path[-1:]}
+    paragraph = {i for i, (tag, _) in enumerate(nodes) if tag == "p" or tag == "div" and i not in blocks}
+    for i in sorted(paragraph):
+        if size[i] >= 25:
+            points = (1 + sum(t.count(",") for t, _ in info[i]) + min(size[i] / 100, 3)) * (1 - links[i] / size[i])
+            for k, up in enumerate(reversed(nodes[i][1][-2:])):
+                score[up] = score.get(up, bonus.get(nodes[up][0], 0.0)) + points / (1 + k)
+    final = {i: s * (1 - links[i] / size[i]) for i, s in score.items()}
+    if not final:
+        return 0.0, "\n".join(t for _, t in leaves)
+    best = max(final, key=lambda i: (final[i], -i))
+    chosen = {best}
+    for i, (tag, path) in enumerate(nodes):
+        if i != best and path and nodes[best][1] and path[-1] == nodes[best][1][-1]:
+            if final.get(i, -1e9) >= max(5.0, 0.2 * final[best]) or i in paragraph and size[i] > 80 and links[i] / size[i] < 0.25:
+                chosen.add(i)
+    return round(final[best], 6), "\n".join(t for i, t in leaves if chosen & {i, *nodes[i][1]})
+
+
+def test_against_a_naive_version():
+    r = random.Random(3)
+    for _ in range(400):
+        tree = ("body", [grow(r, r.randint(1, 4)) for _ in range(r.randint(1, 4))])
+        _, text, score, _ = html.extract(f"<html><head><title>t</title></head>{markup(tree)}</html>")
+        want = naive(tree)
+        assert score == pytest.approx(want[0], abs=1e-5) and text == re.sub(r" +", " ", want[1])
