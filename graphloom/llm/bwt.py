@@ -14,15 +14,13 @@ equal passages the first in (doc_id, position) stays; an empty table: no rows; e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import repeats
-from graphloom.llm.session import cut, documents
-from graphloom.llm.text import Words, pieces
+from graphloom.llm.session import documents
+from graphloom.llm.text import span_weights
 
 SHARD_WORDS = 300_000
 BLOCK_SHARDS = 4
@@ -128,114 +126,40 @@ def repeated_windows(segments: list[np.ndarray], span: int, shard_words: int = S
     return group[~alone], seg[~alone], off[~alone]
 
 
-def block_matches(segs: DataFrame, span: int, id_type: str) -> DataFrame:
-    """Windows (doc_id, lo, hi, ref_doc, ref_lo) of the segments (anchor, doc_id, lo, words) that occur earlier."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def solve(table: pa.Table) -> pa.RecordBatch | None:
-            words = table.column("words").combine_chunks()
-            words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-            data = words.buffers()[2]
-            offs = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
-            flat = np.frombuffer(data, dtype=np.uint8)
-            full = flat[offs[0] : offs[-1]].view(np.uint64)
-            cuts = (offs - offs[0]) // 8
-            group, seg, off = repeated_windows([full[a:b] for a, b in zip(cuts[:-1], cuts[1:])], span)
-            if not len(group):
-                return None
-            # 16-bit symbols can agree by chance: groups are told apart by the whole words too
-            pre = np.concatenate([[np.uint64(0)], np.cumsum(full * _weights(len(full)), dtype=np.uint64)])
-            i = cuts[seg] + off
-            check = (pre[i + span] - pre[i]) * _inverse(len(full))[i]
-            ids = table.column("doc_id").combine_chunks()
-            order_of = _dense(ids)
-            lo = np.asarray(table.column("lo"), dtype=np.int64)[seg] + off
-            d = order_of[seg]
-            order = np.lexsort((lo, d, check, group))
-            group, check, d, lo, seg = (x[order] for x in (group, check, d, lo, seg))
-            new = np.ones(len(group), dtype=bool)
-            new[1:] = (group[1:] != group[:-1]) | (check[1:] != check[:-1])
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (d != d[head]) | (lo != lo[head])
-            out = np.flatnonzero(later)
-            take = lambda x: ids.take(pa.array(x))
-            return pa.RecordBatch.from_arrays(
-                [take(seg[out]), pa.array(lo[out].astype(np.int32)), pa.array((lo[out] + span).astype(np.int32)), take(seg[head[out]]), pa.array(lo[head[out]].astype(np.int32))],
-                names=["doc_id", "lo", "hi", "ref_doc", "ref_lo"],
-            )
-
-        def whole() -> Iterator[tuple[pa.Table, bool]]:
-            """Tables of whole anchors."""
-            nonlocal held, size
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                held.append(batch)
-                size += batch.column("words").nbytes // 8
-                if size >= SHARD_WORDS * BLOCK_SHARDS:
-                    table = pa.Table.from_batches(held)
-                    a = np.asarray(table.column("anchor"))
-                    stop = int(np.searchsorted(a, a[-1], "left"))
-                    if stop:
-                        yield table.slice(0, stop)
-                        held = table.slice(stop).to_batches()
-                        size = sum(x.column("words").nbytes // 8 for x in held)
-            if held:
-                yield pa.Table.from_batches(held)
-
-        for table in whole():
-            found = solve(table)
-            if found is not None and found.num_rows:
-                yield found
-
-    return segs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"doc_id {id_type}, lo int, hi int, ref_doc {id_type}, ref_lo int")
-
-
-def _weights(n: int) -> np.ndarray:
-    from graphloom.llm.text import _MUL, _powers
-
-    return _powers("word", _MUL, n + 1)[:n]
-
-
-def _inverse(n: int) -> np.ndarray:
-    from graphloom.llm.text import _MUL_INV, _powers
-
-    return _powers("inverse", _MUL_INV, n + 1)
+def block_matches(block: repeats.Block, span: int) -> pa.RecordBatch | None:
+    """The windows of a block that occur earlier."""
+    words, begin = block.words, block.begin
+    group, seg, off = repeated_windows([words[a:b] for a, b in zip(begin[:-1], begin[1:])], span)
+    if not len(group):
+        return None
+    # 16-bit symbols can agree by chance: groups are told apart by the whole words too
+    weight, inverse = span_weights(len(words) + 1)
+    pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * weight[: len(words)], dtype=np.uint64)])
+    i = begin[seg] + off
+    check = (pre[i + span] - pre[i]) * inverse[i]
+    text = np.unique(np.column_stack([_dense(block.ids)[block.row], block.digest]), axis=0, return_inverse=True)[1].ravel()[seg]
+    lo = block.lo[seg] + off
+    order = np.lexsort((lo, text, check, group))
+    group, check, text, lo, seg, off = (x[order] for x in (group, check, text, lo, seg, off))
+    new = np.ones(len(group), dtype=bool)
+    new[1:] = (group[1:] != group[:-1]) | (check[1:] != check[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = np.flatnonzero((text != text[head]) | (lo != lo[head]))
+    return block.matches(seg[later], off[later], np.full(len(later), span), seg[head[later]], off[head[later]])
 
 
 def _dense(ids: pa.Array) -> np.ndarray:
     """Ranks of the ids in order."""
-    if isinstance(ids, pa.ChunkedArray):
-        ids = ids.combine_chunks()
     return np.unique(np.asarray(ids), return_inverse=True)[1]
 
 
-def duplicate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", span: int = repeats.SPAN, gram: int = repeats.GRAM) -> DataFrame:
-    """(doc_id, start_word, end_word, n_factors, ref_doc_id, ref_start_word): repeated intervals as spans of words."""
-    docs = repeats.texts(docs, text_col, id_col)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    marked = cut(repeats.marks(docs, span, gram))
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in pieces(big):
-                w = Words(batch.column("text"))
-                at = np.unique(repeats.positions(batch, w))
-                if not len(at):
-                    continue
-                lo, hi = repeats.regions(w, at, span, gram)
-                raw, row = w.hash, w.row[at]
-                yield pa.RecordBatch.from_arrays(
-                    [repeats.signed(w.span_hash(at, np.minimum(at + gram, w.first[row + 1]))), batch.column("doc_id").take(pa.array(row)), pa.array((lo - w.first[row]).astype(np.int32)), pa.array([raw[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())],
-                    names=["anchor", "doc_id", "lo", "words"],
-                )
-
-    segs = repeats.with_positions(docs, marked).mapInArrow(segments, f"anchor long, doc_id {id_type}, lo int, words binary")
-    whole = marked.where("kind = 1").select("doc_id", "lo", "hi", "ref_doc", "ref_lo")
-    return repeats.parse(whole.unionByName(block_matches(segs, span, id_type)))
+def duplicate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", span: int = repeats.SPAN, gram: int = repeats.GRAM, **options) -> DataFrame:  # noqa: ANN003
+    """(doc_id, digest, start_word, end_word, n_factors, ref_doc_id, ref_start_word): repeated intervals as spans of words."""
+
+    def solve(block: repeats.Block) -> pa.RecordBatch | None:
+        return block_matches(block, span)
+
+    return repeats.spans_of(repeats.keyed(docs, text_col, id_col), solve, span, gram, SHARD_WORDS * BLOCK_SHARDS, **options)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

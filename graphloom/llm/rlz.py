@@ -1,74 +1,114 @@
-"""Operator 1, substring dedup: Relative Lempel-Ziv parsing against an index of every reference block.
+"""Operator 1, substring dedup: Relative Lempel-Ziv parsing against every indexed reference block.
 
-The reference is the corpus itself, in order of (doc_id, word position). Its index maps window hashes to their first
-occurrence and is spread over the cluster by hash, so each document is looked up in all blocks at once by an equi-join
-in place of a loop over blocks. Each document is then parsed greedily: the longest phrase that the reference holds at
-the cursor becomes a factor, and at factor boundaries the phrases that cross them are tried too. Factors of at least 50
-words become duplicate spans; shorter stretches are literals.
+The reference is the corpus itself, in order of (doc_id, digest, word position): each text is factored against all text
+before it. Reference blocks are sets of whole anchors (see `repeats`): a block indexes the regions around its anchors,
+and a document is factored against every block that one of its anchors is in; in other blocks it can't have a factor of
+50 words. Within a block, each cursor looks up the 50 words behind it in the index, confirms them word by word, and
+goes on word by word along the references that still agree, until the last of them parts: the longest match that
+begins at the cursor is its factor. Cursors go from left to right; at each factor's boundary those before it are asked
+too, and a factor that begins before the boundary and reaches beyond it counts. Factors of at least 50 words become
+duplicate spans, shorter ones are literals; factors of neighbouring blocks that go on along one reference are one.
 
 Results, case by case:
 
 * a null doc_id or text, an empty text, a text of fewer than 50 words: no spans;
-* a repeated row (same id, same text) is one document; two rows with one id are two texts of one document;
-* ties: of equal passages the one with the least (doc_id, position) is the source and stays;
+* a repeated row (same id, same text) is one document; two rows with one id are two texts of one document, told apart
+  by `digest`, a hash of the text;
+* ties: of equal passages the one with the least (doc_id, digest, position) is the source and stays;
 * an empty table: no rows; extra columns, whatever their names, are ignored; very long texts are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import repeats
-from graphloom.llm.session import cut, documents
-from graphloom.llm.text import Words, pieces
-
-
-def index_matches(docs: DataFrame, marked: DataFrame, span: int, gram: int) -> DataFrame:
-    """Windows of kind-0 regions whose words occur earlier, each with its first occurrence."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in pieces(big):
-                w = Words(batch.column("text"))
-                at = repeats.positions(batch, w)
-                if not len(at):
-                    continue
-                lo, hi = repeats.regions(w, at, span, gram)
-                change = np.zeros(len(w) + 1, dtype=np.int64)  # +1 at the first, -1 after the last window of each region
-                ok = hi - lo >= span
-                np.add.at(change, lo[ok], 1)
-                np.add.at(change, hi[ok] - span + 1, -1)
-                s = np.flatnonzero(np.cumsum(change) > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [repeats.signed(w.span_hash(s, s + span)), batch.column("doc_id").take(pa.array(w.row[s])), pa.array((s - w.first[w.row[s]]).astype(np.int32))],
-                    names=["window", "doc_id", "lo"],
-                )
-
-    same = Window.partitionBy("window").orderBy("doc_id", "lo")
-    return (
-        repeats.with_positions(docs, marked)
-        .mapInArrow(windows, f"window long, doc_id {id_type}, lo int")
-        .select("doc_id", "lo", F.rank().over(same).alias("nth"), F.first("doc_id").over(same).alias("ref_doc"), F.first("lo").over(same).alias("ref_lo"))
-        .where("nth > 1")
-        .select("doc_id", "lo", (F.col("lo") + span).alias("hi"), "ref_doc", "ref_lo")
-    )
-
-
-def duplicate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", span: int = repeats.SPAN, gram: int = repeats.GRAM) -> DataFrame:
-    """(doc_id, start_word, end_word, n_factors, ref_doc_id, ref_start_word): passages of span or more words seen earlier.
-
-    The reference columns name the source of the span's longest phrase.
+from graphloom.llm.session import documents
+from graphloom.llm.text import mix, span_weights
+
+BLOCK_WORDS = 1_000_000
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the first one with an equal key, and how many have it."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    head = np.ones(len(k), dtype=bool)
+    head[1:] = k[1:] != k[:-1]
+    at = np.flatnonzero(head)
+    size = np.diff(np.append(at, len(k)))
+    first, many = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    first[order] = np.repeat(order[at], size)
+    many[order] = np.repeat(size, size)
+    return first, many
+
+
+def factors(block: repeats.Block, span: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(segment, start, length, reference segment, its start): the longest earlier match of span words or more at each
+    cursor, without those that end no later than one further left."""
+    words, begin = block.words, block.begin
+    end = begin[1:]
+    first_cursor = np.maximum(begin[:-1], block.at + gram - span)
+    n_cursors = np.maximum(0, np.minimum(block.at, end - span) - first_cursor + 1)
+    seg = np.repeat(np.arange(len(block)), n_cursors)  # in order of the segments: the first of equal keys is the earliest
+    cursor = np.arange(len(seg)) - np.repeat(np.cumsum(n_cursors) - n_cursors, n_cursors) + first_cursor[seg]
+    weight, inverse = span_weights(len(words) + 1)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * weight[: len(words)], dtype=np.uint64)])
+    key = mix((prefix[cursor + span] - prefix[cursor]) * inverse[cursor] + (block.at[seg] - cursor).astype(np.uint64))
+    first, many = _groups(mix(key ^ (block.anchor[seg].view(np.uint64) * np.uint64(0xD1342543DE82EF95))))
+    live = np.flatnonzero(many > 1)
+    first = first[live]
+    equal = np.ones(len(live), dtype=bool)  # the index's answer, confirmed word by word
+    for i in range(span):
+        equal &= words[cursor[live] + i] == words[cursor[first] + i]
+    if not equal.all():  # equal hashes of different words: told apart by the words
+        where: dict[bytes, int] = {}
+        for i in range(len(live)):
+            c = cursor[live[i]]
+            first[i] = where.setdefault(words[c : c + span].tobytes() + int(block.anchor[seg[live[i]]]).to_bytes(8, "little", signed=True) + int(block.at[seg[live[i]]] - c).to_bytes(2, "little"), live[i])
+    length, ref = np.zeros(len(seg), dtype=np.int64), np.full(len(seg), -1, dtype=np.int64)
+    reach = span
+    while len(live):
+        later = live != first
+        length[live[later]], ref[live[later]] = reach, first[later]
+        go = cursor[live] + reach < end[seg[live]]
+        live, group = live[go], first[go]
+        if not len(live):
+            break
+        nxt = words[cursor[live] + reach]
+        order = np.lexsort((nxt, group))  # stable: within equal words the segments stay in order
+        g, x, l = group[order], nxt[order], live[order]  # noqa: E741
+        head = np.ones(len(l), dtype=bool)
+        head[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
+        at = np.flatnonzero(head)
+        size = np.diff(np.append(at, len(l)))
+        keep = np.repeat(size, size) > 1
+        live, first = l[keep], np.repeat(l[at], size)[keep]
+        order = np.argsort(live)
+        live, first = live[order], first[order]
+        reach += 1
+    found = np.flatnonzero(length)
+    top = cursor[found] + length[found]
+    base = seg[found] * np.int64(1 << 40)
+    best = np.maximum.accumulate(np.concatenate([[-1], (top + base)[:-1]]))
+    found = found[top + base > best] if len(found) else found
+    s, r = seg[found], ref[found]
+    return s, cursor[found] - begin[s], length[found], seg[r], cursor[r] - begin[seg[r]]
+
+
+def duplicate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", span: int = repeats.SPAN, gram: int = repeats.GRAM, **options) -> DataFrame:  # noqa: ANN003
+    """(doc_id, digest, start_word, end_word, n_factors, ref_doc_id, ref_start_word): passages of span or more words seen earlier.
+
+    digest is xxhash64 of the text. The reference columns name the source of the span's longest factor. options:
+    salt_rows and block_regions of `repeats.marks`.
     """
-    docs = repeats.texts(docs, text_col, id_col)
-    marked = cut(repeats.marks(docs, span, gram))
-    whole = marked.where("kind = 1").select("doc_id", "lo", "hi", "ref_doc", "ref_lo")
-    return repeats.parse(whole.unionByName(index_matches(docs, marked, span, gram)))
+
+    def solve(block: repeats.Block) -> pa.RecordBatch:
+        return block.matches(*factors(block, span, gram))
+
+    return repeats.spans_of(repeats.keyed(docs, text_col, id_col), solve, span, gram, BLOCK_WORDS, **options)
 
 
 def remove_spans(docs: DataFrame, span: int = repeats.SPAN) -> DataFrame:

@@ -31,6 +31,11 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def span_weights(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of n places in a sum of word hashes, and what makes a difference of sums independent of its place."""
+    return _powers("word", _MUL, n), _powers("inverse", _MUL_INV, n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))

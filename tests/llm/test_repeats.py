@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import bwt, repeats, rlz
@@ -113,5 +114,74 @@ def test_merged_order_is_the_suffix_order():
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
-def test_winnowing_covers_equal_windows_alike():
-    assert repeats.SPAN == 50 and repeats.GRAM < repeats.SPAN
+@pytest.mark.parametrize("module", [rlz, bwt])
+@pytest.mark.parametrize(("salt_rows", "block_regions"), [(3, 10**6), (10**6, 2), (3, 2), (1, 0)])
+def test_heavy_anchors_are_split_without_a_change(spark, rows, module, salt_rows, block_regions):
+    docs = [d for c in corpora() for d in c]
+    docs = [(i + 1000 * k, t) for k, (i, t) in enumerate(docs)] + [(10**6, docs[-1][1])] * 9 + [(10**6 + 1 + i, f"{docs[-1][1]} x{i}") for i in range(9)]
+    df = spark.createDataFrame(docs, DOCS).repartition(5)
+    assert sorted(rows(module.duplicate_spans(df, span=SPAN, gram=GRAM, salt_rows=salt_rows, block_regions=block_regions), "doc_id", "start_word", "end_word")) == brute(docs, SPAN)
+
+
+def blocks(r):
+    """Random regions around anchors, as a block, and what they are: (anchor, doc, words, place of the anchor)."""
+    out = []
+    for k in range(r.randint(1, 25)):
+        anchor = r.randrange(3)
+        left, right = ([r.randrange(2) + 10 for _ in range(r.randint(0, SPAN - GRAM))] for _ in range(2))
+        out.append((anchor, k, [*left, *(100 * anchor + i for i in range(GRAM)), *right], len(left)))
+    raw = [np.array(w, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _, _, w, _ in out]
+    table = pa.table({"anchor": pa.array([x[0] for x in out], pa.int64()), "doc_id": pa.array([x[1] for x in out], pa.int64()), "digest": pa.array([0] * len(out), pa.int64()), "pos": pa.array([x[3] for x in out], pa.int32()), "lo": pa.array([0] * len(out), pa.int32()), "words": pa.array([x.tobytes() for x in raw], pa.binary())})
+    return repeats.Block(table, GRAM), sorted(out, key=lambda x: x[:2])
+
+
+def test_factors_are_the_longest_matches():
+    r = random.Random(4)
+    seen = 0
+    for _ in range(200):
+        block, segs = blocks(r)
+        want = []
+        for k, (anchor, _, w, at) in enumerate(segs):
+            top = -1
+            for c in range(len(w)):
+                if c > at or c + SPAN < at + GRAM:
+                    continue
+                best = 0
+                for a2, _, v, at2 in segs[:k]:
+                    d = c - at + at2
+                    if a2 == anchor and d >= 0:
+                        n = 0
+                        while c + n < len(w) and d + n < len(v) and w[c + n] == v[d + n]:
+                            n += 1
+                        best = max(best, n)
+                if best >= SPAN and c + best > top:
+                    top = c + best
+                    want.append((k, c, best))
+        seg, start, length, ref, ref_start = rlz.factors(block, SPAN, GRAM)
+        assert list(zip(seg.tolist(), start.tolist(), length.tolist())) == want
+        for k, c, n, j, d in zip(*(x.tolist() for x in (seg, start, length, ref, ref_start))):
+            assert j < k and segs[j][2][d : d + n] == segs[k][2][c : c + n]
+        seen += len(want)
+    assert seen > 200
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    p = " ".join(f"w{i}" for i in range(55))
+    other = " ".join(f"u{i}" for i in range(80))
+    docs = [(1, p), (2, f"a {p} b"), (2, other), (2, other)]
+    df = spark.createDataFrame(docs, DOCS)
+    got = sorted((r["doc_id"], r["text"]) for r in rlz.remove_spans(df).collect())
+    assert got == [(1, p), (2, "a b"), (2, other), (2, other)]
+    for module in (rlz, bwt):
+        assert [(r["doc_id"], r["start_word"], r["end_word"]) for r in module.duplicate_spans(df).collect()] == [(2, 1, 56)]
+    short, long = " ".join(f"s{i}" for i in range(60)), " ".join(f"s{i}" for i in range(200))  # one id, one a prefix of the other
+    (r,) = rlz.duplicate_spans(spark.createDataFrame([(5, short), (5, long)], DOCS)).collect()
+    assert (r["doc_id"], r["start_word"], r["end_word"]) == (5, 0, 60)
+
+
+def test_a_third_of_all_rows_is_one_text(spark):
+    p = " ".join(f"w{i}" for i in range(70))
+    docs = [(7, p)] * 400 + [(8 + i, f"{p} {i}") for i in range(400)] + [(1000 + i, " ".join(f"{i}-{j}" for j in range(60))) for i in range(400)]
+    for module in (rlz, bwt):
+        got = module.duplicate_spans(spark.createDataFrame(docs, DOCS).repartition(6), salt_rows=100, block_regions=50).collect()
+        assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == [(8 + i, 0, 70) for i in range(400)]
