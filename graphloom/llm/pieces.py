@@ -1,16 +1,19 @@
 """Operator 6, SentencePiece encoding and decoding, with a max-plus parallel scan for giant documents.
 
-The model is a byte-fallback BPE piece model (its path is a parameter). A segmentation is BPE's own exactly if each
-piece encodes to itself and each two neighbours, put together, encode to just these two. So encoding is the one path of
-finite weight through a lattice whose steps weigh 0 where neighbours agree and minus infinity where not, and paths can
-be composed in the max-plus semiring:
+The model (its path is a parameter) is a byte-fallback piece model, of unigram or BPE kind. Encoding is the best path
+through a lattice of pieces, and paths can be composed in the max-plus semiring. In a unigram model a step weighs its
+piece's score. In a BPE model a segmentation is BPE's own exactly if each piece encodes to itself and each two
+neighbours, put together, encode to just these two: a step weighs 0 where neighbours agree and minus infinity where not.
 
 * a document over `giant_chars` characters is split into chunks of `chunk_chars`, which go to different tasks;
 * a chunk's boundary states are the pieces that may cover its first and its last boundary, and its transfer matrix
   holds, for each pair of them, the best weight of a path between. Where white space pins a boundary inside, only the
   stretches before the first and after the last pin depend on the states; runs without white space are done in full;
-* matrices are combined associatively along each document; the resolved states go back to the chunks, and each chunk
-  is traced back on its own.
+* matrices are combined associatively, `FAN` neighbours at a time, level by level up to one for the whole document; the
+  states are then resolved level by level down again, and each chunk is traced back on its own.
+
+A model that this can't be done for (another kind, no byte fallback, a normaliser that changes texts, user-defined
+pieces, pieces across white space) raises an error.
 
 Shorter documents are split into units of a run of spaces and what follows it, which no piece of the model crosses;
 each distinct unit of a batch is encoded once by the library. Both ways give the ids that the library gives.
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,32 @@ GIANT_CHARS = 1 << 15
 CHUNK_CHARS = 1 << 14
 MARK = "▁"
 NEVER = -np.inf
+FAN = 32
+UNIGRAM, BPE = 1, 2
+
+
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            out |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return out
+
+    while at < len(raw):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            yield key >> 3, raw[at : at + size]
+            at += size
 
 
 class Model:
@@ -51,10 +80,20 @@ class Model:
         names = [sp.id_to_piece(i) for i in range(n)]
         plain = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(names) if plain[i]}
+        spec = dict(x for x in fields(sp.serialized_model_proto()) if x[0] in (2, 3))
+        trained, normal = dict(fields(spec.get(2, b""))), dict(fields(spec.get(3, b"")))
+        self.kind = trained.get(3, UNIGRAM)
+        if self.kind not in (UNIGRAM, BPE) or not trained.get(35):
+            raise ValueError("the model is neither unigram nor BPE with byte fallback")
+        if normal.get(2) or not normal.get(3, 1) or normal.get(4, 1) or not normal.get(5, 1) or trained.get(24):
+            raise ValueError("the model's normaliser changes texts in another way than by a mark before them and for spaces")
+        if any(dict(fields(v)).get(3, 1) == 4 for k, v in fields(sp.serialized_model_proto()) if k == 1):
+            raise ValueError("the model has user-defined pieces")
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces of this model cross white space")
         self.longest = max(map(len, self.ids))
+        self.unknown = min(self.score.values()) - 10  # of a character that is no piece
         self.bytes_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         raw = [p.replace(MARK, " ").encode() if ok else b"" for p, ok in zip(names, plain)]
         for b, i in enumerate(self.bytes_ids):
@@ -87,10 +126,13 @@ class Model:
         return tuple(parts)
 
     def sound(self, piece: str) -> bool:
-        return len(piece) == 1 or piece in self.ids and self.bpe(piece) == (piece,)
+        return len(piece) == 1 or piece in self.ids and (self.kind == UNIGRAM or self.bpe(piece) == (piece,))
 
     def agree(self, a: str, b: str) -> bool:
-        return self.bpe(a + b) == (a, b)
+        return self.kind == UNIGRAM or self.bpe(a + b) == (a, b)
+
+    def weight(self, piece: str) -> float:
+        return self.score.get(piece, self.unknown) if self.kind == UNIGRAM else 0.0
 
 
 @lru_cache(maxsize=4)
@@ -209,7 +251,7 @@ class Chunk:
             p = min(todo)
             for x, w in todo.pop(p).items():
                 for y in self.next_pieces(x):
-                    put(y, w)
+                    put(y, w + self.m.weight(self.piece(*y)))
         return out
 
     def transfer(self) -> np.ndarray:
@@ -233,26 +275,30 @@ class Chunk:
         return head[:, None] + tail[None, :]
 
     def path(self, start: tuple[int, int], stop: int, goal: tuple[int, int] | None) -> list[tuple[int, int]]:
-        """The pieces after start up to goal, or up to any piece that ends at stop."""
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        todo = {start[1]: [start]}
+        """The best pieces after start up to goal, or up to any piece that ends at stop; of equals those that begin first."""
         if goal == start or goal is None and start[1] == stop:
             return []
+        best: dict[tuple[int, int], float] = {start: 0.0}
+        back: dict[tuple[int, int], tuple[int, int]] = {}
+        todo, last = {start[1]: [start]}, None
         while todo:
             p = min(todo)
             for x in todo.pop(p):
                 for y in self.next_pieces(x):
-                    if y in back:
+                    w = best[x] + self.m.weight(self.piece(*y))
+                    if y in best and w <= best[y]:
                         continue
-                    back[y] = x
-                    if y == goal or goal is None and y[1] == stop:
-                        out = [y]
-                        while back[out[-1]] != start:
-                            out.append(back[out[-1]])
-                        return out[::-1]
-                    if y[1] < stop:
+                    if y not in best and y[1] < stop:
                         todo.setdefault(y[1], []).append(y)
-        raise ValueError("no path between the states")
+                    best[y], back[y] = w, x
+                    if y == goal or goal is None and y[1] == stop and (last is None or y == last or w > best[last]):
+                        last = y
+        if last is None:
+            raise ValueError("no path between the states")
+        out = [last]
+        while back[out[-1]] != start:
+            out.append(back[out[-1]])
+        return out[::-1]
 
     def ids(self, start: int, goal: int) -> list[int]:
         """The ids of the pieces after the start state, goal state included."""
@@ -270,17 +316,17 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def resolve(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The state before and after each chunk on the best path: prefixes from the left, then back from the right."""
-    prefix = [matrices[0]]
+def resolve(matrices: list[np.ndarray], start: int = 0, goal: int | None = None) -> list[tuple[int, int]]:
+    """The state before and after each of some neighbours on the best path from start to goal (the best, if it isn't given)."""
+    prefix = [matrices[0][start]]
     for x in matrices[1:]:
-        prefix.append(combine(prefix[-1], x))
-    goal = int(np.argmax(prefix[-1][0]))
+        prefix.append((prefix[-1][:, None] + x).max(axis=0))
+    goal = int(np.argmax(prefix[-1])) if goal is None else goal
     out = []
     for k in range(len(matrices) - 1, -1, -1):
-        start = int(np.argmax(prefix[k - 1][0] + matrices[k][:, goal])) if k else 0
-        out.append((start, goal))
-        goal = start
+        before = int(np.argmax(prefix[k - 1] + matrices[k][:, goal])) if k else start
+        out.append((before, goal))
+        goal = before
     return out[::-1]
 
 
@@ -322,14 +368,37 @@ def encode_giant(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), batch.column("k"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "digest", "k", "part"])
 
     chunks = cut(docs.mapInArrow(spread, f"doc_id {id_type}, digest long, k int, text string, at long, a long, b long, end long").repartition("doc_id", "digest", "k"))
-    matrices = chunks.mapInArrow(transfer, f"doc_id {id_type}, digest long, k int, width int, weights array<double>")
-
-    @F.udf("array<struct<k:int,start:int,goal:int>>")
-    def solve(found):  # noqa: ANN001, ANN202
-        found = sorted(found, key=lambda x: x["k"])
-        return [(x["k"], *s) for x, s in zip(found, resolve([np.array(x["weights"]).reshape(-1, x["width"]) for x in found]))]
-
-    states = matrices.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("k", "width", "weights")).alias("m")).select("doc_id", "digest", F.explode(solve("m")).alias("s")).select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.col("s.k").alias("n"), "s.start", "s.goal")
+    weights = f"doc_id {id_type}, digest long, k int, width int, weights array<double>"
+    levels = [cut(chunks.mapInArrow(transfer, weights))]
+    widest = (levels[0].agg(F.max("k")).first()[0] or 0) + 1
+    parent = F.floor(F.col("k") / FAN).cast("int").alias("parent")
+
+    def read(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+        table = table.sort_by("k")
+        return table, [np.array(x).reshape(-1, w) for x, w in zip(table.column("weights").to_pylist(), table.column("width").to_pylist())]
+
+    def product(table: pa.Table) -> pa.Table:
+        table, found = read(table)
+        whole = reduce(combine, found)
+        head = table.slice(0, 1)
+        return pa.table({"doc_id": head.column("doc_id"), "digest": head.column("digest"), "k": pa.array([head.column("k")[0].as_py() // FAN], pa.int32()), "width": pa.array([whole.shape[1]], pa.int32()), "weights": pa.array([whole.ravel().tolist()], pa.list_(pa.float64()))})
+
+    def solve(table: pa.Table) -> pa.Table:
+        table, found = read(table)
+        states = resolve(found, table.column("start")[0].as_py(), table.column("goal")[0].as_py())
+        return pa.table({"d": table.column("doc_id"), "g": table.column("digest"), "n": table.column("k"), **{x: pa.array([s[i] for s in states], pa.int32()) for i, x in enumerate(("start", "goal"))}})
+
+    while widest > FAN:
+        levels.append(cut(levels[-1].groupBy("doc_id", "digest", parent).applyInArrow(product, weights)))
+        widest = -(-widest // FAN)
+    states: DataFrame | None = None
+    for level in reversed(levels):
+        rows_of = level.select("*", parent)
+        if states is None:
+            rows_of = rows_of.withColumns({"start": F.lit(0), "goal": F.lit(None).cast("int")})
+        else:
+            rows_of = rows_of.join(states, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")) & (F.col("parent") == F.col("n"))).drop("d", "g", "n")
+        states = rows_of.groupBy("doc_id", "digest", "parent").applyInArrow(solve, f"d {id_type}, g long, n int, start int, goal int")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")) & (F.col("k") == F.col("n"))
     traced = chunks.join(states, same).drop("d", "g", "n").mapInArrow(trace, f"doc_id {id_type}, digest long, k int, part array<int>")
     return traced.groupBy("doc_id", "digest").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("ids"))

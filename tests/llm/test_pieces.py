@@ -1,6 +1,8 @@
 import os
 import random
+from functools import reduce
 
+import numpy as np
 import pytest
 
 from graphloom.llm import pieces
@@ -54,8 +56,61 @@ def test_edges(spark, rows):
 
 
 def test_combination_is_associative():
-    import numpy as np
-
     rng = np.random.default_rng(0)
-    a, b, c = (np.where(rng.random((4, 4)) < 0.4, -np.inf, 0.0) for _ in range(3))
+    a, b, c = (np.where(rng.random((4, 4)) < 0.4, -np.inf, rng.integers(-9, 0, (4, 4))) for _ in range(3))
     assert np.array_equal(pieces.combine(pieces.combine(a, b), c), pieces.combine(a, pieces.combine(b, c)))
+
+
+def test_states_are_those_of_the_best_path():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        sizes = [1, *rng.integers(1, 5, rng.integers(1, 6)), 3]
+        found = [np.where(rng.random((a, b)) < 0.2, -np.inf, rng.random((a, b))) for a, b in zip(sizes, sizes[1:])]
+        whole = reduce(pieces.combine, found)
+        if np.isinf(whole.max()):
+            continue
+        states = pieces.resolve(found)
+        assert states[0][0] == 0 and all(x[1] == y[0] for x, y in zip(states, states[1:]))
+        assert abs(sum(m[s] for m, s in zip(found, states)) - whole.max()) < 1e-12
+
+
+def reworked(change, tmp_path):
+    """The model file with its trainer's or normaliser's bytes changed; nothing is trained."""
+    raw = pieces.model(pieces.MODEL_PATH).sp.serialized_model_proto()
+    spec = dict(x for x in pieces.fields(raw) if x[0] in (2, 3))
+    path = tmp_path / "other.model"
+    out = raw
+    for k in (2, 3):
+        new = change(k, spec[k])
+        assert len(new) == len(spec[k]) and raw.count(spec[k]) == 1
+        out = out.replace(spec[k], new)
+    path.write_bytes(out)
+    return str(path)
+
+
+def test_a_unigram_model(spark, tmp_path):
+    """The public vocabulary read as a unigram model: the best sum of scores wins, as in the library."""
+    path = reworked(lambda k, x: x.replace(b"\x18\x02", b"\x18\x01", 1) if k == 2 else x, tmp_path)
+    m = pieces.model(path)
+    assert m.kind == pieces.UNIGRAM
+    want = dict(enumerate(texts()))
+    assert sum(m.sp.encode(t) != pieces.model(pieces.MODEL_PATH).sp.encode(t) for t in want.values()) > 5
+    for giant in (1 << 15, 5):
+        got = {r["doc_id"]: r for r in pieces.encode(spark.createDataFrame(list(want.items()), DOCS), path, giant_chars=giant, chunk_chars=64).collect()}
+        assert {i: r["ids"] for i, r in got.items()} == {i: m.sp.encode(t) for i, t in want.items()}
+
+
+def test_more_chunks_than_one_level_combines(spark, monkeypatch):
+    r = random.Random(3)
+    text = "".join(r.choice("etaoin shrdlu漢") for _ in range(9000))
+    monkeypatch.setattr(pieces, "FAN", 3)
+    got = pieces.encode(spark.createDataFrame([(1, text), (2, text[:700]), (None, text[::-1])], DOCS), giant_chars=100, chunk_chars=64).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: pieces.model(pieces.MODEL_PATH).sp.encode(t) for i, t in ((1, text), (2, text[:700]), (None, text[::-1]))}
+
+
+@pytest.mark.parametrize("change", [(2, b"\x18\x02", b"\x18\x03"), (2, b"\x98\x02\x01", b"\x98\x02\x00"), (3, b"\x20\x00", b"\x20\x01"), (3, b"\x18\x01", b"\x18\x00")])
+def test_other_models_are_refused(tmp_path, change):
+    which, old, new = change
+    path = reworked(lambda k, x: x.replace(old, new, 1) if k == which else x, tmp_path)
+    with pytest.raises((ValueError, RuntimeError)):
+        pieces.Model(path)
