@@ -11,7 +11,8 @@ In a bucket every document is compared with a leader, the least one; then the le
 that missed all leaders so far. It is compared with those that matched them, too: only pairs that are already in one
 component are left out, which changes no group. Buckets whose documents are not in one component after `star_rounds`
 rounds are compared pair by pair, in tiles of `TILE` by `TILE` documents spread over the tasks: no candidate is capped or
-dropped. Groups are the connected components of the verified pairs, and the least doc_id of each stays.
+dropped. Keys that hold very many rows (equal texts, buckets, leaders, hubs of a component) are salted and aggregated before
+the shuffle (see `skew`). Groups are the connected components of the verified pairs, and the least doc_id of each stays.
 
 Results, case by case: a null doc_id or text and a text without words are in no group; rows that share an id are one
 document and stay or go together; ties cannot arise, as the least id stays; an empty table gives no rows; extra columns
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import skew
 from graphloom.llm.repeats import signed, texts
 from graphloom.llm.session import cut, documents
 from graphloom.llm.text import Words, mix, pieces
@@ -37,7 +39,7 @@ REGISTERS = 64
 ROWS = 3
 THRESHOLD = 0.5
 STAR_ROUNDS = 3
-SALT_ROWS = 4096
+LEADER_ROWS = 4096
 TILE = 64
 
 
@@ -129,9 +131,10 @@ def sketches(docs: DataFrame, shingle: int, registers: int, rows: int) -> DataFr
 def verify(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(leader, doc_id, similarity) of each distinct pair (leader, doc_id). Each leader's text goes once to each salt."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    salted = pairs.withColumn("salts", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("leader")) / SALT_ROWS).cast("int"))
-    member = salted.select("doc_id", "leader", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("part"))
-    leader = salted.groupBy("leader").agg(F.max("salts").alias("salts")).select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"))
+    pairs = cut(pairs)
+    top = skew.heavy(pairs.select("leader"), ["leader"], LEADER_ROWS, pairs.count())
+    member = skew.salted(pairs, ["leader"], ["doc_id"], top).select("doc_id", "leader", "salt", F.lit(1).alias("part"))
+    leader = skew.spread(pairs.select("leader").distinct(), ["leader"], top).select(F.col("leader").alias("doc_id"), "leader", "salt", F.lit(0).alias("part"))
     rows = docs.join(member.unionByName(leader), "doc_id").select("leader", "salt", "part", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,35 +160,45 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     return out.groupBy("leader", "doc_id").agg(F.max("similarity").alias("similarity"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, keeper) for every node of the edges (u, v), by alternating large and small stars; keeper is the least."""
+def components(edges: DataFrame, salt_rows: int = skew.SALT_ROWS) -> DataFrame:
+    """(doc_id, keeper) for every node of the edges (u, v), by alternating large and small stars; keeper is the least.
+
+    A node with very many neighbours is aggregated before the shuffle (see `skew`).
+    """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
+    n, state = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        top = skew.heavy(both.select("u"), ["u"], salt_rows, 2 * n)
+        large = skew.over_keys(both, ["u"], ["v"], top, m=F.min("v")).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        if 2 * n > salt_rows:
+            large = cut(large)
+        small = skew.over_keys(large, ["u"], ["v"], skew.heavy(large.select("u"), ["u"], salt_rows, 2 * n), m=F.min("v"))
         now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         fresh = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if fresh == state:
             return now.select(F.col("u").alias("doc_id"), F.col("v").alias("keeper"))
-        state = fresh
+        state, n = fresh, fresh[0]
 
 
-def unsettled(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets whose documents are not all in one component."""
-    one = Window.partitionBy("key")
-    return buckets.withColumn("least", F.min("label").over(one)).withColumn("most", F.max("label").over(one)).where("least <> most").drop("least", "most")
+def unsettled(buckets: DataFrame, top: DataFrame | None) -> DataFrame:
+    """The rows of buckets whose documents are not all in one component. top: the heavy buckets."""
+    return skew.over_keys(buckets, ["key"], ["doc_id"], top, least=F.min("label"), most=F.max("label")).where("least <> most").drop("least", "most")
 
 
-def crowds(docs: DataFrame, members: DataFrame, threshold: float, shingle: int) -> DataFrame:
+def crowds(docs: DataFrame, members: DataFrame, top: DataFrame | None, threshold: float, shingle: int) -> DataFrame:
     """(u, v) that reach the threshold, enough to join the components of every two that do. members: key, doc_id, label, bands.
 
     A pair is compared in the first bucket that it shares, unless its components, in the tile at least, are one by then.
+    Heavy buckets (top) are cut into tiles by hash, others in order of components, so that more tiles hold one only.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     one = Window.partitionBy("key")
-    placed = members.withColumn("b", F.floor((F.row_number().over(one.orderBy("label", "doc_id")) - 1) / TILE).cast("int")).withColumn("last", F.max("b").over(one.orderBy("label", "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    normal = members if top is None else members.join(F.broadcast(top), "key", "left_anti")
+    placed = normal.withColumn("b", F.floor((F.row_number().over(one.orderBy("label", "doc_id")) - 1) / TILE).cast("int")).withColumn("last", F.max("b").over(one.orderBy("label", "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    if top is not None:
+        large = skew.over_keys(members.join(F.broadcast(top.select("key")), "key"), ["key"], ["doc_id"], top, last=F.count(F.lit(1))).withColumn("last", F.ceil(F.col("last") / TILE).cast("int") - 1)
+        placed = placed.unionByName(large.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int")))
     tiles = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last")))).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "doc_id", "label", "bands")
     whole = Window.partitionBy("key", "i", "j")
     tiles = tiles.withColumn("least", F.min("label").over(whole)).withColumn("most", F.max("label").over(whole)).where("least <> most").drop("least", "most")
@@ -227,40 +240,45 @@ def crowds(docs: DataFrame, members: DataFrame, threshold: float, shingle: int)
 
 
 def near_duplicates(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, shingle: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS
-) -> DataFrame:
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, shingle: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS,
+    salt_rows: int = skew.SALT_ROWS,
+) -> DataFrame:
     """(doc_id, keeper_id): every document that goes, with the one of its group that stays."""
     docs = texts(docs, text_col, id_col)
     sketch = cut(sketches(docs, shingle, registers, rows))
-    equal = sketch.select("doc_id", "c1", "c2", F.min("doc_id").over(Window.partitionBy("c1", "c2")).alias("rep"))
+    n = sketch.count()
+    top = skew.heavy(sketch.select("c1", "c2"), ["c1", "c2"], salt_rows, n)
+    equal = skew.over_keys(sketch.select("doc_id", "c1", "c2"), ["c1", "c2"], ["doc_id"], top, rep=F.min("doc_id"))
     exact = equal.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     reps = cut(sketch.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("r.doc_id", "r.bands"))
-    buckets = cut(unsettled(reps.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("met"))))
+    raw = reps.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("met"))
+    top = skew.heavy(raw.select("key"), ["key"], salt_rows, reps.count() * (registers // rows))
+    buckets = cut(unsettled(raw, top))
     checked: DataFrame | None = None
     crowded: DataFrame | None = None
     for _ in range(star_rounds):
-        first = F.min(F.struct("met", "doc_id", "label")).over(Window.partitionBy("key"))
-        led = cut(buckets.withColumn("first", first).select("key", "doc_id", "label", "met", F.col("first.doc_id").alias("leader"), F.col("first.label").alias("led")).where("doc_id <> leader"))
+        led = skew.over_keys(buckets, ["key"], ["doc_id"], top, first=F.min(F.struct("met", "doc_id", "label")))
+        led = cut(led.select("key", "doc_id", "label", "met", F.col("first.doc_id").alias("leader"), F.col("first.label").alias("led")).where("doc_id <> leader"))
         pairs = led.where("label <> led").select("leader", "doc_id").distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("leader", "doc_id"), ["leader", "doc_id"], "left_anti")
         found = cut(verify(docs, pairs, shingle))
         checked = found if checked is None else checked.unionByName(found)
-        joined = components(checked.where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")))
+        joined = components(checked.where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), salt_rows)
         led = led.select("key", "doc_id", "met", "leader").join(joined.withColumnRenamed("keeper", "own"), "doc_id", "left")
         led = led.join(joined.select(F.col("doc_id").alias("leader"), F.col("keeper").alias("led")), "leader", "left")
         label = F.coalesce("own", "doc_id")
-        buckets = cut(unsettled(led.select("key", "doc_id", label.alias("label"), (F.col("met") | (label == F.coalesce("led", "leader"))).alias("met"))))
+        buckets = cut(unsettled(led.select("key", "doc_id", label.alias("label"), (F.col("met") | (label == F.coalesce("led", "leader"))).alias("met")), top))
         if buckets.isEmpty():
             break
     else:
-        crowded = cut(crowds(docs, buckets.join(reps, "doc_id"), threshold, shingle))
+        crowded = cut(crowds(docs, buckets.join(reps, "doc_id"), top, threshold, shingle))
     edges = exact
     if checked is not None:
         edges = edges.unionByName(checked.where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")))
     if crowded is not None:
         edges = edges.unionByName(crowded)
-    return components(edges).select("doc_id", F.col("keeper").alias("keeper_id"))
+    return components(edges, salt_rows).select("doc_id", F.col("keeper").alias("keeper_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from graphloom.llm import near
 from graphloom.llm.text import Words
@@ -70,12 +71,13 @@ def test_registers_estimate_it():
     assert abs((sig[0] == sig[1]).mean() - jp(shingles(x[0]), shingles(x[1]))) < 0.04
 
 
-def test_recall_and_precision(spark):
+@pytest.mark.parametrize("salt_rows", [near.skew.SALT_ROWS, 3])
+def test_recall_and_precision(spark, salt_rows):
     docs = corpus()
     s = {i: shingles(t) for i, t in docs.items()}
     true = [(i, j) for i in docs for j in docs if i < j and jp(s[i], s[j]) >= near.THRESHOLD]
     want = {i: k for i, k in groups(true, docs).items() if i != k}
-    got = {r["doc_id"]: r["keeper_id"] for r in near.near_duplicates(spark.createDataFrame(list(docs.items()), DOCS).repartition(4)).collect()}
+    got = {r["doc_id"]: r["keeper_id"] for r in near.near_duplicates(spark.createDataFrame(list(docs.items()), DOCS).repartition(4), salt_rows=salt_rows).collect()}
     assert len(set(want.items()) & set(got.items())) >= 0.9 * len(want)
     whole = groups(true, docs)
     assert all(whole[i] == whole[k] for i, k in got.items())  # nothing is joined that brute force holds apart
@@ -91,11 +93,12 @@ def test_edges(spark, rows):
     assert near.near_duplicates(df.where("doc_id = 8")).count() == 0
 
 
-def test_many_copies_and_a_crowded_bucket(spark):
+@pytest.mark.parametrize("salt_rows", [near.skew.SALT_ROWS, 50])
+def test_many_copies_and_a_crowded_bucket(spark, salt_rows):
     """Thousands of exact copies, and texts that share half their words but aren't near each other."""
     shared = " ".join(f"s{i}" for i in range(12))
     docs = [(i, "the very same words again") for i in range(3000)] + [(5000 + i, shared + " " + " ".join(f"d{i}_{k}" for k in range(12))) for i in range(120)] + [(9000, shared + " " + " ".join(f"d7_{k}" for k in range(11)))]
-    got = {r["doc_id"]: r["keeper_id"] for r in near.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    got = {r["doc_id"]: r["keeper_id"] for r in near.near_duplicates(spark.createDataFrame(docs, DOCS), salt_rows=salt_rows).collect()}
     assert {i: 0 for i in range(1, 3000)} == {i: k for i, k in got.items() if i < 5000}
     assert {i: k for i, k in got.items() if i >= 5000} == {9000: 5007}
 
@@ -107,7 +110,8 @@ def test_a_long_text(spark):
     assert [(r["doc_id"], r["keeper_id"]) for r in got] == [(2, 1)]
 
 
-def test_a_crowd_between_two_ends(spark):
+@pytest.mark.parametrize("salt_rows", [near.skew.SALT_ROWS, 20])
+def test_a_crowd_between_two_ends(spark, salt_rows):
     """B is near 100 earlier texts, each with other parts of it, and near C, which is near B only."""
     r = random.Random(6)
     base = [f"b{i}" for i in range(100)]
@@ -121,5 +125,13 @@ def test_a_crowd_between_two_ends(spark):
     s = {i: set(t.split()) for i, t in docs.items()}  # no word repeats, so that it is plain Jaccard similarity
     true = [(i, j) for i in docs for j in docs if i < j and len(s[i] & s[j]) / len(s[i] | s[j]) >= near.THRESHOLD]
     assert [p for p in true if 101 in p] == [(100, 101)]
-    got = {x["doc_id"]: x["keeper_id"] for x in near.near_duplicates(spark.createDataFrame(list(docs.items()), DOCS), shingle=1).collect()}
+    got = {x["doc_id"]: x["keeper_id"] for x in near.near_duplicates(spark.createDataFrame(list(docs.items()), DOCS), shingle=1, salt_rows=salt_rows).collect()}
     assert got[100] == 0 and got[101] == 0
+
+
+def test_components_with_hubs(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(1000, 1001 + i) for i in range(200)] + [(3000, 2000 + i) for i in range(200)] + [(4000 + i, 4001 + i) for i in range(60)]
+    want = {i: k for i, k in groups(edges, {x for e in edges for x in e}).items() if i != k}
+    for salt_rows in (10, 10**6):
+        assert {x["doc_id"]: x["keeper"] for x in near.components(spark.createDataFrame(edges, "u long, v long"), salt_rows).collect()} == want
