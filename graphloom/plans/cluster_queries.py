@@ -10,7 +10,7 @@ from graphloom.operators import metrics as M
 from graphloom.operators import schema as H
 from graphloom.operators import vectors as V
 from graphloom.plans.catalog import query
-from graphloom.sources.tables import GRAPH, PLACES, edges, nodes, table
+from graphloom.sources.tables import GRAPH, edges, nodes, table
 from graphloom.sources.textgraph import MENTIONS, chunks, mentions
 
 # Schemas: brands and types of parts stand for declared types, parts for relations between them
@@ -52,19 +52,28 @@ def h4_flatten_groups(s: SparkSession, d: str) -> DataFrame:
 # Clusters: the places of a nation
 
 MEMBERS = f"{GRAPH}, members AS (SELECT target AS cluster_id, source AS node_id FROM edges WHERE relationship_type = 'located_in' UNION ALL SELECT id, id FROM nodes WHERE type = 'Nation')"
-INNER = f"{MEMBERS}, inner_edges AS (SELECT a.cluster_id, e.* FROM edges e JOIN members a ON a.node_id = e.source JOIN members b ON b.node_id = e.target AND b.cluster_id = a.cluster_id)"
+#: An edge is inside a cluster if it leads from a place to its nation; edges between suppliers and parts, or nations and regions, have an end in no cluster.
+INNER = f"{MEMBERS}, member_of AS MATERIALIZED (SELECT * FROM members), edge_list AS MATERIALIZED (SELECT * FROM edges), inner_edges AS MATERIALIZED (SELECT a.cluster_id, e.* FROM edge_list e JOIN member_of a ON a.node_id = e.source JOIN member_of b ON b.node_id = e.target WHERE a.cluster_id = b.cluster_id)"
 
 
 def members(s: SparkSession, d: str) -> DataFrame:
-    m = edges(s, d, supplies=False).where("relationship_type = 'located_in'").select(F.col("target").alias("cluster_id"), F.col("source").alias("node_id"))
+    m = edges(s, d).where("relationship_type = 'located_in'").select(F.col("target").alias("cluster_id"), F.col("source").alias("node_id"))
     return m.unionByName(nodes(s, d).where("type = 'Nation'").select(F.col("id").alias("cluster_id"), F.col("id").alias("node_id")))
 
 
-@query("k1_components", f"""WITH RECURSIVE {PLACES}, both_ways AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
-reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY id""")
+#: Components in three steps: places by their region, regions that share a part, and what hangs on them.
+COMPONENTS = f"""{GRAPH}, region_of AS (SELECT 'nation:' || n_nationkey AS id, 'region:' || n_regionkey AS r FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region:' || r_regionkey FROM region
+UNION ALL SELECT 'customer:' || c_custkey, 'region:' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, 'region:' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+part_of AS MATERIALIZED (SELECT DISTINCT 'part:' || l_partkey AS id, 'region:' || n_regionkey AS r FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+links AS MATERIALIZED (SELECT DISTINCT a.r AS x, b.r AS y FROM part_of a JOIN part_of b USING (id)),
+reach(x, y) AS (SELECT DISTINCT r, r FROM region_of UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+grouped AS (SELECT x AS r, min(y) AS g FROM reach GROUP BY x), placed AS (SELECT DISTINCT id, g FROM (SELECT * FROM region_of UNION ALL SELECT * FROM part_of) JOIN grouped USING (r)),
+named AS (SELECT g, min(id) AS component FROM placed GROUP BY g), comp AS (SELECT n.id, n.type, COALESCE(component, n.id) AS component FROM nodes n LEFT JOIN placed USING (id) LEFT JOIN named USING (g))"""
+
+
+@query("k1_components", f"WITH RECURSIVE {COMPONENTS} SELECT id, component FROM comp")
 def k1_components(s: SparkSession, d: str) -> DataFrame:
-    """Places fall into a component for each region; parts are isolated."""
-    return K.components(nodes(s, d), edges(s, d, supplies=False))
+    return K.components(nodes(s, d), edges(s, d))
 
 
 @query("k2_type_groups", f"WITH {GRAPH} SELECT type, n, CAST(row_number() OVER (ORDER BY n DESC, lower(type)) AS INTEGER) AS rank FROM (SELECT COALESCE(NULLIF(trim(type), ''), 'Unknown') AS type, count(*) AS n FROM nodes GROUP BY ALL)")
@@ -72,32 +81,27 @@ def k2_type_groups(s: SparkSession, d: str) -> DataFrame:
     return K.type_groups(nodes(s, d))
 
 
-@query("k3_ensure_clusters", f"""WITH {PLACES}, region_of AS (SELECT 'nation:' || n_nationkey AS id, 'region:' || n_regionkey AS r FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region:' || r_regionkey FROM region
-UNION ALL SELECT 'customer:' || c_custkey, 'region:' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, 'region:' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey),
-c AS (SELECT r, 'cc_' || row_number() OVER (ORDER BY count(*) DESC, min(lower(id))) AS cluster_id FROM region_of GROUP BY r) SELECT cluster_id, id AS node_id FROM region_of JOIN c USING (r)""")
+@query("k3_ensure_clusters", f"""WITH RECURSIVE {COMPONENTS}, sizes AS (SELECT component, count(*) AS n, min(lower(id)) AS first FROM comp GROUP BY component HAVING count(*) >= 2),
+c AS (SELECT component, 'cc_' || row_number() OVER (ORDER BY n DESC, first) AS cluster_id FROM sizes), g AS (SELECT type, 'type_' || row_number() OVER (ORDER BY count(*) DESC, lower(type)) || '_' || lower(type) AS cluster_id FROM comp SEMI JOIN sizes USING (component) GROUP BY type HAVING count(*) >= 2)
+SELECT cluster_id, id AS node_id FROM comp JOIN c USING (component) WHERE (SELECT count(*) FROM sizes) > 1 AND CAST(substr(cluster_id, 4) AS INTEGER) <= 12 UNION ALL SELECT cluster_id, id FROM comp SEMI JOIN sizes USING (component) JOIN g USING (type) WHERE (SELECT count(*) FROM sizes) = 1""")
 def k3_ensure_clusters(s: SparkSession, d: str) -> DataFrame:
-    return K.ensure_clusters(nodes(s, d), edges(s, d, supplies=False))
-
-
-@query("k3_type_clusters", f"WITH {GRAPH}, g AS (SELECT type, 'type_' || row_number() OVER (ORDER BY count(*) DESC, lower(type)) || '_' || lower(type) AS cluster_id FROM nodes GROUP BY type) SELECT cluster_id, id AS node_id FROM nodes JOIN g USING (type)")
-def k3_type_clusters(s: SparkSession, d: str) -> DataFrame:
-    """With deliveries the graph is one component, so its types are the clusters."""
+    """The largest components; with deliveries the graph is one component as a rule, so its types are the clusters."""
     return K.ensure_clusters(nodes(s, d), edges(s, d))
 
 
 @query("k4_louvain")
 def k4_louvain(s: SparkSession, d: str) -> DataFrame:
-    return K.louvain(edges(s, d, supplies=False))
+    return K.louvain(edges(s, d))
 
 
 @query("k5_leiden")
 def k5_leiden(s: SparkSession, d: str) -> DataFrame:
-    return K.leiden(edges(s, d, supplies=False))
+    return K.leiden(edges(s, d))
 
 
 @query("k6_spectral")
 def k6_spectral(s: SparkSession, d: str) -> DataFrame:
-    return K.spectral(nodes(s, d), edges(s, d, supplies=False))
+    return K.spectral(nodes(s, d), edges(s, d))
 
 
 @query("k7_internal_edges", f"WITH {INNER} SELECT cluster_id, edge_idx, source, relationship_type, target FROM inner_edges")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.plans.catalog import query
-from graphloom.sources.tables import EDGES_SQL, GRAPH, NODES_SQL, PLACES, edges, nodes, table
+from graphloom.sources.tables import EDGES_SQL, GRAPH, NODES_SQL, edges, nodes, table
 
 DETAIL_SQL = "source || ' ' || relationship_type || ' ' || target AS relationship_detail"
 
@@ -26,11 +26,11 @@ def g0_edges(s: SparkSession, d: str) -> DataFrame:
     return edges(s, d)
 
 
-@query("g1_from_typed", f"WITH {PLACES} SELECT id, type FROM nodes WHERE type IN ('Customer', 'Supplier') UNION ALL SELECT DISTINCT id, CAST(NULL AS VARCHAR) FROM (SELECT source AS id FROM edges UNION SELECT target FROM edges) e WHERE id NOT IN (SELECT id FROM nodes WHERE type IN ('Customer', 'Supplier'))")
+@query("g1_from_typed", f"WITH {GRAPH} SELECT id, type FROM nodes WHERE type IN ('Customer', 'Supplier') UNION ALL SELECT DISTINCT id, CAST(NULL AS VARCHAR) FROM (SELECT source AS id FROM edges UNION SELECT target FROM edges) e WHERE id NOT IN (SELECT id FROM nodes WHERE type IN ('Customer', 'Supplier'))")
 def g1_from_typed(s: SparkSession, d: str) -> DataFrame:
     """Entities are given for customers and suppliers only; nations and regions come in as endpoints."""
     entities = nodes(s, d).where(F.col("type").isin("Customer", "Supplier")).select(F.col("node_idx").alias("idx"), F.col("id").alias("name"), "type")
-    return G.from_typed(entities, edges(s, d, supplies=False))
+    return G.from_typed(entities, edges(s, d))
 
 
 @query("g2_from_triples", f"WITH {GRAPH} SELECT source AS id FROM edges UNION SELECT target FROM edges")
@@ -130,12 +130,12 @@ def k9_multiplicity(s: SparkSession, d: str) -> DataFrame:
     return G.multiplicity(lines)
 
 
-@query("s3_kg_load", f"WITH {PLACES} SELECT id, type FROM nodes WHERE type <> 'Nation' UNION ALL SELECT DISTINCT id, CAST(NULL AS VARCHAR) FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) WHERE id NOT IN (SELECT id FROM nodes WHERE type <> 'Nation')")
+@query("s3_kg_load", f"WITH {GRAPH} SELECT id, type FROM nodes WHERE type <> 'Nation' UNION ALL SELECT DISTINCT id, CAST(NULL AS VARCHAR) FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) WHERE id NOT IN (SELECT id FROM nodes WHERE type <> 'Nation')")
 def s3_kg_load(s: SparkSession, d: str) -> DataFrame:
     """A graph as read from files: endpoints that are no nodes are added without type."""
     from graphloom.sources.files import with_endpoints
 
-    return with_endpoints(nodes(s, d).where("type <> 'Nation'").select("id", "type"), edges(s, d, supplies=False))
+    return with_endpoints(nodes(s, d).where("type <> 'Nation'").select("id", "type"), edges(s, d))
 
 
 @query("s7_pipeline_summary", f"WITH {GRAPH} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT type) FROM nodes) AS node_types, (SELECT count(DISTINCT relationship_type) FROM edges) AS relationship_types")
@@ -164,11 +164,11 @@ def s10_property_edges(s: SparkSession, d: str) -> DataFrame:
     return property_edges(rows)
 
 
-@query("s11_property_clusters", f"WITH {PLACES} SELECT target AS cluster_id, source AS node_id, 'MEMBER_OF' AS label FROM edges WHERE relationship_type = 'located_in'")
+@query("s11_property_clusters", f"WITH {GRAPH} SELECT target AS cluster_id, source AS node_id, 'MEMBER_OF' AS label FROM edges WHERE relationship_type = 'located_in'")
 def s11_property_clusters(s: SparkSession, d: str) -> DataFrame:
     from graphloom.sources.files import property_clusters
 
-    clusters = edges(s, d, supplies=False).where("relationship_type = 'located_in'").groupBy(F.col("target").alias("cluster_id")).agg(F.collect_list("source").alias("node_ids"))
+    clusters = edges(s, d).where("relationship_type = 'located_in'").groupBy(F.col("target").alias("cluster_id")).agg(F.collect_list("source").alias("node_ids"))
     return property_clusters(clusters)
 
 

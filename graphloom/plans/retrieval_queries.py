@@ -12,7 +12,7 @@ from graphloom.operators import retrieval as R
 from graphloom.operators import vectors as V
 from graphloom.plans.catalog import query
 from graphloom.plans.cluster_queries import MEMBERS, members
-from graphloom.sources.tables import GRAPH, NODES_SQL, PLACES, edges, nodes, table
+from graphloom.sources.tables import GRAPH, NODES_SQL, edges, nodes, table
 from graphloom.sources.textgraph import TRIPLES, chunks, mentions, triples
 
 VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
@@ -182,20 +182,20 @@ h1 AS (SELECT DISTINCT b AS id FROM both_ways WHERE a IN (SELECT id FROM h0) AND
 hops AS (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)"""
 
 
-@query("r4_bfs", f"WITH {PLACES}, {_HOPS.format(seeds=chr(39) + 'nation:3' + chr(39) + ', ' + chr(39) + 'customer:1' + chr(39))} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
+@query("r4_bfs", f"WITH {GRAPH}, {_HOPS.format(seeds=chr(39) + 'nation:3' + chr(39) + ', ' + chr(39) + 'customer:1' + chr(39))} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
 def r4_bfs(s: SparkSession, d: str) -> DataFrame:
     """All nodes within two hops of two seeds (and one that isn't in the graph)."""
-    return R.traverse(nodes(s, d), edges(s, d, supplies=False), ["nation:3", "customer:1", "nowhere"], 2)[0].select("id", "hop")
+    return R.traverse(nodes(s, d), edges(s, d), ["nation:3", "customer:1", "nowhere"], 2)[0].select("id", "hop")
 
 
 @query("r4_bfs_order")
 def r4_bfs_order(s: SparkSession, d: str) -> DataFrame:
-    return R.bfs(nodes(s, d), edges(s, d, supplies=False), ["nation:3", "customer:1"], 2, 50)
+    return R.bfs(nodes(s, d), edges(s, d), ["nation:3", "customer:1"], 2, 50)
 
 
 @query("r5_dfs")
 def r5_dfs(s: SparkSession, d: str) -> DataFrame:
-    return R.dfs(nodes(s, d), edges(s, d, supplies=False), ["nation:3"], max_depth=2)
+    return R.dfs(nodes(s, d), edges(s, d), ["nation:3"], max_depth=2)
 
 
 @query("r6_weighted_search", f"""WITH {GRAPH}, {NODE_VEC}, e1 AS (SELECT edge_idx, target AS id FROM edges WHERE source = 'supplier:1'), found AS (SELECT id, 0 AS hop, 0 AS o FROM nodes WHERE id = 'supplier:1' UNION ALL SELECT id, 1, edge_idx FROM (SELECT id, min(edge_idx) AS edge_idx FROM e1 GROUP BY id)),
@@ -225,7 +225,7 @@ def r9_traversal_nodes(s: SparkSession, d: str) -> DataFrame:
 
 @query("r9_traversal_edges")
 def r9_traversal_edges(s: SparkSession, d: str) -> DataFrame:
-    return R.traverse(nodes(s, d), edges(s, d, supplies=False), ["nation:3", "nation:4"], 1)[1]
+    return R.traverse(nodes(s, d), edges(s, d), ["nation:3", "nation:4"], 1)[1]
 
 
 @query("r10_relevant_clusters", f"WITH {MEMBERS} SELECT cluster_id, count(*) AS n_seeds FROM members SEMI JOIN (SELECT id AS node_id FROM nodes WHERE type = 'Supplier') USING (node_id) GROUP BY cluster_id ORDER BY n_seeds DESC, cluster_id LIMIT 5")

@@ -37,15 +37,13 @@ def _edge(df: DataFrame, code: int, relation: str, src: str, src_key: str, dst:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, supplies: bool = True) -> DataFrame:
-    """(edge_idx, source, relationship_type, target)"""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(edge_idx, source, relationship_type, target). A filter on the relation leaves the tables of the others unread."""
     t = lambda n: table(spark, sf_dir, n)
     out = _edge(t("customer"), 0, "located_in", "customer", "c_custkey", "nation", "c_nationkey")
     out = out.unionByName(_edge(t("supplier"), 1, "located_in", "supplier", "s_suppkey", "nation", "s_nationkey"))
     out = out.unionByName(_edge(t("nation"), 2, "part_of", "nation", "n_nationkey", "region", "n_regionkey"))
-    if supplies:
-        out = out.unionByName(_edge(t("lineitem").select("l_suppkey", "l_partkey").distinct(), 3, "supplies", "supplier", "l_suppkey", "part", "l_partkey"))
-    return out
+    return out.unionByName(_edge(t("lineitem").select("l_suppkey", "l_partkey").distinct(), 3, "supplies", "supplier", "l_suppkey", "part", "l_partkey"))
 
 
 NODES_SQL = " UNION ALL ".join(f"SELECT CAST({key} AS BIGINT) + {code * NODE_STEP} AS node_idx, '{name}:' || {key} AS id, '{kind}' AS type, {label} AS name FROM {name}" for code, (kind, name, key, label) in enumerate(NODE_TYPES))
@@ -59,4 +57,3 @@ PLACE_SQL = " UNION ALL ".join([_edge_sql("customer", 0, "located_in", "customer
 EDGES_SQL = PLACE_SQL + " UNION ALL " + _edge_sql("(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)", 3, "supplies", "supplier", "l_suppkey", "part", "l_partkey")
 #: Common table expressions for a query's SQL.
 GRAPH = f"nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})"
-PLACES = f"nodes AS ({NODES_SQL}), edges AS ({PLACE_SQL})"
