@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import skew
@@ -33,7 +33,7 @@ from graphloom.llm.text import Words, mix, pieces, winnow
 
 SPAN = 50
 GRAM = 16
-BLOCK_REGIONS = 20_000
+BLOCK_REGIONS = 50_000
 
 
 def texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -66,8 +66,22 @@ def once(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
     return batch if len(at) == batch.num_rows else batch.take(pa.array(at, pa.int64()))
 
 
+def place(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Position, and words of the region before and from there on, in one number whose order is that of the position."""
+    return pa.array(((at - first) << 24) | ((at - lo) << 12) | (hi - at))
+
+
+def bounds(column: str = "place") -> tuple[Column, Column]:
+    """First and last word, exclusive, of the region at a place."""
+    p = F.col(column)
+    pos = F.shiftright(p, 24)
+    return (pos - F.shiftright(p, 12).bitwiseAND(4095)).cast("int").alias("lo"), (pos + p.bitwiseAND(4095)).cast("int").alias("hi")
+
+
 def marks(docs: DataFrame, span: int = SPAN, gram: int = GRAM, salt_rows: int = skew.SALT_ROWS, block_regions: int = BLOCK_REGIONS) -> DataFrame:
-    """(kind, doc_id, digest, pos, lo, hi, ref_doc, ref_lo); see the module's docstring. docs: doc_id, digest, text."""
+    """(kind, doc_id, digest, place, ref_doc, ref_lo); see the module's docstring. docs: doc_id, digest, text."""
+    if span > 4095:
+        raise ValueError("spans are of 4,095 words at most")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,68 +94,70 @@ def marks(docs: DataFrame, span: int = SPAN, gram: int = GRAM, salt_rows: int =
                     continue
                 lo, hi = regions(w, at, span, gram)
                 row = pa.array(w.row[at])
-                first = w.first[w.row[at]]
                 region = w.span_hash(lo, hi) + (at - lo).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [signed(a), signed(region), batch.column("doc_id").take(row), batch.column("digest").take(row), *(pa.array((x - first).astype(np.int32)) for x in (at, lo, hi))],
-                    names=["anchor", "region", "doc_id", "digest", "pos", "lo", "hi"],
-                )
+                yield pa.RecordBatch.from_arrays([signed(a), signed(region), batch.column("doc_id").take(row), batch.column("digest").take(row), place(at, lo, hi, w.first[w.row[at]])], names=["anchor", "region", "doc_id", "digest", "place"])
 
-    anchors = docs.mapInArrow(scan, f"anchor long, region long, doc_id {id_type}, digest long, pos int, lo int, hi int")
+    anchors = docs.mapInArrow(scan, f"anchor long, region long, doc_id {id_type}, digest long, place long")
     top = skew.heavy(anchors.select("anchor"), ["anchor"], salt_rows)
-    order = ["doc_id", "digest", "pos"]
-    first = F.struct(*order) == F.struct("ref_doc", "ref_digest", "ref_pos")
+    order = ["doc_id", "digest", "place"]
+    first = F.struct(*order) == F.struct("ref_doc", "ref_digest", "ref_place")
 
     def with_first(rows: DataFrame, keys: list[str]) -> DataFrame:
         same = Window.partitionBy(*keys, "region").orderBy(*order)
-        named = {"ref_doc": "doc_id", "ref_digest": "digest", "ref_pos": "pos", "ref_lo": "lo"}
-        return rows.withColumns({n: F.first(c).over(same) for n, c in named.items()})
-
-    spread = skew.salted(anchors, ["anchor"], ["doc_id", "digest"], top).repartition("anchor", "salt")
-    found = with_first(spread, ["anchor", "salt"])
-    of_anchor = Window.partitionBy("anchor", "salt")
-    # rows of equal place are one row that is repeated: it is counted by its first column only
-    found = found.withColumn("others", F.sum(F.when(first, 1).otherwise(0)).over(of_anchor))
-    out = ["doc_id", "digest", "pos", "lo", "hi", "ref_doc", "ref_lo"]
-    hot = F.when(F.col("others") > block_regions, 2).otherwise(0)
+        return rows.withColumns({f"ref_{n}": F.first(c).over(same) for n, c in (("doc", "doc_id"), ("digest", "digest"), ("place", "place"))})
+
+    wide = skew.salted(anchors, ["anchor"], ["doc_id", "digest"], top).repartition("anchor", "salt")
+    found = with_first(wide, ["anchor", "salt"]).withColumn("others", F.sum(F.when(first, 1).otherwise(0)).over(Window.partitionBy("anchor", "salt")))
+    large = F.lit(False) if top is None else F.col("large")
+    if top is not None:
+        found = found.join(F.broadcast(top.select("anchor", F.lit(True).alias("large"))), "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    kind = F.when(~first, 1).when(large, 3).when(F.col("others") > block_regions, 2).otherwise(0).alias("kind")
+    waits = first & large  # the first within its salt of a heavy anchor: compared once more, region by region
+    out = ["doc_id", "digest", "place"]
+    marked = cut(found.where(~first | large | (F.col("others") > 1)).select(kind, *out, "ref_doc", F.when(waits, F.col("anchor")).otherwise(bounds("ref_place")[0]).alias("a"), F.when(waits, F.col("region")).alias("region")))
+    done = marked.where("kind < 3").select("kind", *out, "ref_doc", F.col("a").cast("int").alias("ref_lo"))
     if top is None:
-        return found.where(~first | (F.col("others") > 1)).select(F.when(first, hot).otherwise(1).alias("kind"), *out)
-    # heavy anchors: what is first within its salt is compared once more, region by region
-    rest = found.join(F.broadcast(top), "anchor", "left_anti").where(~first | (F.col("others") > 1)).select(F.when(first, hot).otherwise(1).alias("kind"), *out)
-    large = found.join(F.broadcast(top.select("anchor")), "anchor")
-    later = large.where(~first).select(F.lit(1).alias("kind"), *out)
-    leads = with_first(large.where(first).drop("ref_doc", "ref_digest", "ref_pos", "ref_lo", "others").dropDuplicates(["anchor", "region", *order]), ["anchor"])
+        return done
+    leads = cut(with_first(marked.where("kind = 3").select(*out, F.col("a").alias("anchor"), "region"), ["anchor"]))
     many = leads.where(first).groupBy("anchor").agg(F.count(F.lit(1)).alias("others"))  # one row for each heavy anchor
-    leads = leads.join(F.broadcast(many), "anchor").where(~first | (F.col("others") > 1)).select(F.when(first, hot).otherwise(1).alias("kind"), *out)
-    return rest.unionByName(later).unionByName(leads)
+    leads = leads.join(F.broadcast(many), "anchor").where(~first | (F.col("others") > 1))
+    return done.unionByName(cut(leads.select(F.when(~first, 1).when(F.col("others") > block_regions, 2).otherwise(0).alias("kind"), *out, "ref_doc", bounds("ref_place")[0].alias("ref_lo"))))
 
 
-def with_positions(docs: DataFrame, marked: DataFrame, kind: int) -> DataFrame:
-    """The texts that hold regions of a kind, with their anchors' positions."""
-    at = marked.where(F.col("kind") == kind).groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("at"))
+def with_positions(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The texts that hold regions of kinds 0 and 2, with their anchors' positions; those of kind 2 as -1 less their position."""
+    pos = F.shiftright("place", 24).cast("int")
+    at = marked.where("kind <> 1").groupBy("doc_id", "digest").agg(F.collect_set(F.when(F.col("kind") == 0, pos).otherwise(-1 - pos)).alias("at"))
     return docs.join(at, ["doc_id", "digest"]).select("doc_id", "digest", "text", "at")
 
 
-def positions(batch: pa.RecordBatch, w: Words) -> np.ndarray:
-    """The anchors in column `at` as word positions of the batch."""
+def positions(batch: pa.RecordBatch, w: Words, kind: int) -> np.ndarray:
+    """The anchors of a kind in column `at` as word positions of the batch."""
     col = batch.column("at")
     flat = np.asarray(col.flatten(), dtype=np.int64)
     row = np.repeat(np.arange(batch.num_rows), np.asarray(col.value_lengths(), dtype=np.int64))
-    return np.sort(w.first[row] + flat)
+    own = (flat < 0) == (kind == 2)
+    return np.sort(w.first[row[own]] + np.where(flat[own] < 0, -1 - flat[own], flat[own]))
 
 
-def segments(docs: DataFrame, marked: DataFrame, span: int, gram: int) -> DataFrame:
-    """(anchor, doc_id, digest, pos, lo, words) of the regions of kind 0: their words' hashes, 8 bytes each."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def holding(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    """The rows with anchors of a kind."""
+    col = batch.column("at")
+    row = np.repeat(np.arange(batch.num_rows), np.asarray(col.value_lengths(), dtype=np.int64))
+    some = np.unique(row[(np.asarray(col.flatten()) < 0) == (kind == 2)])
+    return batch if len(some) == batch.num_rows else batch.take(pa.array(some))
+
+
+def segments(held: DataFrame, span: int, gram: int) -> DataFrame:
+    """(anchor, doc_id, digest, pos, lo, words) of the regions of kind 0: their words' hashes, 8 bytes each. held: see with_positions."""
+    id_type = held.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for big in batches:
-            for batch in pieces(once(big, seen)):
+            for batch in pieces(once(holding(big, 0), seen)):
                 w = Words(batch.column("text"))
-                at = positions(batch, w)
-                if not len(at):
-                    continue
+                at = positions(batch, w, 0)
                 lo, hi = regions(w, at, span, gram)
                 raw, row = w.hash, w.row[at]
                 first = w.first[row]
@@ -150,7 +166,7 @@ def segments(docs: DataFrame, marked: DataFrame, span: int, gram: int) -> DataFr
                     names=["anchor", "doc_id", "digest", "pos", "lo", "words"],
                 )
 
-    return with_positions(docs, marked, 0).mapInArrow(run, f"anchor long, doc_id {id_type}, digest long, pos int, lo int, words binary")
+    return held.mapInArrow(run, f"anchor long, doc_id {id_type}, digest long, pos int, lo int, words binary")
 
 
 class Block:
@@ -219,22 +235,20 @@ def in_blocks(segs: DataFrame, solve: Callable[[Block], pa.RecordBatch | None],
     return segs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, match_schema(id_type))
 
 
-def window_matches(docs: DataFrame, marked: DataFrame, span: int, gram: int, salt_rows: int = skew.SALT_ROWS) -> DataFrame:
+def window_matches(held: DataFrame, span: int, gram: int, salt_rows: int = skew.SALT_ROWS) -> DataFrame:
     """Windows of the regions of kind 2 that occur earlier, each with its first occurrence.
 
     An anchor in very many different regions can't be compared in one task. Its windows are spread by their own hash (two
-    of 64 bits), the first of each is found by an aggregate that begins before the shuffle, and joined back.
+    of 64 bits), and heavy windows are salted, their first found by an aggregate that begins before the shuffle.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = held.schema["doc_id"].dataType.simpleString()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for big in batches:
-            for batch in pieces(once(big, seen)):
+            for batch in pieces(once(holding(big, 2), seen)):
                 w = Words(batch.column("text"))
-                at = positions(batch, w)
-                if not len(at):
-                    continue
+                at = positions(batch, w, 2)
                 lo, hi = regions(w, at, span, gram)
                 change = np.zeros(len(w) + 1, dtype=np.int64)  # +1 at the first, -1 after the last window of each region
                 ok = hi - lo >= span
@@ -246,7 +260,7 @@ def window_matches(docs: DataFrame, marked: DataFrame, span: int, gram: int, sal
                 second = mix(w.span_hash(s, s + half) * np.uint64(0x9E3779B97F4A7C15) + w.span_hash(s + half, s + span))
                 yield pa.RecordBatch.from_arrays([signed(w.span_hash(s, s + span)), signed(second), batch.column("doc_id").take(row), batch.column("digest").take(row), pa.array((s - w.first[w.row[s]]).astype(np.int32))], names=["window", "second", "doc_id", "digest", "lo"])
 
-    rows = with_positions(docs, marked, 2).mapInArrow(windows, f"window long, second long, doc_id {id_type}, digest long, lo int")
+    rows = held.mapInArrow(windows, f"window long, second long, doc_id {id_type}, digest long, lo int")
     keys = ["window", "second"]
     top = skew.heavy(rows.select(*keys), keys, salt_rows)
     found = skew.over_keys(rows, keys, ["doc_id", "digest"], top, first=F.min(F.struct("doc_id", "digest", "lo")))
@@ -255,11 +269,12 @@ def window_matches(docs: DataFrame, marked: DataFrame, span: int, gram: int, sal
 
 def spans_of(docs: DataFrame, solve: Callable[[Block], pa.RecordBatch | None], span: int, gram: int, block_words: int, salt_rows: int = skew.SALT_ROWS, block_regions: int = BLOCK_REGIONS) -> DataFrame:
     """The spans of docs (doc_id, digest, text): regions that repeat as a whole, and what solve finds in the other ones."""
-    marked = cut(marks(docs, span, gram, salt_rows, block_regions))
-    found = marked.where("kind = 1").select("doc_id", "digest", "lo", "hi", "ref_doc", "ref_lo")
-    found = found.unionByName(in_blocks(segments(docs, marked, span, gram), solve, gram, block_words))
+    marked = marks(docs, span, gram, salt_rows, block_regions)
+    found = marked.where("kind = 1").select("doc_id", "digest", *bounds(), "ref_doc", "ref_lo")
+    held = with_positions(docs, marked)
+    found = found.unionByName(in_blocks(segments(held, span, gram), solve, gram, block_words))
     if not marked.where("kind = 2").isEmpty():
-        found = found.unionByName(window_matches(docs, marked, span, gram, salt_rows))
+        found = found.unionByName(window_matches(held, span, gram, salt_rows))
     return parse(found)
 
 
