@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import cosine, normalize_query
 from graphloom.operators.graph import degrees
+from graphloom.operators.vectors import knn
 from graphloom.sources.session import cut
 
 STOPWORDS = frozenset("a about an and are at did do does for how in is of on or that the to was were what when where which who why with".split())
@@ -80,20 +82,37 @@ class Query:
 
 def entity_scores(nodes: DataFrame, query: Query) -> DataFrame:
     """(id, node_idx, score), scores over 0 only."""
-    e = normalize_query(F.col("id"))
+    return nodes.select("id", "node_idx", entity_score(normalize_query(F.col("id")), query).alias("score")).where("score > 0")
+
+
+def entity_score(e: Column, query: Query) -> Column:
+    """The score of an id in normal form."""
     shared = F.size(F.array_intersect(F.split(e, " "), F.array(*map(F.lit, query.tokens)))) if query.tokens else F.lit(0)
     part = F.when(e.contains(query.norm), 3.0).otherwise(0.0) if query.norm else F.lit(0.0)
-    score = F.when(e == "", 0.0).when(e == query.norm, 5.0).otherwise(part + F.when(shared > 0, 1.0 + 0.4 * shared).otherwise(0.0))
-    return nodes.select("id", "node_idx", score.alias("score")).where("score > 0")
+    return F.when(e == "", 0.0).when(e == query.norm, 5.0).otherwise(part + F.when(shared > 0, 1.0 + 0.4 * shared).otherwise(0.0))
 
 
-def seeds_for(nodes: DataFrame, edges: DataFrame, query: Query, k: int = 10) -> DataFrame:
-    """The k best ids (id, rank), or where none matches those of highest degree."""
-    best = entity_scores(nodes, query).orderBy(F.desc("score"), F.lower("id"), "id").limit(max(1, k))
-    got = [r["id"] for r in best.collect()]  # k rows
-    if not got:
+def best_seeds(nodes: DataFrame, edges: DataFrame, queries: list[Query], k: int = 10) -> list[list[str]]:
+    """For each query the k best ids, or where none matches those of highest degree. One pass over the nodes for all
+    queries, one over the edges if any has no match; k ids a query reach the driver."""
+    k = max(1, k)
+    e = normalize_query(F.col("id"))
+    found = F.filter(F.array(*(F.struct(F.lit(i).alias("query"), entity_score(e, q).alias("score")) for i, q in enumerate(queries))), lambda x: x["score"] > 0)
+    hits = nodes.select("id", F.explode(found).alias("x")).select("id", "x.*")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.lower("id"), "id"))  # cut to k before the shuffle
+    out: list[list[str]] = [[] for _ in queries]
+    for r in hits.withColumn("rank", rank).where(F.col("rank") <= k).orderBy("query", "rank").collect():
+        out[r["query"]].append(r["id"])
+    if not all(out):
         d = nodes.select("id").join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        got = [r["id"] for r in d.orderBy(F.desc("degree"), F.lower("id"), "id").limit(max(1, k)).collect()]
+        top = [r["id"] for r in d.orderBy(F.desc("degree"), F.lower("id"), "id").limit(k).collect()]
+        out = [x or top for x in out]
+    return out
+
+
+def seeds_for(nodes: DataFrame, edges: DataFrame, query: Query, k: int = 10) -> DataFrame:
+    """(id, rank) of the seeds of one query."""
+    got = best_seeds(nodes, edges, [query], k)[0]
     return nodes.sparkSession.createDataFrame([(x, i) for i, x in enumerate(got)], "id string, rank int")
 
 
@@ -105,66 +124,109 @@ class QueryResult:
     answer: str
 
 
-def execute_query(nodes: DataFrame, edges: DataFrame, text: str, k_entities: int = 10, k_edges: int = 40) -> QueryResult:
-    """Seeds, the first k_edges edges that touch them (of the relation named, if any), and all ids met."""
-    q = Query.parse(text)
-    seeds = seeds_for(nodes, edges, q, k_entities)
-    ids = [r["id"] for r in seeds.collect()]  # k_entities ids, pushed down to the scan as a filter
-    near = edges.where(F.col("source").isin(*ids) | F.col("target").isin(*ids))
-    if q.relation:
-        near = near.where(normalize_query(F.col("relationship_type")) == " ".join(q.relation.lower().split()))
-    found = cut(near.orderBy("edge_idx").limit(k_edges))
-    met = seeds.select("id").unionByName(found.select(F.explode(F.array("source", "target")).alias("id"))).distinct()
-    n = found.count()
-    answer = f"The relation '{q.relation}' restricts the result: {len(ids)} seed entities, {n} related edges." if q.relation else f"{len(ids)} relevant entities, {n} related edges."
-    return QueryResult(seeds, found, met, answer)
+def execute_queries(nodes: DataFrame, edges: DataFrame, texts: list[str], k_entities: int = 10, k_edges: int = 40, touching: Callable[[list[str]], DataFrame] | None = None) -> list[QueryResult]:
+    """For each text its seeds, the first k_edges edges that touch them (of the relation named, if any), and all ids met.
+
+    touching gives the edges at some ids where a source can do that by its keys, so that the scan is pruned (see
+    `sources.tables.edges_at`); otherwise the edges are filtered. All texts share one pass.
+    """
+    spark = nodes.sparkSession
+    queries = [Query.parse(t) for t in texts]
+    ids = best_seeds(nodes, edges, queries, k_entities)
+    every = sorted({x for some in ids for x in some})
+    near = touching(every) if touching else edges.where(F.col("source").isin(*every) | F.col("target").isin(*every))
+
+    def meets(i: int, q: Query) -> Column:
+        hit = F.col("source").isin(*ids[i]) | F.col("target").isin(*ids[i])
+        return hit & (normalize_query(F.col("relationship_type")) == " ".join(q.relation.lower().split())) if q.relation else hit
+
+    tagged = near.withColumn("__query", F.explode(F.array_compact(F.array(*(F.when(meets(i, q), i) for i, q in enumerate(queries))))))
+    rank = F.row_number().over(Window.partitionBy("__query").orderBy("edge_idx"))
+    found = cut(tagged.withColumn("__rank", rank).where(F.col("__rank") <= k_edges))
+    counts = dict(found.groupBy("__query").count().collect())  # one row a query
+    out = []
+    for i, q in enumerate(queries):
+        own = found.where(F.col("__query") == i).select(*edges.columns)
+        seeds = spark.createDataFrame([(x, r) for r, x in enumerate(ids[i])], "id string, rank int")
+        met = seeds.select("id").unionByName(own.select(F.explode(F.array("source", "target")).alias("id"))).distinct()
+        n = counts.get(i, 0)
+        out.append(QueryResult(seeds, own, met, f"The relation '{q.relation}' restricts the result: {len(ids[i])} seed entities, {n} related edges." if q.relation else f"{len(ids[i])} relevant entities, {n} related edges."))
+    return out
+
+
+def execute_query(nodes: DataFrame, edges: DataFrame, text: str, k_entities: int = 10, k_edges: int = 40, touching: Callable[[list[str]], DataFrame] | None = None) -> QueryResult:
+    """N1 for one text."""
+    return execute_queries(nodes, edges, [text], k_entities, k_edges, touching)[0]
 
 
 # Traversal
 
 
 def _seed_table(nodes: DataFrame, seeds: list[str]) -> DataFrame:
-    spark = nodes.sparkSession
-    given = spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(seeds))], "id string, rank long")
-    return nodes.select("id").join(F.broadcast(given), "id").select("id", F.array("rank").alias("rank"))
+    """(query, id, rank) of the seeds of one query that are in the graph; as many rows as seeds."""
+    given = nodes.sparkSession.createDataFrame([(0, x, i) for i, x in enumerate(dict.fromkeys(seeds))], "query long, id string, rank long")
+    return nodes.select("id").join(F.broadcast(given), "id").select("query", "id", "rank")
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, seeds: list[str], max_hops: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, hop, rank) up to max_hops, and the tree's edges, which lead one hop further.
+def traverse_each(edges: DataFrame, seeds: DataFrame, max_hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """R9 for any number of queries. seeds: query, id, rank. Nodes (query, id, hop, rank) up to max_hops, and the trees' edges
+    (query and the columns of edges), which lead one hop further.
 
     One join a level. A node's rank is its path: its seed's place and the indexes of the edges that lead to it. Paths of a
     level are equally long, and their order is that of a queue, so a new node keeps its least path and nothing is sorted
-    or numbered, whatever a level's size.
+    or numbered, whatever a level's size. Edges are made once; a small front is broadcast to them by the optimiser.
     """
-    front = cut(_seed_table(nodes, seeds).withColumn("hop", F.lit(0)))
+    edges = cut(edges)
+    front = cut(seeds.select("query", "id", F.array("rank").alias("rank"), F.lit(0).alias("hop")))
     seen, tree = front, None
-    ends = edges.select("edge_idx", F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select("edge_idx", F.col("target").alias("id"), F.col("source").alias("other")))
+    ends = edges.select("edge_idx", F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other")))).alias("e")).select("edge_idx", "e.*")
     for hop in range(max_hops + 1):
-        met = ends.join(front.select("id", "rank"), "id").select("other", F.concat("rank", F.array("edge_idx")).alias("rank")).join(seen.select(F.col("id").alias("other")), "other", "left_anti")
-        front = cut(met.groupBy(F.col("other").alias("id")).agg(F.min("rank").alias("rank")).withColumn("hop", F.lit(hop + 1)))
+        met = ends.join(front.select("query", "id", "rank"), "id").select("query", "other", F.concat("rank", F.array("edge_idx")).alias("rank"))
+        met = met.groupBy("query", F.col("other").alias("id")).agg(F.min("rank").alias("rank"))
+        front = cut(met.join(seen.select("query", "id"), ["query", "id"], "left_anti").withColumn("hop", F.lit(hop + 1)))
         if front.isEmpty():
             break
-        led = front.select(F.element_at("rank", -1).alias("edge_idx"))
+        led = front.select("query", F.element_at("rank", -1).alias("edge_idx"))
         tree = led if tree is None else tree.unionByName(led)
-        seen = seen.unionByName(front)
-    picked = edges.join(tree.distinct(), "edge_idx", "left_semi") if tree is not None else edges.limit(0)
+        seen = seen.unionByName(front.select(*seen.columns))
+    columns = ["query", *edges.columns]
+    picked = edges.join(tree.distinct(), "edge_idx").select(*columns) if tree is not None else edges.limit(0).withColumn("query", F.lit(0).cast("long")).select(*columns)
     return seen.where(F.col("hop") <= max_hops), picked
 
 
+def traverse(nodes: DataFrame, edges: DataFrame, seeds: list[str], max_hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, hop, rank) up to max_hops, and the tree's edges, which lead one hop further."""
+    found, tree = traverse_each(edges, _seed_table(nodes, seeds), max_hops)
+    return found.drop("query"), tree.drop("query")
+
+
+def bfs_each(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, max_nodes: int = 50) -> DataFrame:
+    """(query, id, hop, position): the first max_nodes nodes of each query in order of discovery."""
+    found, _ = traverse_each(edges, seeds, max_hops)
+    place = F.row_number().over(Window.partitionBy("query").orderBy("hop", "rank", "id"))  # cut to max_nodes before the shuffle
+    return found.withColumn("position", place).where(F.col("position") <= max_nodes).select("query", "id", "hop", (F.col("position") - 1).alias("position"))
+
+
 def bfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], max_hops: int = 2, max_nodes: int = 50) -> DataFrame:
     """(id, hop, position): the first max_nodes nodes in order of discovery."""
-    found, _ = traverse(nodes, edges, seeds, max_hops)
-    top = found.orderBy("hop", "rank", "id").limit(max_nodes)
-    return top.select("id", "hop", (F.row_number().over(Window.orderBy("hop", "rank", "id")) - 1).alias("position"))  # max_nodes rows
+    return bfs_each(edges, _seed_table(nodes, seeds), max_hops, max_nodes).drop("query")
+
+
+def weighted_each(edges: DataFrame, vectors: DataFrame, queries: DataFrame, seeds: DataFrame, max_hops: int = 2, k: int = 10, max_nodes: int = 50) -> DataFrame:
+    """(query, id, hop, score, rank): 0.7 of the cosine (0.5 without embedding) and 0.3 of 1 / (1 + hop), the k best of
+    each query. vectors: id, embedding; queries: query, vector; seeds: query, id, rank."""
+    found = bfs_each(edges, seeds, max_hops, max_nodes)  # max_nodes rows a query
+    sim = F.coalesce(cosine(F.col("embedding"), F.col("vector")), F.lit(0.5))
+    scored = found.join(vectors.select("id", "embedding"), "id", "left").join(queries.select("query", "vector"), "query")
+    scored = scored.select("query", "id", "hop", "position", F.round(0.7 * sim + 0.3 / (1 + F.col("hop")), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "position"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("position")
 
 
 def weighted(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seeds: list[str], query: list[float], max_hops: int = 2, k: int = 10, max_nodes: int = 50) -> DataFrame:
-    """(id, hop, score): 0.7 of the cosine (0.5 without embedding) and 0.3 of 1 / (1 + hop). vectors: id, embedding."""
-    found = bfs(nodes, edges, seeds, max_hops, max_nodes)
-    near = F.broadcast(found)  # max_nodes rows
-    sim = vectors.join(near.select("id"), "id", "left_semi").select("id", cosine(F.col("embedding"), F.array(*map(F.lit, query))).alias("sim"))
-    score = 0.7 * F.coalesce("sim", F.lit(0.5)) + 0.3 / (1 + F.col("hop"))
-    return found.join(sim, "id", "left").select("id", "hop", "position", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "position").limit(k).drop("position")
+    """R6 for one query: (id, hop, score)."""
+    one = nodes.sparkSession.createDataFrame([(0, query)], "query long, vector array<double>")
+    return weighted_each(edges, vectors, one, _seed_table(nodes, seeds), max_hops, k, max_nodes).orderBy("rank").select("id", "hop", "score")
 
 
 def dfs_order(start: list[str], near: dict[str, list[str]], sim: dict[str, float] | None, max_depth: int, threshold: float, max_nodes: int) -> list[tuple[str, int]]:
@@ -217,16 +279,32 @@ def dfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], vectors: DataFrame
 # Retrieval
 
 
+def seeds_each(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """(query, id, node_idx, score, rank) of the k most similar of each query with at least the threshold; null embeddings are skipped,
+    ties in node order. vectors: id, node_idx, embedding; queries: query, vector. The two sides meet in blocks (V2)."""
+    base = vectors.where("embedding IS NOT NULL").select(F.col("node_idx").alias("vec_id"), "embedding")
+    asked = queries.where("vector IS NOT NULL").select(F.col("query").alias("vec_id"), F.col("vector").alias("embedding"))
+    best = knn(asked, base, k, same_table=False).where(F.col("score") >= threshold)  # k rows a query
+    return best.join(vectors.select(F.col("node_idx").alias("vec_id"), "id"), "vec_id").select(F.col("query_id").alias("query"), "id", F.col("vec_id").alias("node_idx"), "score", "rank")
+
+
 def seed_entities(vectors: DataFrame, query: list[float], k: int = 10, threshold: float = 0.5) -> DataFrame:
-    """(id, node_idx, score) of the k most similar with at least the threshold; null embeddings are skipped, ties in node order."""
+    """R8 for one query: (id, node_idx, score)."""
     s = vectors.where("embedding IS NOT NULL").select("id", "node_idx", F.round(cosine(F.col("embedding"), F.array(*map(F.lit, query))), 9).alias("score"))
     return s.where(F.col("score") >= threshold).orderBy(F.desc("score"), "node_idx").limit(k)
 
 
+def clusters_each(members: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
+    """(query, cluster_id, n_seeds) of the k clusters with most seeds of each query. seeds: query, id."""
+    s = seeds.select("query", F.col("id").alias("node_id")).distinct()
+    n = members.join(s, "node_id").groupBy("query", "cluster_id").agg(F.count(F.lit(1)).alias("n_seeds"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_seeds"), "cluster_id"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
 def relevant_clusters(members: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
-    """(cluster_id, n_seeds) of the k clusters with most seeds."""
-    s = F.broadcast(seeds.select(F.col("id").alias("node_id")).distinct())  # the seeds of one query
-    return members.join(s, "node_id", "left_semi").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_seeds")).orderBy(F.desc("n_seeds"), "cluster_id").limit(k)
+    """R10 for one query: (cluster_id, n_seeds)."""
+    return clusters_each(members, seeds.select(F.lit(0).alias("query"), "id"), k).orderBy(F.desc("n_seeds"), "cluster_id").drop("query")
 
 
 def fuse(vector_list: DataFrame, graph_list: DataFrame, k: int = 10, c: int = 60) -> DataFrame:
@@ -293,9 +371,15 @@ class GraphContext:
     clusters: DataFrame
 
 
+def retrieve_each(edges: DataFrame, members: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, max_hops: int = 2, k_reports: int = 5, threshold: float = 0.5) -> GraphContext:
+    """R7 for any number of queries: seeds by similarity, their surroundings, and the clusters that hold most of them, each with
+    its query; no seeds, nothing."""
+    seeds = cut(seeds_each(vectors, queries, k, threshold))
+    found, tree = traverse_each(edges, seeds.select("query", "id", F.col("rank").cast("long").alias("rank")), max_hops)
+    return GraphContext(seeds, found, tree, clusters_each(members, seeds, k_reports))
+
+
 def graph_retrieve(nodes: DataFrame, edges: DataFrame, members: DataFrame, vectors: DataFrame, query: list[float], k: int = 10, max_hops: int = 2, k_reports: int = 5) -> GraphContext:
-    """Seeds by similarity, their surroundings, and the clusters that hold most of them; no seeds, nothing."""
-    seeds = cut(seed_entities(vectors, query, k))
-    ids = [r["id"] for r in seeds.orderBy(F.desc("score"), "node_idx").collect()]  # k ids
-    found, tree = traverse(nodes, edges, ids, max_hops)
-    return GraphContext(seeds, found, tree, relevant_clusters(members, seeds, k_reports))
+    """R7 for one query."""
+    c = retrieve_each(edges, members, vectors, nodes.sparkSession.createDataFrame([(0, query)], "query long, vector array<double>"), k, max_hops, k_reports)
+    return GraphContext(*(x.drop("query") for x in (c.seeds.drop("rank"), c.nodes, c.edges, c.clusters)))

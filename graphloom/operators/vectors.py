@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, IntegerType
 
 BLOCK_ROWS = 4096
 
@@ -56,12 +56,13 @@ def _by_block(queries: DataFrame, index: DataFrame, work: Callable[[np.ndarray,
     return rows.withColumn("dim", F.size("embedding")).groupBy("qb", "vb", "dim").applyInPandas(lambda key, g: run(key, g), f"query_id {id_type}, vec_id {id_type}, score double")
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """V2: (query_id, vec_id, score, rank): the k of most cosine for every query, itself left out; ties by vec_id."""
+def knn(queries: DataFrame, index: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, same_table: bool = True) -> DataFrame:
+    """V2: (query_id, vec_id, score, rank): the k of most cosine for every query; ties by vec_id. A query that is itself a row of the index (same_table) is left out."""
 
     def best(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray) -> tuple:
         s = np.round(q @ v.T, 9)
-        s[q_id[:, None] == v_id[None, :]] = -np.inf
+        if same_table:
+            s[q_id[:, None] == v_id[None, :]] = -np.inf
         order = np.argsort(v_id, kind="stable")  # then a stable sort by score keeps ties in order of id
         top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
         i = np.repeat(np.arange(len(q)), top.shape[1])
@@ -85,42 +86,53 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, block_rows: int = BLOCK
     return _by_block(df, df, over, block_rows).select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), "score")
 
 
-def ivf(df: DataFrame, k: int = 5, cells: int | None = None, probes: int | None = None, rounds: int = 5, seed: int = 11) -> DataFrame:
-    """V4: approximate knn for every row: k-means cells (about sqrt(n)) over unit vectors; a query looks into its nearest cells only.
+def ivf(df: DataFrame, queries: DataFrame | None = None, k: int = 5, cells: int | None = None, probes: int | None = None, rounds: int = 5, seed: int = 11, fit_rows: int = 50_000) -> DataFrame:
+    """V4: approximate knn for the queries (every row by default): k-means cells (about sqrt(n)) over unit vectors; a query looks into its nearest cells only.
 
-    A third of the cells by default, which keeps recall over 0.9 even on vectors without clusters.
+    The cells are fitted on at most about `fit_rows` vectors, by hash of vec_id; every vector is indexed, once, in the cell it
+    is nearest to, and only queries are sent to several. A third of the cells are probed by default, which keeps recall over
+    0.9 even on vectors without clusters; tables with clusters need far fewer (`probes`).
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = _valid(df)
-    id_type = df.schema["vec_id"].dataType.simpleString()
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    v = v.withColumn("__n", norm).where("__n > 0").withColumn("embedding", F.transform("embedding", lambda x: x / F.col("__n"))).drop("__n").withColumn("features", array_to_vector("embedding"))
+    unit = lambda t: _valid(t).withColumn("__n", norm).where("__n > 0").withColumn("embedding", F.transform("embedding", lambda x: x / F.col("__n"))).drop("__n")
+    v = unit(df)
+    id_type = df.schema["vec_id"].dataType.simpleString()
     n = v.count()
     if not n:
         return df.sparkSession.createDataFrame([], f"query_id {id_type}, vec_id {id_type}, score double, rank int")
-    cells = min(cells or max(1, int(n**0.5)), n)
+    share = fit_rows / n
+    sample = v if share >= 1 else v.where(F.xxhash64("vec_id") <= int((2 * share - 1) * 2**63))
+    sample = sample.select(array_to_vector("embedding").alias("features"))
+    cells = max(1, min(cells or max(1, int(n**0.5)), sample.count()))
     probes = probes or max(1, -(-cells // 3))
-    centres = np.array(KMeans(k=cells, maxIter=rounds, seed=seed).fit(v).clusterCenters())  # sqrt(n) centres
+    centres = np.array(KMeans(k=cells, maxIter=rounds, seed=seed).fit(sample).clusterCenters())  # sqrt(n) centres
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def nearest(col: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = shared.value
-        half = (c * c).sum(axis=1) / 2
-        for part in col:
-            x = np.stack(part.to_list())
-            yield pd.Series(list(np.argsort(half - x @ c.T, axis=1, kind="stable")[:, :probes].astype(float)), index=part.index)
+    def nearest(count: int) -> Callable[..., Column]:
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def of(col: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            c = shared.value
+            half = (c * c).sum(axis=1) / 2
+            for part in col:
+                x = np.stack(part.to_list()) if len(part) else np.zeros((0, c.shape[1]))
+                yield pd.Series(list(np.argsort(half - x @ c.T, axis=1, kind="stable")[:, :count].astype(np.int32)), index=part.index)
 
-    placed = v.select("vec_id", "embedding", nearest("embedding").alias("near"))
-    rows = placed.select("vec_id", "embedding", F.explode("near").alias("cell"), F.lit(0).alias("side")).unionByName(placed.select("vec_id", "embedding", F.get("near", F.lit(0)).alias("cell"), F.lit(1).alias("side")))
+        return of
+
+    index = v.select("vec_id", "embedding", F.get(nearest(1)("embedding"), F.lit(0)).alias("cell"), F.lit(1).alias("side"))
+    asked = v if queries is None else unit(queries)
+    rows = asked.select("vec_id", "embedding", F.explode(nearest(probes)("embedding")).alias("cell"), F.lit(0).alias("side")).unionByName(index)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["side"] == 0], g[g["side"] == 1]
-        if not len(b):
+        if not len(a) or not len(b):
             return pd.DataFrame([], columns=["query_id", "vec_id", "score"], dtype=object)
         q, x, q_id, x_id = np.stack(a["embedding"].to_list()), np.stack(b["embedding"].to_list()), a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
+        order = np.argsort(x_id, kind="stable")
+        x, x_id = x[order], x_id[order]
         out = []
         for lo in range(0, len(q), BLOCK_ROWS):
             s = np.round(q[lo : lo + BLOCK_ROWS] @ x.T, 9)

@@ -12,11 +12,12 @@ from graphloom.operators import retrieval as R
 from graphloom.operators import vectors as V
 from graphloom.plans.catalog import query
 from graphloom.plans.cluster_queries import MEMBERS, members
-from graphloom.sources.tables import GRAPH, NODES_SQL, edges, nodes, table
+from graphloom.sources.tables import GRAPH, NODES_SQL, edges, edges_at, nodes, table
 from graphloom.sources.textgraph import TRIPLES, chunks, mentions, triples
 
 VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
-ALL_PAIRS = f"{VEC}, pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, b.label, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b WHERE a.vec_id <> b.vec_id)"
+#: The queries of searches are the rows whose id is divisible by 100, against all rows.
+ALL_PAIRS = f"{VEC}, pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, b.label, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b WHERE a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)"
 KNN = "SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {src}) WHERE rank <= {k}"
 
 
@@ -24,6 +25,10 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings")
 
 
+def asked(s: SparkSession, d: str) -> DataFrame:
+    return vectors(s, d).where("vec_id % 100 = 0")
+
+
 def shown(found: DataFrame) -> DataFrame:
     """Scores to six places, as they are compared with other engines' sums."""
     return found.withColumn("score", F.round("score", 6))
@@ -56,29 +61,29 @@ def v1_validation(s: SparkSession, d: str) -> DataFrame:
 
 @query("v2_exact_knn", f"WITH {ALL_PAIRS} {KNN.format(src='pairs', k=5)}")
 def v2_exact_knn(s: SparkSession, d: str) -> DataFrame:
-    return shown(V.knn(vectors(s, d), vectors(s, d), 5))
+    return shown(V.knn(asked(s, d), vectors(s, d), 5))
 
 
 @query("v3_score_transforms", f"""WITH {ALL_PAIRS}, d AS (SELECT query_id, vec_id, 2 - 2 * score AS d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5)
 SELECT query_id, vec_id, round(1 - d / 2, 6) AS cosine, round(CASE WHEN d <= 1 THEN 1 - d ELSE 1 / (1 + d) END, 6) AS bounded, round(1 / (1 + d), 6) AS inverse, round(1 - d, 6) AS native FROM d""")
 def v3_score_transforms(s: SparkSession, d: str) -> DataFrame:
-    found = V.knn(vectors(s, d), vectors(s, d), 5).withColumn("d", 2 - 2 * F.col("score"))
+    found = V.knn(asked(s, d), vectors(s, d), 5).withColumn("d", 2 - 2 * F.col("score"))
     return found.select("query_id", "vec_id", *(F.round(f(F.col("d")), 6).alias(n) for n, f in V.SCORES.items()))
 
 
 @query("v4_ivf_search")
 def v4_ivf_search(s: SparkSession, d: str) -> DataFrame:
-    return V.ivf(vectors(s, d), 5)
+    return V.ivf(vectors(s, d), asked(s, d), 5)
 
 
 @query("v5_filtered_search", f"WITH {ALL_PAIRS} {KNN.format(src='(SELECT * FROM pairs WHERE label IN (1, 2))', k=5)}")
 def v5_filtered_search(s: SparkSession, d: str) -> DataFrame:
-    return shown(V.search(vectors(s, d), vectors(s, d), 5, {"label": {"$in": [1, 2]}}))
+    return shown(V.search(asked(s, d), vectors(s, d), 5, {"label": {"$in": [1, 2]}}))
 
 
 @query("v5_post_filtered_search", f"WITH {ALL_PAIRS}, k AS ({KNN.format(src='pairs', k=5)}) SELECT k.* FROM k SEMI JOIN (SELECT vec_id FROM v WHERE label IN (1, 2)) USING (vec_id)")
 def v5_post_filtered_search(s: SparkSession, d: str) -> DataFrame:
-    return V.search(vectors(s, d), vectors(s, d), 5, {"label": {"$in": [1, 2]}}, post_filter=True).transform(shown).select("query_id", "vec_id", "score", "rank")
+    return V.search(asked(s, d), vectors(s, d), 5, {"label": {"$in": [1, 2]}}, post_filter=True).transform(shown).select("query_id", "vec_id", "score", "rank")
 
 
 @query("v6_upsert", "SELECT vec_id, label FROM embeddings WHERE label <> 2 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE label = 2 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE label = 5")
@@ -118,9 +123,8 @@ SELECT 'seed' AS kind, id AS value FROM seeds UNION ALL SELECT 'edge', CAST(edge
 @query("n1_execute_query", f"WITH {GRAPH}, deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id) " + " UNION ALL ".join(_query_sql(i, t) for i, t in enumerate(TEXTS)))
 def n1_execute_query(s: SparkSession, d: str) -> DataFrame:
     """Seeds, edges and entities of four queries: with a relation, without, with the other form of relation, and with no match."""
-    n, e, out = nodes(s, d), edges(s, d), []
-    for i, text in enumerate(TEXTS):
-        r = R.execute_query(n, e, text)
+    out = []
+    for i, r in enumerate(R.execute_queries(nodes(s, d), edges(s, d), list(TEXTS), touching=lambda ids: edges_at(s, d, ids))):
         row = lambda df, kind, v: df.select(F.lit(i).alias("query"), F.lit(kind).alias("kind"), v.alias("value"))  # noqa: E731, B023
         out += [row(r.seeds, "seed", F.col("id")), row(r.edges, "edge", F.col("edge_idx").cast("string")), row(r.entities, "entity", F.col("id"))]
     return reduce(DataFrame.unionByName, out)
@@ -170,11 +174,17 @@ def node_vectors(s: SparkSession, d: str) -> DataFrame:
     return nodes(s, d).join(v, "id").select("id", "node_idx", "embedding")
 
 
-NODE_VEC = "nv AS (SELECT id, node_idx, CAST(embedding AS DOUBLE[]) AS e FROM nodes JOIN embeddings ON id = 'part:' || vec_id), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+NODE_VEC = "nv AS (SELECT id, node_idx, CAST(embedding AS DOUBLE[]) AS e FROM nodes JOIN embeddings ON id = 'part:' || vec_id), q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0), sims AS (SELECT query, id, node_idx, round(list_cosine_similarity(e, q), 9) AS score FROM nv, q)"
+#: Seeds of each query: the three most similar parts.
+_SEEDS = f"{NODE_VEC}, seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node_idx) AS rank FROM sims WHERE score >= 0.2) WHERE rank <= 3)"
+#: Their surroundings: suppliers, and in the tree of edges what lies one hop beyond.
+_TREES = f"""{_SEEDS}, ends AS MATERIALIZED (SELECT edge_idx, source AS id, target AS other FROM edges UNION ALL SELECT edge_idx, target, source FROM edges), t0 AS (SELECT query, id, [CAST(rank AS BIGINT)] AS path FROM seeds),
+t1 AS MATERIALIZED (SELECT query, other AS id, min(list_append(path, edge_idx)) AS path FROM t0 JOIN ends USING (id) WHERE (query, other) NOT IN (SELECT query, id FROM t0) GROUP BY query, other),
+t2 AS MATERIALIZED (SELECT query, other AS id, min(list_append(path, edge_idx)) AS path FROM t1 JOIN ends USING (id) WHERE (query, other) NOT IN (SELECT query, id FROM t0) AND (query, other) NOT IN (SELECT query, id FROM t1) GROUP BY query, other)"""
 
 
-def query_vector(s: SparkSession, d: str) -> list[float]:
-    return [float(x) for x in vectors(s, d).where("vec_id = 0").first()["embedding"]]
+def node_queries(s: SparkSession, d: str) -> DataFrame:
+    return asked(s, d).select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
 _HOPS = """both_ways AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges), h0 AS (SELECT id FROM nodes WHERE id IN ({seeds})),
@@ -188,7 +198,13 @@ def r4_bfs(s: SparkSession, d: str) -> DataFrame:
     return R.traverse(nodes(s, d), edges(s, d), ["nation:3", "customer:1", "nowhere"], 2)[0].select("id", "hop")
 
 
-@query("r4_bfs_order")
+#: Paths as lists, seed first; a node keeps its least path among those of its level.
+_PATHS = """ends AS (SELECT edge_idx, source AS id, target AS other FROM edges UNION ALL SELECT edge_idx, target, source FROM edges), p0 AS (SELECT id, [CAST(list_position([{seeds}], id) - 1 AS BIGINT)] AS path FROM nodes WHERE id IN ({seeds})),
+p1 AS (SELECT other AS id, min(list_append(path, edge_idx)) AS path FROM p0 JOIN ends USING (id) WHERE other NOT IN (SELECT id FROM p0) GROUP BY other),
+p2 AS (SELECT other AS id, min(list_append(path, edge_idx)) AS path FROM p1 JOIN ends USING (id) WHERE other NOT IN (SELECT id FROM p0) AND other NOT IN (SELECT id FROM p1) GROUP BY other)"""
+
+
+@query("r4_bfs_order", f"WITH {GRAPH}, {_PATHS.format(seeds=chr(39) + 'nation:3' + chr(39) + ', ' + chr(39) + 'customer:1' + chr(39))} SELECT id, CAST(hop AS INTEGER) AS hop, CAST(row_number() OVER (ORDER BY hop, path, id) - 1 AS INTEGER) AS position FROM (SELECT id, 0 AS hop, path FROM p0 UNION ALL SELECT id, 1, path FROM p1 UNION ALL SELECT id, 2, path FROM p2) ORDER BY position LIMIT 50")
 def r4_bfs_order(s: SparkSession, d: str) -> DataFrame:
     return R.bfs(nodes(s, d), edges(s, d), ["nation:3", "customer:1"], 2, 50)
 
@@ -198,24 +214,28 @@ def r5_dfs(s: SparkSession, d: str) -> DataFrame:
     return R.dfs(nodes(s, d), edges(s, d), ["nation:3"], max_depth=2)
 
 
-@query("r6_weighted_search", f"""WITH {GRAPH}, {NODE_VEC}, e1 AS (SELECT edge_idx, target AS id FROM edges WHERE source = 'supplier:1'), found AS (SELECT id, 0 AS hop, 0 AS o FROM nodes WHERE id = 'supplier:1' UNION ALL SELECT id, 1, edge_idx FROM (SELECT id, min(edge_idx) AS edge_idx FROM e1 GROUP BY id)),
-cut AS (SELECT * FROM found ORDER BY hop, o LIMIT 50), sc AS (SELECT c.id, hop, o, round(0.7 * COALESCE(round(list_cosine_similarity(e, q), 12), 0.5) + 0.3 / (1 + hop), 6) AS score FROM cut c LEFT JOIN nv ON nv.id = c.id, q)
-SELECT id, CAST(hop AS INTEGER) AS hop, score FROM sc ORDER BY score DESC, hop, o LIMIT 10""")
+@query("r6_weighted_search", f"""WITH {GRAPH}, {_TREES}, found AS (SELECT query, id, 0 AS hop, path FROM t0 UNION ALL SELECT query, id, 1, path FROM t1), cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hop, path, id) AS position FROM found) WHERE position <= 50),
+sc AS (SELECT c.query, c.id, hop, position, round(0.7 * COALESCE(list_cosine_similarity(e, q), 0.5) + 0.3 / (1 + hop), 9) AS score FROM cut c JOIN q USING (query) LEFT JOIN nv ON nv.id = c.id)
+SELECT query, id, CAST(hop AS INTEGER) AS hop, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, position) AS rank FROM sc) WHERE rank <= 10""")
 def r6_weighted_search(s: SparkSession, d: str) -> DataFrame:
-    return R.weighted(nodes(s, d), edges(s, d), node_vectors(s, d), ["supplier:1"], query_vector(s, d), max_hops=1).withColumn("score", F.round("score", 6))
+    """Each query's ten best nodes within a hop of its three most similar parts."""
+    v, q = node_vectors(s, d), node_queries(s, d)
+    seeds = R.seeds_each(v, q, 3, 0.2).select("query", "id", F.col("rank").cast("long").alias("rank"))
+    return R.weighted_each(edges(s, d), v, q, seeds, max_hops=1).withColumn("score", F.round("score", 6))
 
 
-@query("r7_graph_retrieval")
+@query("r7_graph_retrieval", f"""WITH {MEMBERS}, {_TREES}, c AS (SELECT query, cluster_id, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, cluster_id) AS r FROM members JOIN (SELECT DISTINCT query, id AS node_id FROM seeds) USING (node_id) GROUP BY query, cluster_id)
+SELECT query, 'seed' AS kind, id AS value FROM seeds UNION ALL SELECT query, 'node', id FROM t0 UNION ALL SELECT query, 'node', id FROM t1 UNION ALL SELECT DISTINCT query, 'edge', CAST(path[-1] AS VARCHAR) FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) UNION ALL SELECT query, 'cluster', cluster_id FROM c WHERE r <= 5""")
 def r7_graph_retrieval(s: SparkSession, d: str) -> DataFrame:
-    """Everything that a query by vector retrieves, by kind."""
-    c = R.graph_retrieve(nodes(s, d), edges(s, d), members(s, d), node_vectors(s, d), query_vector(s, d), k=3, max_hops=1)
-    row = lambda df, kind, v: df.select(F.lit(kind).alias("kind"), v.cast("string").alias("value"))
+    """Everything that each query by vector retrieves, by kind."""
+    c = R.retrieve_each(edges(s, d), members(s, d), node_vectors(s, d), node_queries(s, d), k=3, max_hops=1, threshold=0.2)
+    row = lambda df, kind, v: df.select("query", F.lit(kind).alias("kind"), v.cast("string").alias("value"))
     return row(c.seeds, "seed", F.col("id")).unionByName(row(c.nodes, "node", F.col("id"))).unionByName(row(c.edges, "edge", F.col("edge_idx"))).unionByName(row(c.clusters, "cluster", F.col("cluster_id")))
 
 
-@query("r8_seed_entities", f"WITH nodes AS ({NODES_SQL}), {NODE_VEC} SELECT id, node_idx, round(list_cosine_similarity(e, q), 6) AS score FROM nv, q WHERE round(list_cosine_similarity(e, q), 9) >= 0.2 ORDER BY round(list_cosine_similarity(e, q), 9) DESC, node_idx LIMIT 10")
+@query("r8_seed_entities", f"WITH nodes AS ({NODES_SQL}), {NODE_VEC} SELECT query, id, node_idx, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node_idx) AS rank FROM sims WHERE score >= 0.2) WHERE rank <= 10")
 def r8_seed_entities(s: SparkSession, d: str) -> DataFrame:
-    return R.seed_entities(node_vectors(s, d), query_vector(s, d), 10, 0.2).withColumn("score", F.round("score", 6))
+    return R.seeds_each(node_vectors(s, d), node_queries(s, d), 10, 0.2).withColumn("score", F.round("score", 6))
 
 
 @query("r9_traversal_nodes", f"WITH {GRAPH}, {_HOPS.format(seeds=chr(39) + 'supplier:1' + chr(39))} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
@@ -223,7 +243,7 @@ def r9_traversal_nodes(s: SparkSession, d: str) -> DataFrame:
     return R.traverse(nodes(s, d), edges(s, d), ["supplier:1"], 2)[0].select("id", "hop")
 
 
-@query("r9_traversal_edges")
+@query("r9_traversal_edges", f"WITH {GRAPH}, {_PATHS.format(seeds=chr(39) + 'nation:3' + chr(39) + ', ' + chr(39) + 'nation:4' + chr(39))} SELECT edge_idx, source, relationship_type, target FROM edges WHERE edge_idx IN (SELECT path[-1] FROM p1 UNION ALL SELECT path[-1] FROM p2)")
 def r9_traversal_edges(s: SparkSession, d: str) -> DataFrame:
     return R.traverse(nodes(s, d), edges(s, d), ["nation:3", "nation:4"], 1)[1]
 
@@ -233,16 +253,22 @@ def r10_relevant_clusters(s: SparkSession, d: str) -> DataFrame:
     return R.relevant_clusters(members(s, d), nodes(s, d).where("type = 'Supplier'").select("id"), 5)
 
 
-_LISTS = f"{ALL_PAIRS}, vl AS (SELECT query_id AS query, vec_id AS id, rank FROM ({KNN.format(src='pairs', k=10)})), gl AS (SELECT a.vec_id AS query, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)"
+_LISTS = f"{ALL_PAIRS}, vl AS (SELECT query_id AS query, vec_id AS id, rank FROM ({KNN.format(src='pairs', k=10)})), gl AS (SELECT a.vec_id AS query, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)"
 
 
 def _lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Of each query: its ten nearest, and the others of its label. Of these, the ones that can count are among the label's
+    first eleven ids or the ten nearest, so a label's ids are cut and numbered once, not paired with every query."""
     from pyspark.sql import Window
 
-    v = vectors(s, d)
-    near = V.knn(v, v, 10).select(F.col("query_id").alias("query"), F.col("vec_id").alias("id"), "rank")
-    same = v.select(F.col("vec_id").alias("query"), "label").join(v.select(F.col("vec_id").alias("id"), "label"), "label").where("query <> id")
-    return near, same.select("query", "id", F.row_number().over(Window.partitionBy("query").orderBy("id")).alias("rank"))
+    v, q = vectors(s, d), asked(s, d).select(F.col("vec_id").alias("query"), "label")
+    near = V.knn(asked(s, d), v, 10).select(F.col("query_id").alias("query"), F.col("vec_id").alias("id"), "rank")
+    numbered = v.select(F.col("vec_id").alias("id"), "label", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("place"))
+    own = numbered.select(F.col("id").alias("query"), F.col("place").alias("own"))
+    first = q.join(F.broadcast(numbered.where("place <= 11")), "label").where("query <> id").select("query", "id", "place")
+    met = near.select("query", "id").join(q, "query").join(numbered, ["id", "label"]).select("query", "id", "place")
+    same = first.unionByName(met).distinct().join(own, "query")
+    return near, same.select("query", "id", (F.col("place") - (F.col("place") > F.col("own")).cast("int")).alias("rank"))
 
 
 _FUSED = f"WITH {_LISTS}, u AS (SELECT query, id, round(sum(s), 12) AS score, max(v) AS v FROM (SELECT query, id, 1 / (60 + rank) AS s, 1 AS v FROM vl UNION ALL SELECT query, id, 1 / (60 + rank), 0 FROM gl) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM u) SELECT query, id, round(score, 6) AS score FROM r WHERE rank <= 10 AND v = 1"
@@ -263,7 +289,7 @@ def r11_hybrid_vector_only(s: SparkSession, d: str) -> DataFrame:
 @query("r1_rag_retrieve", f"WITH {ALL_PAIRS} SELECT k.query_id, k.vec_id, k.rank, k.score, text FROM ({KNN.format(src='pairs', k=3)}) k JOIN documents ON doc_id = vec_id")
 def r1_rag_retrieve(s: SparkSession, d: str) -> DataFrame:
     """Every vector retrieves the texts of its three nearest."""
-    found = V.knn(vectors(s, d), vectors(s, d), 3)
+    found = V.knn(asked(s, d), vectors(s, d), 3)
     return found.join(table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"), "text")
 
 
@@ -300,7 +326,8 @@ def r14_provenance_edges(s: SparkSession, d: str) -> DataFrame:
     return _provenance(s, d)[1]
 
 
-@query("r15_query_provenance")
+@query("r15_query_provenance", f"""WITH {GRAPH}, deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id), x AS MATERIALIZED ({_query_sql(0, TEXTS[0])})
+SELECT 'query' AS id, 'query' AS type, '{TEXTS[0]}' AS label UNION ALL SELECT 'answer', 'answer', 'The relation ''located_in'' restricts the result: ' || count(*) FILTER (kind = 'seed') || ' seed entities, ' || count(*) FILTER (kind = 'edge') || ' related edges.' FROM x
+UNION ALL SELECT * FROM (SELECT value, 'entity', left(value, 50) FROM x WHERE kind = 'entity' ORDER BY lower(value), value LIMIT 20)""")
 def r15_query_provenance(s: SparkSession, d: str) -> DataFrame:
-    text = "nation:3 (located_in)"
-    return R.query_provenance(R.execute_query(nodes(s, d), edges(s, d), text), text)[0]
+    return R.query_provenance(R.execute_query(nodes(s, d), edges(s, d), TEXTS[0], touching=lambda ids: edges_at(s, d, ids)), TEXTS[0])[0]

@@ -46,6 +46,23 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(_edge(t("lineitem").select("l_suppkey", "l_partkey").distinct(), 3, "supplies", "supplier", "l_suppkey", "part", "l_partkey"))
 
 
+def edges_at(spark: SparkSession, sf_dir: str, ids: list[str]) -> DataFrame:
+    """The edges with an end among some ids: keys are read back from the ids, so that the filter reaches the scan of each table."""
+    t = lambda n: table(spark, sf_dir, n)
+
+    def at(df: DataFrame, src: str, src_key: str, dst: str, dst_key: str) -> DataFrame:
+        keys = {kind: [int(x[len(kind) + 1 :]) for x in ids if x.startswith(f"{kind}:") and x[len(kind) + 1 :].lstrip("-").isdigit()] for kind in (src, dst)}
+        return df.where(F.col(src_key).isin(keys[src]) | F.col(dst_key).isin(keys[dst]))
+
+    parts = [("customer", "located_in", "customer", "c_custkey", "nation", "c_nationkey"), ("supplier", "located_in", "supplier", "s_suppkey", "nation", "s_nationkey"), ("nation", "part_of", "nation", "n_nationkey", "region", "n_regionkey"), ("lineitem", "supplies", "supplier", "l_suppkey", "part", "l_partkey")]
+    out = None
+    for code, (name, relation, *ends) in enumerate(parts):
+        rows = at(t(name), *ends).select(ends[1], ends[3])
+        part = _edge(rows.distinct() if name == "lineitem" else rows, code, relation, *ends)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 NODES_SQL = " UNION ALL ".join(f"SELECT CAST({key} AS BIGINT) + {code * NODE_STEP} AS node_idx, '{name}:' || {key} AS id, '{kind}' AS type, {label} AS name FROM {name}" for code, (kind, name, key, label) in enumerate(NODE_TYPES))
 
 
