@@ -7,11 +7,17 @@ document in Arrow batches, which also needs no shuffle.
 
 from __future__ import annotations
 
+import base64
 import bisect
+import os
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +44,80 @@ def boundary_flags(df: DataFrame, n_chunks: Column) -> DataFrame:
     return df.withColumns({"starts_at_sentence": first.rlike(r"^\p{Lu}"), "ends_at_sentence": ends, "starts_at_paragraph": F.col("sequence_index") == 0, "ends_at_paragraph": n_chunks == 1})
 
 
+class Tokenizer(Protocol):
+    """What a chunk's size is counted in. Implementations are small and picklable: they are sent to the workers."""
+
+    def encode(self, text: str) -> list[int]: ...
+
+    def decode(self, ids: list[int]) -> str: ...
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where in the text each token lies, by code points; a token that holds a part of a character begins where that does."""
+        ...
+
+
+@lru_cache(maxsize=8)
+def _encoding(path: str, pattern: str):  # noqa: ANN202
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@dataclass(frozen=True)
+class BpeTokenizer:
+    """Byte-level BPE from a file of ranks, loaded once a process. The path is a parameter; no vocabulary comes with the library."""
+
+    path: str = os.environ.get("GRAPHLOOM_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    pattern: str = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+    def encode(self, text: str) -> list[int]:
+        return _encoding(self.path, self.pattern).encode_ordinary(text)
+
+    def decode(self, ids: list[int]) -> str:
+        return _encoding(self.path, self.pattern).decode(list(ids))
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        ids = self.encode(text)
+        at = np.cumsum([0, *(len(x) for x in _encoding(self.path, self.pattern).decode_tokens_bytes(ids))]) if ids else np.zeros(1, np.int64)
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        chars = np.concatenate([np.cumsum((raw & 0xC0) != 0x80) - 1, [len(text)]])  # the character that each byte belongs to
+        return list(zip(chars[at[:-1]].tolist(), chars[at[1:]].tolist()))
+
+
+@dataclass(frozen=True)
+class SpaceTokenizer:
+    """White-space tokens, each with the space before it; numbered by a hash, so decoding needs the text."""
+
+    def encode(self, text: str) -> list[int]:
+        return [zlib.crc32(x.encode()) for x in _TOKEN.findall(text)]
+
+    def decode(self, ids: list[int]) -> str:
+        raise NotImplementedError("white-space tokens have no vocabulary")
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def tokenized_chunks(docs: DataFrame, tokenizer: Tokenizer, size: int = 512, overlap: float = 0.15) -> DataFrame:
+    """C2 by any tokenizer: (doc_id, sequence_index, text, token_count, char_count): windows of `size` tokens, in Arrow batches without
+    a shuffle. A boundary inside a character moves to the character's begin, so chunks are text. A null text has no chunks."""
+    if not 0 <= overlap < 1 or size < 1:
+        raise ValueError("the overlap must be a share under 1, the size positive")
+    step = max(1, size - int(size * overlap))
+
+    def cut(text: str, *_: object) -> list[tuple[str, int]]:
+        at = tokenizer.spans(text)
+        n = len(at)
+        if n <= size:
+            return [(text, n)]
+        last = -(-(n - size) // step)
+        return [(text[at[i * step][0] : at[i * step + size][0] if i * step + size < n else len(text)], min(size, n - i * step)) for i in range(last + 1)]
+
+    return python_chunks(docs, cut, size, overlap)
+
+
 def token_chunks(docs: DataFrame, size: int = 256, overlap: float = 0.15) -> DataFrame:
     """Docs with sequence_index, text, token_count, char_count, n_chunks: windows of `size` tokens. A null text has no chunks."""
     if not 0 <= overlap < 1 or size < 1:
@@ -119,9 +199,9 @@ def budget_sample(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else sampled(t) for t in text], index=text.index, dtype=object)
 
 
-def python_chunks(docs: DataFrame, strategy: str, size: int, overlap: float) -> DataFrame:
-    """C3, C5 over a table (doc_id, text): strategy "aligned" or "sentence". A null text has no chunks."""
-    cut = {"aligned": aligned, "sentence": by_sentences}[strategy]
+def python_chunks(docs: DataFrame, strategy: str | Callable[[str, int, float], list[tuple[str, int]]], size: int, overlap: float) -> DataFrame:
+    """C3, C5 over a table (doc_id, text): strategy "aligned" or "sentence", or a function of (text, size, overlap). A null text has no chunks."""
+    cut = {"aligned": aligned, "sentence": by_sentences}[strategy] if isinstance(strategy, str) else strategy
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,20 +222,23 @@ class Chunker:
     strategy: str = "token"
     size: int = 512
     overlap: float = 0.15
+    tokenizer: Tokenizer | None = None
 
     def __call__(self, docs: DataFrame) -> DataFrame:
+        if self.strategy == "token" and self.tokenizer is not None:
+            return tokenized_chunks(docs, self.tokenizer, self.size, self.overlap)
         return token_chunks(docs, self.size, self.overlap) if self.strategy == "token" else python_chunks(docs, self.strategy, self.size, self.overlap if self.strategy == "aligned" else int(self.overlap))
 
 
-def create_chunker(strategy: str = "token", chunk_size: int = 512, overlap: float = 0.15, preset: str | None = None) -> Chunker:
-    """A preset overrides the other arguments."""
+def create_chunker(strategy: str = "token", chunk_size: int = 512, overlap: float = 0.15, preset: str | None = None, tokenizer: Tokenizer | None = None) -> Chunker:
+    """A preset overrides the other arguments but the tokenizer; without one, token chunks count white-space tokens by native expressions."""
     if preset is not None:
         if preset not in PRESETS:
             raise ValueError(f"unknown preset {preset}")
-        return Chunker(*PRESETS[preset])
+        return Chunker(*PRESETS[preset], tokenizer=tokenizer)
     if strategy not in ("token", "aligned", "sentence"):
         raise ValueError(f"unknown strategy {strategy}")
-    return Chunker(strategy, chunk_size, overlap)
+    return Chunker(strategy, chunk_size, overlap, tokenizer)
 
 
 def chunk_issues(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ def context_sizes(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "sequence_index").join(new, ["doc_id", "sequence_index"], "left").select("doc_id", "sequence_index", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_context"))
 
 
-def distinct_triples(triples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Each triple once, at its first place."""
-    return triples.groupBy(*keys, "source", "relation", "target").agg(F.min("idx").alias("idx"))
+def distinct_triples(triples: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("idx",)) -> DataFrame:
+    """Each triple once, at its first place; order: the columns that tell it, such as doc_id and idx over several documents."""
+    if len(order) == 1:
+        return triples.groupBy(*keys, "source", "relation", "target").agg(F.min(order[0]).alias(order[0]))
+    return triples.groupBy(*keys, "source", "relation", "target").agg(F.min(F.struct(*order)).alias("__first")).select(*keys, "source", "relation", "target", "__first.*")
 
 
 def first_types(mentions: DataFrame, types: DataFrame) -> DataFrame:
@@ -47,32 +50,60 @@ def gate(triples: DataFrame, typed: DataFrame, relations: DataFrame) -> DataFram
     return triples.join(a, ["doc_id", "source"]).join(b, ["doc_id", "target"]).join(allowed, ["relation", "src", "dst"], "left_semi")
 
 
-def _similar(a: str, b: str, threshold: float) -> bool:
-    """ratio(a, b) >= threshold, by way of its cheaper upper bounds."""
-    if a == b:
-        return True
-    m = SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+def _letters(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of 32 classes of characters occurs in each name, and the names' lengths."""
+    out = np.zeros((len(low), 32), dtype=np.int16)
+    for i, x in enumerate(low):
+        for c in x:
+            out[i, ord(c) & 31] += 1
+    return out, np.array([len(x) for x in low])
 
 
 def resolve_names(names: list[str], threshold: float = 0.85) -> dict[str, str]:
-    """Name -> canonical name, of one type, in order: an earlier canonical name that is similar, else a new group around the name."""
+    """Name -> canonical name, of one type, in order: an earlier canonical name that is similar, else a new group around the name.
+
+    Names are similar if difflib's ratio reaches the threshold. The ratio is at most twice the characters that two names
+    share over all their characters, so it is computed only where that bound, taken for a name and all others at once,
+    reaches the threshold: the result is that of comparing all.
+    """
     if len(names) < 2:
         return {}
-    low = {n: n.lower().strip() for n in names}
+    names = list(dict.fromkeys(names))
+    low = [n.lower().strip() for n in names]
+    count, size = _letters(low)
+    matcher = SequenceMatcher(None)
     out: dict[str, str] = {}
-    canonical: list[str] = []
+    canonical: list[int] = []
+
+    def similar(i: int, others: np.ndarray) -> Iterator[int]:
+        """Those of the others, in order, that name i is similar to; i is the matcher's first text."""
+        if not len(others):
+            return
+        both = np.minimum(count[others], count[i]).sum(axis=1)
+        whole = size[others] + size[i]
+        matcher.set_seq1(low[i])
+        for j in others[2.0 * both >= threshold * whole - 1e-9].tolist():
+            if low[i] == low[j]:
+                yield j
+                continue
+            matcher.set_seq2(low[j])
+            if matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
+                yield j
+
+    free = np.ones(len(names), dtype=bool)
     for i, name in enumerate(names):
-        if name in out:
+        if not free[i]:
             continue
-        known = next((c for c in canonical if _similar(low[name], low[c], threshold)), None)
+        free[i] = False
+        known = next(similar(i, np.array(canonical, dtype=np.int64)), None)
         if known is not None:
-            out[name] = known
+            out[name] = names[known]
             continue
-        group = [name, *dict.fromkeys(x for x in names[i + 1 :] if x not in out and x != name and _similar(low[name], low[x], threshold))]
-        best = max(group, key=len)
+        group = [i, *similar(i, i + 1 + np.flatnonzero(free[i + 1 :]))]
+        best = max(group, key=lambda k: len(names[k]))
         canonical.append(best)
-        out |= dict.fromkeys(group, best)
+        free[group] = False
+        out |= {names[k]: names[best] for k in group}
     return out
 
 
@@ -135,21 +166,28 @@ def occurrences(text: Column, name: Column) -> Column:
     return F.regexp_count(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), name, F.lit(r"\E(?!\w)")))
 
 
-def anchors(chunks: DataFrame, mentions: DataFrame, min_len: int = MIN_ANCHOR, top: int = MAX_ANCHORS) -> DataFrame:
+def anchors(chunks: DataFrame, mentions: DataFrame | None = None, min_len: int = MIN_ANCHOR, top: int = MAX_ANCHORS) -> DataFrame:
     """(doc_id, sequence_index, name, score, rank): names of a chunk by tf-idf within the document.
 
-    Names and words are paired inside each chunk, so its text isn't repeated; only (name, count) rows are shuffled.
+    The names are the column `names` of the chunks, an array, so that the texts are read once and never shuffled; or, if
+    they come as a table of mentions, they are joined to the chunks first. Names of one word are counted among those words
+    of the chunk that are a name at all. Only rows of names and counts are shuffled, once, by document.
     """
     key = ["doc_id", "sequence_index"]
-    names = mentions.groupBy(*key).agg(F.array_sort(F.collect_set("name")).alias("names"))
-    words = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    count = lambda n: F.when(n.rlike(r"^[\p{L}\p{N}_]+$"), F.size(F.filter("words", lambda w: w == F.lower(n)))).otherwise(occurrences(F.col("text"), n))
-    tf = chunks.select(*key, "n_chunks", "text", words.alias("words")).join(names, key).select(*key, "n_chunks", F.explode(F.transform("names", lambda n: F.struct(n.alias("name"), count(n).alias("tf")))).alias("x")).select(*key, "n_chunks", "x.*")
+    if mentions is not None:
+        chunks = chunks.join(mentions.groupBy(*key).agg(F.collect_set("name").alias("names")), key)
+    low = F.transform(F.array_distinct("names"), lambda n: F.struct(n.alias("name"), F.lower(n).alias("low")))
+    c = chunks.select(*key, "n_chunks", "text", low.alias("names"))
+    hits = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.array_contains(F.col("names.low"), w))
+    c = c.withColumn("hits", hits)
+    count = lambda n: F.when(n["name"].rlike(r"^[\p{L}\p{N}_]+$"), F.size(F.filter("hits", lambda w: w == n["low"]))).otherwise(occurrences(F.col("text"), n["name"]))
+    tf = c.select(*key, "n_chunks", F.explode(F.transform("names", lambda n: F.struct(n["name"].alias("name"), n["low"].alias("low"), count(n).alias("tf")))).alias("x")).select(*key, "n_chunks", "x.*")
+    tf = tf.repartition("doc_id")  # both windows below keep this partitioning
     df = F.size(F.collect_set("sequence_index").over(Window.partitionBy("doc_id", "low")))  # every name of a chunk is in tf, so no second pass over the texts
-    fit = (F.length("name") >= min_len) & ~F.lower("name").isin(*PRONOUN_LIKE) & ~F.col("name").rlike(r"^\d+$") & (F.col("tf") > 0)
+    fit = (F.length("name") >= min_len) & ~F.col("low").isin(*PRONOUN_LIKE) & ~F.col("name").rlike(r"^\d+$") & (F.col("tf") > 0)
     score = F.col("tf") * (F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1) * (1 + F.least(F.length("name") / 20.0, F.lit(1.0)) * 0.1)
-    got = tf.withColumn("low", F.lower("name")).withColumn("df", df).where(fit).withColumn("score", F.round(score, 9))
-    return got.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "low"))).where(F.col("rank") <= top).select(*key, "name", "score", "rank")
+    got = tf.withColumn("df", df).where(fit).withColumn("score", F.round(score, 9))
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "sequence_index").orderBy(F.desc("score"), "low"))).where(F.col("rank") <= top).select(*key, "name", "score", "rank")
 
 
 def snippets_of(texts: dict[int, str], names: dict[int, list[str]], index: dict[str, set[int]], most: int = 3, reach: int = 350, budget: int = 1200) -> Iterator[tuple[int, int, str]]:

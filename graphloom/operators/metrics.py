@@ -62,6 +62,18 @@ def retrieval(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return per.agg(mean("predicted").alias("precision_at_k"), mean("expected").alias("recall_at_k"))
 
 
+def retrieval_by_class(retrieved: DataFrame, classes: DataFrame) -> DataFrame:
+    """M4 where what is expected of a query is all others of its class: the same figures from counts, without the pairs.
+
+    retrieved: query, id; classes: id, class, one row an id, the queries among them.
+    """
+    own = classes.select(F.col("id").alias("query"), F.col("class").alias("own"))
+    size = classes.groupBy(F.col("class").alias("own")).agg((F.count(F.lit(1)) - 1).alias("expected"))
+    per = retrieved.join(own, "query").join(classes, "id").groupBy("query", "own").agg(F.count(F.lit(1)).alias("predicted"), F.sum((F.col("class") == F.col("own")).cast("long")).alias("correct")).join(size, "own")
+    mean = lambda of: F.round(F.avg(F.when(F.col(of) > 0, F.col("correct") / F.col(of))), 9)
+    return per.agg(mean("predicted").alias("precision_at_k"), mean("expected").alias("recall_at_k"))
+
+
 def coverage(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """M5: names found in any chunk, over chunks (called precision, though it can exceed 1), over names, and their F1."""
     from graphloom.operators.retrieval import containing

@@ -9,8 +9,9 @@ from graphloom.functions import text as T
 from graphloom.operators import extraction as X
 from graphloom.operators import relations as R
 from graphloom.plans.catalog import query
+from graphloom.sources.session import cut
 from graphloom.sources.tables import table
-from graphloom.sources.textgraph import MENTIONS, TRIPLES, chunks, found_names, mentions, relation_of, triples
+from graphloom.sources.textgraph import MENTIONS, TRIPLES, chunks, found_names, mentions, mentions_and_next, relation_of, triples, triples_of
 
 
 
@@ -45,11 +46,10 @@ def gate_schema(s: SparkSession) -> tuple[DataFrame, DataFrame]:
 @query("x4_extract_typed")
 def x4_extract_typed(s: SparkSession, d: str) -> DataFrame:
     """Documents to gated triples between resolved entities."""
-    c = chunks(s, d)
-    m = mentions(c)
+    m = cut(mentions_and_next(chunks(s, d)))  # one pass over the texts
     types, relations = gate_schema(s)
     typed = X.first_types(m, types)
-    kept = X.gate(triples(c), typed, relations)
+    kept = X.gate(triples_of(m), typed, relations)
     names = m.groupBy("doc_id", "name").agg(F.min("idx").alias("idx")).join(typed, ["doc_id", "name"])
     return X.map_relations(kept.select("doc_id", "idx", "source", "relation", "target"), X.resolve(names).select("doc_id", "name", "canonical"))
 
@@ -66,18 +66,18 @@ def x6_context_sizes(s: SparkSession, d: str) -> DataFrame:
     return X.context_sizes(mentions(c), c)
 
 
-@query("x7_distinct_triples", f"WITH {TRIPLES} SELECT source, relation, target, min(idx) AS idx FROM triples GROUP BY source, relation, target")
+@query("x7_distinct_triples", f"WITH {TRIPLES} SELECT source, relation, target, min({{'d': doc_id, 'i': idx}}).d AS doc_id, min({{'d': doc_id, 'i': idx}}).i AS idx FROM triples GROUP BY source, relation, target")
 def x7_distinct_triples(s: SparkSession, d: str) -> DataFrame:
-    return X.distinct_triples(triples(chunks(s, d)))
+    return X.distinct_triples(triples(chunks(s, d)), order=("doc_id", "idx"))
 
 
 @query("x8_schema_gate", f"""WITH {TRIPLES}, typed AS (SELECT doc_id, name, min_by(type, idx) AS type FROM mentions SEMI JOIN {_SQL_TYPES} USING (type) GROUP BY doc_id, name)
 SELECT t.doc_id, t.idx, t.source, t.relation, t.target, a.type AS src, b.type AS dst FROM triples t JOIN typed a ON a.doc_id = t.doc_id AND a.name = t.source JOIN typed b ON b.doc_id = t.doc_id AND b.name = t.target
 SEMI JOIN {_SQL_RELATIONS} ON sr.relation = t.relation AND sr.src = a.type AND sr.dst = b.type""")
 def x8_schema_gate(s: SparkSession, d: str) -> DataFrame:
-    c = chunks(s, d)
+    m = cut(mentions_and_next(chunks(s, d)))
     types, relations = gate_schema(s)
-    return X.gate(triples(c), X.first_types(mentions(c), types), relations).select("doc_id", "idx", "source", "relation", "target", "src", "dst")
+    return X.gate(triples_of(m), X.first_types(m, types), relations).select("doc_id", "idx", "source", "relation", "target", "src", "dst")
 
 
 @query("x9_entity_resolution")
@@ -103,10 +103,10 @@ m AS (SELECT t.doc_id, t.idx, t.relation, COALESCE(a.canonical, source) AS sourc
 SELECT doc_id, source, relation, target, min(idx) AS idx FROM m WHERE source <> target GROUP BY doc_id, source, relation, target""")
 def x11_resolve_relations(s: SparkSession, d: str) -> DataFrame:
     """Names that begin alike are taken as one, under the least of them."""
-    c = chunks(s, d)
-    names = mentions(c).select("doc_id", "name").distinct()
+    m = cut(mentions_and_next(chunks(s, d)))
+    names = m.select("doc_id", "name").distinct()
     canonical = names.groupBy("doc_id", F.lower(F.left("name", F.lit(4))).alias("stem")).agg(F.min("name").alias("canonical"), F.collect_list("name").alias("names"))
-    return X.map_relations(triples(c), canonical.select("doc_id", F.explode("names").alias("name"), "canonical"))
+    return X.map_relations(triples_of(m), canonical.select("doc_id", F.explode("names").alias("name"), "canonical"))
 
 
 _PRONOUNS = "[" + ", ".join(f"'{p}'" for p in T.PRONOUNS) + "]"
@@ -172,6 +172,10 @@ def x18_inverted_index(s: SparkSession, d: str) -> DataFrame:
     return X.inverted_index(mentions(chunks(s, d)))
 
 
+def named(c: DataFrame) -> DataFrame:
+    return c.withColumn("names", F.transform(found_names(F.col("text")), lambda m: m["name"]))
+
+
 @query("x19_anchors", f"""WITH {MENTIONS}, n AS (SELECT DISTINCT doc_id, sequence_index, name FROM mentions), df AS (SELECT doc_id, name, count(*) AS df FROM n GROUP BY ALL),
 w AS (SELECT doc_id, sequence_index, word, count(*) AS tf FROM (SELECT doc_id, sequence_index, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM chunks) GROUP BY ALL),
 s AS (SELECT n.doc_id, n.sequence_index, n.name, round(tf * (ln((n_chunks + 1) / (df + 1)) + 1) * (1 + least(length(n.name) / 20, 1) * 0.1), 9) AS score
@@ -179,15 +183,14 @@ s AS (SELECT n.doc_id, n.sequence_index, n.name, round(tf * (ln((n_chunks + 1) /
   WHERE lower(n.name) NOT IN ({", ".join(f"'{p}'" for p in T.PRONOUN_LIKE)}))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, sequence_index ORDER BY score DESC, lower(name)) AS INTEGER) AS rank FROM s) WHERE rank <= 8""")
 def x19_anchors(s: SparkSession, d: str) -> DataFrame:
-    c = chunks(s, d)
-    return X.anchors(c, mentions(c))
+    return X.anchors(named(chunks(s, d)))
 
 
 @query("x20_cross_chunk_snippets")
 def x20_cross_chunk_snippets(s: SparkSession, d: str) -> DataFrame:
     c = chunks(s, d)
     m = mentions(c)
-    return X.snippets(c, m, X.anchors(c, m))
+    return X.snippets(c, m, X.anchors(named(c)))
 
 
 @query("x22_schema_from_output", "SELECT r_name, a.n_name AS src, b.n_name AS dst FROM region JOIN nation a ON a.n_regionkey = r_regionkey JOIN nation b ON a.n_nationkey = (b.n_nationkey - CASE WHEN b.n_nationkey % 2 = 0 THEN 5 ELSE 1 END + 25) % 25 WHERE b.n_regionkey = r_regionkey")

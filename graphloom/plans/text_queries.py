@@ -29,6 +29,12 @@ def c3_aligned_chunks(s: SparkSession, d: str) -> DataFrame:
     return C.python_chunks(table(s, d, "documents"), "aligned", 256, 0.15)
 
 
+@query("c2_bpe_chunks")
+def c2_bpe_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of 512 tokens of a public byte-level BPE vocabulary."""
+    return C.create_chunker("token", 512, 0.15, tokenizer=C.BpeTokenizer())(table(s, d, "documents"))
+
+
 @query("c4_boundaries", "SELECT doc_id, len(regexp_extract_all(text, '[.!?]\\s+')) AS sentence_ends, len(regexp_extract_all(text, '\\n\\s*\\n')) AS paragraph_ends FROM documents")
 def c4_boundaries(s: SparkSession, d: str) -> DataFrame:
     return C.sentence_marks(table(s, d, "documents")).select("doc_id", F.col("sentence_ends").cast("long").alias("sentence_ends"), F.col("paragraph_ends").cast("long").alias("paragraph_ends"))

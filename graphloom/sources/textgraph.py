@@ -19,7 +19,7 @@ NAME = r"^([A-Z][a-z]{3,})[.,;:!?]*$"
 TYPES = ((r"[.]$", "Location"), (r"^[A-Z][a-z]*(tion|ment|ness|heit|keit)[,;:!?]*$", "Concept"), (r"^[A-Z][a-z]*(er|or|en|ar)[,;:!?]*$", "Person"), (r"^[A-Z][a-z]*(ed|es|is|os)[,;:!?]*$", "Event"), ("", "Thing"))
 #: Relation by the target's type.
 RELATION_OF = {"Person": "works_with", "Location": "located_at", "Concept": "influences", "Event": "participated_in", "Thing": "related_to"}
-DOC_STEP, CHUNK_STEP = 10**9, 10**4
+CHUNK_STEP = 10**4
 
 
 def chunks(spark: SparkSession, sf_dir: str, size: int = SIZE, overlap: float = OVERLAP) -> DataFrame:
@@ -40,10 +40,27 @@ def found_names(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w.rlike(NAME)), lambda w: F.struct(F.regexp_extract(w, NAME, 1).alias("name"), _typed(w).alias("type")))
 
 
+def place(sequence_index: str = "sequence_index", pos: str = "pos") -> Column:
+    """The order of a mention within its document. Documents are told apart by doc_id beside it, of whatever type."""
+    return F.col(sequence_index).cast("long") * CHUNK_STEP + F.col(pos)
+
+
 def mentions(chunked: DataFrame) -> DataFrame:
-    """(doc_id, sequence_index, pos, idx, name, type), idx in order of document, chunk and place."""
+    """(doc_id, sequence_index, pos, idx, name, type), idx in order of chunk and place within the document."""
     m = chunked.select("doc_id", "sequence_index", F.posexplode(found_names(F.col("text"))).alias("pos", "m"))
-    return m.select("doc_id", "sequence_index", "pos", (F.col("doc_id") * DOC_STEP + F.col("sequence_index") * CHUNK_STEP + F.col("pos")).alias("idx"), "m.name", "m.type")
+    return m.select("doc_id", "sequence_index", "pos", place().alias("idx"), "m.name", "m.type")
+
+
+def mentions_and_next(chunked: DataFrame) -> DataFrame:
+    """Mentions with the name and type of the next one of their chunk (null for the last): mentions and triples from one pass over the texts."""
+    m = chunked.select("doc_id", "sequence_index", found_names(F.col("text")).alias("m"))
+    m = m.select("doc_id", "sequence_index", F.posexplode(F.zip_with("m", F.slice("m", 2, F.greatest(F.size("m"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("pos", "p"))
+    return m.select("doc_id", "sequence_index", "pos", place().alias("idx"), F.col("p.a.name").alias("name"), F.col("p.a.type").alias("type"), F.col("p.b.name").alias("target"), F.col("p.b.type").alias("target_type"))
+
+
+def triples_of(pairs: DataFrame) -> DataFrame:
+    """The triples of mentions_and_next."""
+    return pairs.where("target IS NOT NULL").select("doc_id", "sequence_index", "pos", "idx", F.col("name").alias("source"), relation_of(F.col("target_type")).alias("relation"), "target")
 
 
 def relation_of(kind: Column) -> Column:
@@ -59,7 +76,7 @@ def triples(chunked: DataFrame) -> DataFrame:
     # the two slices side by side; a filter on the size would be pushed down and extract the names twice
     pairs = F.zip_with(F.slice("m", 1, F.greatest(F.size("m") - 1, F.lit(0))), F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     p = m.select("doc_id", "sequence_index", F.posexplode(pairs).alias("pos", "p"))
-    return p.select("doc_id", "sequence_index", "pos", (F.col("doc_id") * DOC_STEP + F.col("sequence_index") * CHUNK_STEP + F.col("pos")).alias("idx"), F.col("p.a.name").alias("source"), relation_of(F.col("p.b.type")).alias("relation"), F.col("p.b.name").alias("target"))
+    return p.select("doc_id", "sequence_index", "pos", place().alias("idx"), F.col("p.a.name").alias("source"), relation_of(F.col("p.b.type")).alias("relation"), F.col("p.b.name").alias("target"))
 
 
 _CASE = "CASE " + " ".join(f"WHEN regexp_matches(w, '{p}') THEN '{n}'" for p, n in TYPES[:-1]) + f" ELSE '{TYPES[-1][1]}' END"
@@ -73,7 +90,7 @@ chunks AS (
 MENTIONS = f"""{CHUNKS},
 chunk_words AS (SELECT doc_id, sequence_index, list_filter(regexp_extract_all(text, '\\S+'), lambda w: regexp_matches(w, '{NAME}')) AS ws FROM chunks),
 mentions AS (
-  SELECT doc_id, sequence_index, CAST(i AS INTEGER) AS pos, doc_id * {DOC_STEP} + sequence_index * {CHUNK_STEP} + i AS idx, regexp_extract(w, '{NAME}', 1) AS name, {_CASE} AS type
+  SELECT doc_id, sequence_index, CAST(i AS INTEGER) AS pos, CAST(sequence_index AS BIGINT) * {CHUNK_STEP} + i AS idx, regexp_extract(w, '{NAME}', 1) AS name, {_CASE} AS type
   FROM (SELECT doc_id, sequence_index, i, ws[i + 1] AS w FROM (SELECT *, unnest(range(len(ws))) AS i FROM chunk_words)))"""
 TRIPLES = f"""{MENTIONS},
 triples AS (

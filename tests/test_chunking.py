@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -87,3 +88,41 @@ def test_issues(spark, rows):
 def test_paragraphs(spark, rows):
     d = spark.createDataFrame([(1, "A.\n\nB! \n \nC?"), (2, "")], DOCS)
     assert rows(C.sentence_marks(d), "doc_id", "sentence_ends", "paragraph_ends") == [(1, 2, 2), (2, 0, 0)]
+
+
+BPE = C.BpeTokenizer()
+
+
+@pytest.mark.skipif(not os.path.exists(BPE.path), reason="needs the public vocabulary")
+def test_bpe_ids_and_chunks(spark):
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(BPE.path.replace(".tiktoken", ".json"))
+    other.encode_special_tokens = True
+    texts = {0: "", 1: "Hello world, it's 2024!", 2: "naïve café 漢字🙂 " * 40, 3: "a  b\n\nc " * 200, 4: "🙂" * 90}
+    for t in texts.values():
+        ids = BPE.encode(t)
+        assert ids == other.encode(t, add_special_tokens=False).ids and BPE.decode(ids) == t
+        spans = BPE.spans(t)
+        assert len(spans) == len(ids) and all(a <= b for a, b in spans) and (not spans or (spans[0][0], spans[-1][1]) == (0, len(t)))
+    rows = spark.createDataFrame([*texts.items(), (9, None)], "doc_id long, text string")
+    got = {}
+    for r in C.create_chunker("token", 20, 0.25, tokenizer=BPE)(rows).orderBy("doc_id", "sequence_index").collect():
+        got.setdefault(r["doc_id"], []).append((r["text"], r["token_count"]))
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        n, step = len(BPE.encode(t)), 15
+        count = 1 if n <= 20 else 1 + -(-(n - 20) // step)
+        assert len(got[i]) == count and [c for _, c in got[i]] == [min(20, n - k * step) if n > 20 else n for k in range(count)]
+        starts = [a for a, _ in BPE.spans(t)]
+        for k, (x, c) in enumerate(got[i]):
+            assert t[starts[k * step] if n else 0 :].startswith(x)
+            if "🙂" not in t and "漢" not in t and n > 20:
+                assert x == BPE.decode(BPE.encode(t)[k * step : k * step + c])
+        assert got[i][-1][0] == (t if n <= 20 else t[starts[(count - 1) * step] :])
+
+
+def test_presets_take_a_tokenizer(spark):
+    rows = spark.createDataFrame([(1, "one two three " * 300)], "doc_id long, text string")
+    native, given_one = (C.create_chunker(preset="graphrag", tokenizer=t)(rows).orderBy("sequence_index").select("sequence_index", "text", "token_count").collect() for t in (None, C.SpaceTokenizer()))
+    assert [r["token_count"] for r in native] == [r["token_count"] for r in given_one] and [r["text"].rstrip() for r in native] == [r["text"].rstrip() for r in given_one]

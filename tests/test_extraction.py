@@ -143,3 +143,15 @@ def test_similarity_column(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r[0] for r in df.select(T.name_similarity("a", "b")).collect()]
     assert got == [1.0, SequenceMatcher(None, "abcd", "bcde").ratio(), 1.0, 0.0, 0.0]
+
+
+def test_ids_of_any_size_and_type(spark):
+    for kind, ids in (("long", (10**12, 9 * 10**18)), ("string", ("x", "y"))):
+        docs = spark.createDataFrame([(i, "en", "s", "Anna meets Peter in Weimar. Peter thanks Anna.") for i in ids], f"doc_id {kind}, lang string, source string, text string")
+        from graphloom.operators.chunking import token_chunks
+        from graphloom.sources import textgraph as G
+
+        m = G.mentions_and_next(token_chunks(docs))
+        assert m.count() == 2 * m.where(F.col("doc_id") == ids[0]).count() > 0
+        t = X.distinct_triples(G.triples_of(m), order=("doc_id", "idx"))
+        assert {r["doc_id"] for r in t.collect()} == {min(ids)}

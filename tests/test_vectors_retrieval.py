@@ -46,7 +46,7 @@ def test_approximate_recall(spark):
     x = np.random.default_rng(1).normal(size=(600, 16))
     want, got = brute(x, 5), {}
     df = table(spark, x)
-    for r in V.ivf(df, 5).collect():
+    for r in V.ivf(df, k=5).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(got[i] & set(want[i])) / 5 for i in want]) >= 0.9
     assert V.ivf(df.limit(0)).count() == 0
