@@ -137,7 +137,7 @@ def block_matches(block: repeats.Block, span: int) -> pa.RecordBatch | None:
     pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * weight[: len(words)], dtype=np.uint64)])
     i = begin[seg] + off
     check = (pre[i + span] - pre[i]) * inverse[i]
-    text = np.unique(np.column_stack([_dense(block.ids)[block.row], block.digest]), axis=0, return_inverse=True)[1].ravel()[seg]
+    text = block.text[seg]
     lo = block.lo[seg] + off
     order = np.lexsort((lo, text, check, group))
     group, check, text, lo, seg, off = (x[order] for x in (group, check, text, lo, seg, off))
@@ -148,11 +148,6 @@ def block_matches(block: repeats.Block, span: int) -> pa.RecordBatch | None:
     return block.matches(seg[later], off[later], np.full(len(later), span), seg[head[later]], off[head[later]])
 
 
-def _dense(ids: pa.Array) -> np.ndarray:
-    """Ranks of the ids in order."""
-    return np.unique(np.asarray(ids), return_inverse=True)[1]
-
-
 def duplicate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", span: int = repeats.SPAN, gram: int = repeats.GRAM, **options) -> DataFrame:  # noqa: ANN003
     """(doc_id, digest, start_word, end_word, n_factors, ref_doc_id, ref_start_word): repeated intervals as spans of words."""
 

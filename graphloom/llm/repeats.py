@@ -106,8 +106,9 @@ def marks(docs: DataFrame, span: int = SPAN, gram: int = GRAM, salt_rows: int =
         same = Window.partitionBy(*keys, "region").orderBy(*order)
         return rows.withColumns({f"ref_{n}": F.first(c).over(same) for n, c in (("doc", "doc_id"), ("digest", "digest"), ("place", "place"))})
 
-    wide = skew.salted(anchors, ["anchor"], ["doc_id", "digest"], top).repartition("anchor", "salt")
-    found = with_first(wide, ["anchor", "salt"]).withColumn("others", F.sum(F.when(first, 1).otherwise(0)).over(Window.partitionBy("anchor", "salt")))
+    keys = ["anchor"] if top is None else ["anchor", "salt"]  # a salt that is constant would be folded out of the windows' keys, and cost a second exchange
+    wide = (anchors if top is None else skew.salted(anchors, ["anchor"], ["doc_id", "digest"], top)).repartition(*keys)
+    found = with_first(wide, keys).withColumn("others", F.sum(F.when(first, 1).otherwise(0)).over(Window.partitionBy(*keys)))
     large = F.lit(False) if top is None else F.col("large")
     if top is not None:
         found = found.join(F.broadcast(top.select("anchor", F.lit(True).alias("large"))), "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
@@ -180,6 +181,11 @@ class Block:
         same = np.zeros(len(order), dtype=bool)
         same[1:] = (np.diff(anchor[order]) == 0) & (np.diff(rank[order]) == 0) & (np.diff(digest[order]) == 0) & (np.diff(pos[order]) == 0)
         self.row = order[~same]
+        by_text = np.lexsort((digest, rank))
+        new = (np.diff(rank[by_text]) != 0) | (np.diff(digest[by_text]) != 0)
+        text = np.empty(len(by_text), dtype=np.int64)
+        text[by_text] = np.concatenate([[0], np.cumsum(new)])
+        self.text = text[self.row]  # the number of the segment's text, in order of (doc_id, digest)
         self.anchor, self.digest, self.lo = anchor[self.row], digest[self.row], lo[self.row]
         words = table.column("words").combine_chunks().take(pa.array(self.row))
         cuts = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
