@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+import json
 import re
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, MapType, StringType
 
 #: Negation cues, found anywhere in a lower-cased window.
 NEGATION_CUES = tuple("are not|can't|cannot|ceased to|did not|discontinue|discontinued|do not|does not|is not|never|no longer|stopped|was not|were not|won't".split("|"))
@@ -62,10 +64,44 @@ def year_span(window: Column) -> Column:
     return span.when(F.size(years) > 0, F.struct(F.concat(F.array_min(years), F.lit("-01-01")).alias("start"), F.lit(None).cast("string").alias("end")))
 
 
+def _unfenced(raw: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
+
+
+@F.pandas_udf(StringType())
+def _literal_as_json(raw: pd.Series) -> pd.Series:
+    """A Python literal (None, True, single quotes, tuples) as JSON; null for what is none. Nothing is executed."""
+
+    def one(x: str | None) -> str | None:
+        if x is None:
+            return None
+        try:
+            return json.dumps(ast.literal_eval(x))
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return pd.Series([one(x) for x in raw], index=raw.index, dtype=object)
+
+
 def parse_json_output(raw: Column, schema: str) -> Column:
     """JSON with or without a code fence; text that isn't JSON gives null."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
-    return F.from_json(bare, schema)
+    return F.from_json(_unfenced(raw), schema)
+
+
+def parsed_output(raw: Column, schema: str, expected: str = "array") -> Column:
+    """X3 in full: struct<value, problem>: JSON with or without a code fence, else a Python literal, of the expected shape.
+
+    problem is null, "no text", "not parsed" or "not an array" ("not an object"); value is null where there is one. Only
+    what isn't JSON is tried as a literal.
+    """
+    bare = _unfenced(raw)
+    text = F.coalesce(F.get_json_object(bare, "$"), _literal_as_json(F.when(F.get_json_object(bare, "$").isNull(), bare)))
+    first = F.substring(F.ltrim(text), 1, 1)
+    problem = (
+        F.when(raw.isNull() | (F.trim(raw) == ""), "no text").when(text.isNull(), "not parsed")
+        .when(first != ("[" if expected == "array" else "{"), "not an array" if expected == "array" else "not an object")
+    )
+    return F.struct(F.when(problem.isNull(), F.from_json(text, schema)).alias("value"), problem.alias("problem"))
 
 
 def schema_sample(text: Column) -> Column:
@@ -130,3 +166,44 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), add)
     norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda p: p * p), F.lit(0.0), add))
     return F.when((F.size(x) != F.size(y)) | (norm(x) == 0) | (norm(y) == 0), 0.0).otherwise(dot / (norm(x) * norm(y)))
+
+
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Pronouns that stand for one another.
+PRONOUN_SETS = (("he", "him", "his"), ("she", "her", "hers"), ("it", "its"), ("they", "them", "their", "theirs"))
+LOOK_BACK = 20
+
+
+def look_back(text: str | None, names: list[str]) -> dict[str, str]:
+    """Pronoun -> name by proximity, without a language model.
+
+    A pronoun stands for the name of which a word lies in the nearest of the 20 tokens before it; failing that, for the first
+    name with a word in the sentence before. Other forms of the pronoun in its sentence stand for the same, unless they
+    stand for something already; where a pronoun occurs again, its last place counts.
+    """
+    words = [(n, n.lower().split()) for n in names if n and n.strip()]
+    out: dict[str, str] = {}
+    tokens: list[str] = []
+    before = ""
+    for sentence in _SENTENCE_END.split(text or ""):
+        low = sentence.lower()
+        for token in _TOKEN.findall(sentence):
+            forms = next((f for f in PRONOUN_SETS if token.lower() in f), None)
+            if forms:
+                near = next((n for t in reversed(tokens[-LOOK_BACK:]) for n, ws in words if any(w in t for w in ws)), None)
+                name = near or next((n for n, ws in words if any(w in before for w in ws)), None)
+                if name:
+                    out[token] = name
+                    for f in forms:
+                        if f in low:
+                            out.setdefault(f, name)
+            tokens.append(token.lower())
+        before = low
+    return out
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def pronoun_names(text: pd.Series, names: pd.Series) -> pd.Series:
+    """X13 for each text with its names."""
+    return pd.Series([look_back(t, list(n)) if n is not None else {} for t, n in zip(text, names)], index=text.index)

@@ -1,9 +1,13 @@
-"""Relation types, their categories, and the rule-based classifier."""
+"""Relation types, their categories, and the rule-based classifier, and models in its place."""
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 #: Category -> types; the last three groups have no category of their own.
 _TYPES = {
@@ -67,3 +71,33 @@ def classified(found: Column) -> Column:
     sure = F.get(found, F.lit(0))["confidence"] >= 0.8
     best = F.slice(F.transform(F.array_sort(F.transform(found, lambda x, i: F.struct((-x["confidence"]).alias("c"), i.alias("i"), x["type"].alias("type")))), lambda x: F.struct(x["type"].alias("type"), (-x["c"]).alias("confidence"))), 1, 5)
     return F.when(sure, F.slice(found, 1, 3)).otherwise(best)
+
+
+class Classifier(Protocol):
+    """A model that classifies relations, called once a batch on the executors; it is sent to them, so it must be picklable."""
+
+    def classify(self, rows: list[tuple[str, str | None, str | None]]) -> list[list[tuple[str, float]]]:
+        """For each (text, source type, target type) its types with confidence, the best first; an empty list for no answer."""
+        ...
+
+
+def classified_by(rows: DataFrame, classifier: Classifier, keys: list[str]) -> DataFrame:
+    """(keys, found): rows (keys, text, src, dst) by a model, and by the rules where it has no answer or fails.
+
+    Confidences are brought into 0 to 1 and answers without a type dropped, so what follows (G8, G9) sees the same shape.
+    """
+    kind = ArrayType(StructType([StructField("type", StringType()), StructField("confidence", DoubleType())]))
+
+    @F.pandas_udf(kind)
+    def model(text: pd.Series, src: pd.Series, dst: pd.Series) -> pd.Series:
+        try:
+            got = classifier.classify(list(zip(text, src, dst)))
+            if len(got) != len(text):
+                raise ValueError("as many answers as rows are needed")
+        except Exception:  # noqa: BLE001 - a model's failure of whatever kind leaves the batch to the rules
+            got = [[] for _ in text]
+        clean = [[{"type": t, "confidence": min(1.0, max(0.0, float(c)))} for t, c in x or [] if t and t.strip()] for x in got]
+        return pd.Series(clean, index=text.index)
+
+    both = rows.withColumn("__model", model("text", "src", "dst")).withColumn("__rules", by_rules(F.col("text"), F.col("src"), F.col("dst")))
+    return both.select(*keys, F.when(F.size("__model") > 0, F.col("__model")).otherwise(F.col("__rules")).alias("found"))

@@ -90,8 +90,9 @@ def ivf(df: DataFrame, queries: DataFrame | None = None, k: int = 5, cells: int
     """V4: approximate knn for the queries (every row by default): k-means cells (about sqrt(n)) over unit vectors; a query looks into its nearest cells only.
 
     The cells are fitted on at most about `fit_rows` vectors, by hash of vec_id; every vector is indexed, once, in the cell it
-    is nearest to, and only queries are sent to several. A third of the cells are probed by default, which keeps recall over
-    0.9 even on vectors without clusters; tables with clusters need far fewer (`probes`).
+    is nearest to, and only queries are sent to several. Five eighths of the cells are probed by default: on vectors without any
+    clusters that gives a recall of 0.96 of the five nearest (a half 0.91, a third 0.81); vectors with clusters need far
+    fewer (`probes`).
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -107,7 +108,7 @@ def ivf(df: DataFrame, queries: DataFrame | None = None, k: int = 5, cells: int
     sample = v if share >= 1 else v.where(F.xxhash64("vec_id") <= int((2 * share - 1) * 2**63))
     sample = sample.select(array_to_vector("embedding").alias("features"))
     cells = max(1, min(cells or max(1, int(n**0.5)), sample.count()))
-    probes = probes or max(1, -(-cells // 3))
+    probes = probes or max(1, -(-cells * 5 // 8))
     centres = np.array(KMeans(k=cells, maxIter=rounds, seed=seed).fit(sample).clusterCenters())  # sqrt(n) centres
     shared = df.sparkSession.sparkContext.broadcast(centres)
 

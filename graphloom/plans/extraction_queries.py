@@ -124,6 +124,23 @@ def x12_coreference(s: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", "sequence_index", "pronoun", F.get("names", F.lit(0)).alias("target"), X.antecedent(F.col("text"), F.col("names"), F.col("pronoun")).alias("source"))
 
 
+@query("x13_pronoun_names")
+def x13_pronoun_names(s: SparkSession, d: str) -> DataFrame:
+    """The name that each pronoun of a chunk stands for by proximity."""
+    c = named(chunks(s, d)).where("size(names) > 0").select("doc_id", "sequence_index", T.pronoun_names(F.col("text"), F.array_distinct("names")).alias("m"))
+    return c.select("doc_id", "sequence_index", F.explode("m").alias("pronoun", "name"))
+
+
+@query("x3_parse_output", "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE event_id % 5 WHEN 4 THEN 'not parsed' END AS problem FROM events")
+def x3_parse_output(s: SparkSession, d: str) -> DataFrame:
+    """Model output in its usual forms: bare, fenced, as a Python literal, with None in it, and cut short."""
+    k = F.get_json_object("props", "$.k")
+    forms = (F.concat(F.lit("["), "props", F.lit("]")), F.concat(F.lit("```json\n["), "props", F.lit("]\n```")), F.concat(F.lit("[{'k': "), k, F.lit(", 'x': None}]")), F.concat(F.lit("```\n({'k': "), k, F.lit(", 'y': True},)\n```")), F.concat(F.lit("[{'k': "), k))
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int"))
+    p = table(s, d, "events").select("event_id", T.parsed_output(raw, "array<struct<k: long>>").alias("p"))
+    return p.select("event_id", F.get("p.value", F.lit(0))["k"].alias("k"), F.col("p.problem").alias("problem"))
+
+
 def _windows(s: SparkSession, d: str) -> DataFrame:
     m = chunks(s, d).select("doc_id", "sequence_index", "lang", "text", found_names(F.col("text")).alias("m"))
     rest = F.greatest(F.size("m") - 1, F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,14 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df with a reliable checkpoint in spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """Materialise df with a reliable checkpoint in spark.checkpoint.dir, so that a lost executor costs no recomputation.
+
+    Where none is set, a session within one process (as in tests) gets a temporary folder; a cluster gets an error, since
+    its executors would write to different disks.
+    """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return df.checkpoint(eager=True)

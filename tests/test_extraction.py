@@ -155,3 +155,39 @@ def test_ids_of_any_size_and_type(spark):
         assert m.count() == 2 * m.where(F.col("doc_id") == ids[0]).count() > 0
         t = X.distinct_triples(G.triples_of(m), order=("doc_id", "idx"))
         assert {r["doc_id"] for r in t.collect()} == {min(ids)}
+
+
+def test_output_in_all_forms(spark):
+    forms = [('[{"k": 1}]', [1], None), ("```json\n[{\"k\": 2}]\n```", [2], None), ("[{'k': 3, 'x': None}]", [3], None), ("({'k': 4},)", [4], None), ('{"k": 5}', None, "not an array"), ("[{'k': 6", None, "not parsed"), ("", None, "no text"), (None, None, "no text"), ("__import__('os')", None, "not parsed"), ("[]", [], None)]
+    df = spark.createDataFrame([(i, f[0]) for i, f in enumerate(forms)], "i int, raw string")
+    got = {r["i"]: r["p"] for r in df.select("i", T.parsed_output(F.col("raw"), "array<struct<k: long>>").alias("p")).collect()}
+    for i, (_, value, problem) in enumerate(forms):
+        assert got[i]["problem"] == problem and (got[i]["value"] is None if value is None else [x["k"] for x in got[i]["value"]] == value)
+    one = df.limit(1).select(T.parsed_output(F.lit('{"k": 5}'), "k long", "object").alias("p")).first()["p"]
+    assert one["problem"] is None and one["value"]["k"] == 5
+
+
+def test_look_back():
+    assert T.look_back("Anna Berg met Tom. She smiled at him.", ["Anna Berg", "Tom"])["She"] == "Tom"
+    far = "Acme grew. " + "word " * 30 + "until it closed."
+    assert T.look_back(far, ["Acme"])["it"] == "Acme"  # 20 tokens back there is none, but the sentence before names it
+    assert T.look_back("It rains. He left.", ["Acme"]) == {} and T.look_back(None, ["Acme"]) == {}
+    assert T.look_back("Acme sold its plant.", ["Acme"]) == {"its": "Acme", "it": "Acme"}
+
+
+class Odd:
+    """A model that knows one word, and fails on another."""
+
+    def classify(self, rows):
+        if any("boom" in t for t, _, _ in rows):
+            raise RuntimeError
+        return [[("owns", 1.7), ("", 0.2)] if "owns" in t else [] for t, _, _ in rows]
+
+
+def test_a_model_in_place_of_the_rules(spark):
+    df = spark.createDataFrame([(1, "x owns y", "Person", "Person"), (2, "x y", "Person", "Person")], "id int, text string, src string, dst string")
+    rules = {r["id"]: r["f"] for r in df.select("id", R.by_rules(F.col("text"), F.col("src"), F.col("dst")).alias("f")).collect()}
+    got = {r["id"]: r["found"] for r in R.classified_by(df, Odd(), ["id"]).collect()}
+    assert [tuple(x) for x in got[1]] == [("owns", 1.0)] and got[2] == rules[2]
+    failed = R.classified_by(df.withColumn("text", F.concat("text", F.lit(" boom"))), Odd(), ["id"]).collect()
+    assert all(r["found"] for r in failed)
