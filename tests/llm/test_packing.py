@@ -59,3 +59,41 @@ def test_edges(spark):
     check(got, {3: [1, 2, 2], 4: [2048], 5: [2049]}, packing.WINDOW)
     assert packing.pack_documents(df.limit(0)).count() == 0
     assert packing.pack_documents(df.where("doc_id = 2")).count() == 0
+
+
+def fewest(lengths, window):
+    """The least number of windows, by trying every place for each piece."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= lengths[i]:
+                rooms[k] -= lengths[i]
+                place(i + 1, rooms)
+                rooms[k] += lengths[i]
+        place(i + 1, [*rooms, window - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_against_the_fewest_windows_possible():
+    r = np.random.default_rng(12)
+    over = 0
+    for _ in range(60):
+        lengths = r.integers(1, 33, r.integers(1, 9))
+        p, offset = packing.pack(lengths.astype(np.int64), window=32, grain=4)
+        order = np.lexsort((offset, p))
+        for k in set(p.tolist()):  # no window is overfull, and no two pieces in it overlap
+            own = [i for i in order if p[i] == k]
+            assert [int(offset[i]) for i in own] == np.cumsum([0, *lengths[own]])[:-1].tolist() and lengths[own].sum() <= 32
+        want = fewest(sorted(lengths.tolist(), reverse=True), 32)
+        assert want <= len(set(p.tolist())) <= want + 1
+        over += len(set(p.tolist())) > want
+    assert over <= 6
