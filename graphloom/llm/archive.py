@@ -31,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.text import pieces
+
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _IP = rb"\d{1,3}(?:\.\d{1,3}){3}|-|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+"
 _HEADER = re.compile(rb"^(\S[^\n]*?) (" + _IP + rb") (\d{8,14}) ([^\n]*?) ?(\d+)\r?$")
 _RESYNC = re.compile(rb"\n(?=[a-z][a-z0-9+.\-]*:[^\n]* (?:" + _IP + rb") \d{8,14} [^\n]*\d\r?\n)")
 _MEMBER = b"\x1f\x8b\x08"
+OUT_BYTES = 1 << 20
 _NO_DATE = "1970-01-01T00:00:00Z"
 RECORD = "position int, warc_record_id string, warc_type string, warc_date string, target_uri string, ip_address string, content_type string, content_length long, block_digest string, payload_digest string, problem string, record binary"
 
@@ -158,10 +161,19 @@ def convert(archives: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in RECORD.split(", ")]
         kinds = [pa.int32(), *[pa.string()] * 6, pa.int64(), *[pa.string()] * 3, pa.binary()]
         for batch in batches:
+            at: list[int] = []
+            rows: list[dict] = []
+            size = 0
             for r, arc in enumerate(batch.column("arc")):
-                rows = list(records(arc.as_py() or b""))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column("archive_id").take(pa.array([r] * len(rows))), *(pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds))], names=["archive_id", *names])
+                for row in records(arc.as_py() or b""):
+                    at.append(r)
+                    rows.append(row)
+                    size += len(row["record"])
+                    if size > OUT_BYTES:
+                        yield pa.RecordBatch.from_arrays([batch.column("archive_id").take(pa.array(at)), *(pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds))], names=["archive_id", *names])
+                        at, rows, size = [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("archive_id").take(pa.array(at)), *(pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds))], names=["archive_id", *names])
 
     return archives.select("archive_id", "arc").mapInArrow(run, f"archive_id {id_type}, {RECORD}")
 
@@ -187,7 +199,7 @@ def pages_as_arc(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for big in batches for part in pieces(big, "html")):
             out = []
             for i, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 n = i if isinstance(i, int) else zlib.crc32(str(i).encode()) if i is not None else 0
