@@ -29,8 +29,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edge(df: DataFrame, code: int, relation: str, src: str, src_key: str, dst: str, dst_key: str) -> DataFrame:
+    a, b = F.col(src_key).cast("long"), F.col(dst_key).cast("long")
+    over = F.raise_error(F.lit(f"keys of {KEY_STEP} and more do not fit into edge_idx")).cast("long")  # rather than equal indexes of different edges
     return df.select(
-        (F.lit(code * EDGE_STEP) + F.col(src_key).cast("long") * KEY_STEP + F.col(dst_key).cast("long")).alias("edge_idx"),
+        F.when((a >= KEY_STEP) | (b >= KEY_STEP), over).otherwise(F.lit(code * EDGE_STEP) + a * KEY_STEP + b).alias("edge_idx"),
         F.concat(F.lit(f"{src}:"), F.col(src_key).cast("string")).alias("source"),
         F.lit(relation).alias("relationship_type"),
         F.concat(F.lit(f"{dst}:"), F.col(dst_key).cast("string")).alias("target"),

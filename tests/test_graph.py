@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import clusters as K
 from graphloom.operators import exports as E
@@ -164,3 +165,20 @@ def test_exports(spark, rows):
     assert [r["line"] for r in E.mermaid_lines(n, full).orderBy("part", "idx").collect()][0] == "graph TD"
     assert {r["id"] for r in E.cytoscape_nodes(n, e, m).collect()} == {"a", "b", "c"}
     assert E.json_rows(n, full, m).count() == 4 + 2 + 2
+
+
+def test_keys_that_do_not_fit_are_an_error(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from graphloom.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    for t in ("customer", "supplier", "nation", "lineitem"):
+        rows = spark.read.parquet(f"{d}/{t}.parquet")
+        rows = rows.withColumn("l_partkey", F.col("l_partkey") + 10**9) if t == "lineitem" else rows
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    e = tables.edges(spark, str(tmp_path))
+    with pytest.raises(PySparkException, match="do not fit"):
+        e.agg(F.max("edge_idx")).collect()
+    places = e.where("relationship_type = 'located_in'")
+    assert places.agg(F.max("edge_idx")).first()[0] > 0 and "lineitem" not in places._jdf.queryExecution().optimizedPlan().toString()
