@@ -111,3 +111,57 @@ def test_two_texts_of_one_labelled_id_give_one_fit_in_any_order(spark):
         random.Random(seed).shuffle(docs)
         limits.add(quality.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(1 + 3 * seed), labels)[1])
     assert len(limits) == 1
+
+
+def test_labels_beyond_any_fixed_number_count(spark):
+    """All rejected rows come last in the order by hash, after more than 20,000 others."""
+    ids = [r["id"] for r in spark.range(20_600).orderBy(F.xxhash64("id"), "id").collect()]
+    bad, r = set(ids[-400:]), random.Random(1)
+    vocabulary = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    docs = spark.createDataFrame([(i, "BUY!! NOW!! ### $$$ %%% " * 5 if i in bad else " ".join(r.choice(vocabulary) for _ in range(12)).capitalize() + ".") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.keep(docs, labels).select("doc_id").collect()}
+    assert not kept & bad and len(kept) >= 0.999 * (len(ids) - len(bad))
+
+
+def test_fit_against_one_in_memory(spark):
+    """Trees over all labelled rows, and the least cost over all of them by trees that they don't stand in."""
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice(["word", "Word,", "plain", "##" if i % 9 == 0 else "text", "!!" if i % 7 == 0 else "and"]) for _ in range(r.randint(5, 60)))) for i in range(700)]
+    bad = {i for i, _ in docs if i % 9 == 0}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(700)], "doc_id long, quality int")
+    forest, limit = quality.fit(df.repartition(5), labels)
+    ids = np.array([x["h"] for x in df.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("doc_id").collect()]).view(np.uint64)
+    x, rare = quality.statistics(pa.array([t for _, t in docs])), np.array([i in bad for i, _ in docs])
+    one = quality.Forest(x, rare, 0.03, ids=ids)
+    assert all(np.array_equal(a, b) for s, t in zip(forest.trees, one.trees, strict=True) for a, b in zip(s, t))
+    stands = np.array([one.stands(ids, t) for t in range(100)])
+    assert (stands.sum(0) == one.share).all() and (stands.sum(1) > 200).all()
+    total = np.zeros(700)
+    for k in range(700):
+        for (feature, split, left, right, value), there in zip(one.trees, stands[:, k]):
+            at = 0
+            while left[at] != at:
+                at = left[at] if x[k, feature[at]] < split[at] else right[at]
+            total[k] += 0 if there else value[at]
+    score = 2.0 ** (-total / (100 - one.share) / one._mean_path(256))
+    cost = lambda at: 8 * (score[~rare] > at).sum() + (score[rare] <= at).sum()
+    assert cost(limit) == min(cost(at) for at in [0.0, *score])
+
+
+def test_each_row_stands_in_a_tree_however_many_rows():
+    ids = quality.mix(np.arange(60_000, dtype=np.uint64))
+    forest = quality.Forest.empty(59_000, 1_000, 0.03)
+    stands = np.array([forest.stands(ids, t) for t in range(100)])
+    assert (stands.sum(0) == 1).all() and stands.sum(1).min() > 500
+
+
+def test_threshold_against_all_limits(spark):
+    r = random.Random(5)
+    for n in (1, 2, 30, 300):
+        for even in (2, 40, 10**6):  # ties, and hardly any
+            rows = [(round(r.random() * even) / even, r.random() < 0.3) for _ in range(n)]
+            at = quality.threshold(spark.createDataFrame(rows, "score double, bad boolean").repartition(7), 8.0)
+            cost = lambda x: sum((8 * (s > x)) if not b else s <= x for s, b in rows)  # noqa: B023, E731
+            assert cost(at) == min(cost(x) for x in [-1.0, *(s for s, _ in rows)])
