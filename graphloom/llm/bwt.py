@@ -1,12 +1,13 @@
 """Operator 4, suffix-array dedup: shard Burrows-Wheeler transforms merged by iterative interleave refinement.
 
 Text that can repeat is routed by its winnowed anchors, so that all occurrences of a repeated window meet in one block
-(see `repeats`). A block's segments form shards. Each shard sorts its own suffixes once, by prefix doubling, and keeps
-its transform. The shards are then merged by interleave refinement: an array that says which shard each merged row
-comes from is refined by one stable counting sort a round, keyed by the transform's symbols; after h rounds rows are in
-order of their first h words, and rows where two h-word groups first part have common prefix h-1. No suffix is compared
-or sorted again. The groups left after `span` rounds are the intervals with common prefix of span or more: the repeated
-windows, of which all but the first in (doc_id, position) are duplicates.
+(see `repeats`). A block's regions, as stretches of text in which no word is taken twice, are segments, which form
+shards. Each shard sorts its own suffixes once, by prefix doubling, and keeps its transform. The shards are then merged
+by interleave refinement: an array that says which shard each merged row comes from is refined by one stable counting
+sort a round, keyed by the transform's symbols; after h rounds rows are in order of their first h words, and rows where
+two h-word groups first part have common prefix h-1. No suffix is compared or sorted again. The groups left after `span`
+rounds are the intervals with common prefix of span or more: the repeated windows, of which all but the first in
+(doc_id, position) are duplicates.
 
 Results, case by case: as for operator 1 (nulls, empty and short texts: no spans; a repeated row is one document; of
 equal passages the first in (doc_id, position) stays; an empty table: no rows; extra columns are ignored).
@@ -82,13 +83,20 @@ def merge(bwts: list[np.ndarray], n_ends: list[int], depth: int) -> tuple[np.nda
     edge[np.cumsum(tally[tally > 0])[:-1]] = True
     for h in range(1, depth + 1):
         order = np.argsort(b[rows], kind="stable")[q:]  # radix sort of 16 bits; the terminators' places are known
-        both = (rows.astype(np.int64) << 32 | np.cumsum(bound, dtype=np.int32))[order]
+        both = rows.astype(np.int64)  # row and group in one number, made in place: this is where most memory is held
+        both <<= 32
+        both |= np.cumsum(bound, dtype=np.int32)
+        both = both[order]
+        del order
         block = both.astype(np.int32)
         fresh = bound | edge
         fresh[q + 1 :] |= block[1:] != block[:-1]
+        del block
         parted = np.flatnonzero(fresh != bound)
         lcp[parted] = h - 1
-        new = np.concatenate([heads, ahead[both >> 32]])
+        both >>= 32
+        new = np.concatenate([heads, ahead[both]])
+        del both
         if not len(parted) and np.array_equal(new, rows):
             break  # all intervals are final
         rows, bound = new, fresh
@@ -97,7 +105,7 @@ def merge(bwts: list[np.ndarray], n_ends: list[int], depth: int) -> tuple[np.nda
 
 def repeated_windows(segments: list[np.ndarray], span: int, shard_words: int = SHARD_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Groups of equal span-word windows of the segments (arrays of word hashes): (group, segment, offset) arrays."""
-    bwts, ends_of, where, at = [], [], [], 0
+    bwts, ends_of, where, at, done = [], [], [], 0, 0
     while at < len(segments):
         stop, size = at, 0
         while stop < len(segments) and (size == 0 or size + len(segments[stop]) < shard_words):
@@ -113,39 +121,66 @@ def repeated_windows(segments: list[np.ndarray], span: int, shard_words: int = S
         sa = suffix_array(sym, ends)
         bwts.append(transform(sym, ends, sa))
         ends_of.append(len(part))
-        seg = np.repeat(np.arange(at, stop), lengths)
-        where.append((seg[sa], sa - np.repeat(ends - lengths + 1, lengths)[sa]))
-        at = stop
+        where.append((sa + done).astype(np.int32))
+        at, done = stop, done + size
     if not bwts:
         none = np.zeros(0, np.int64)
         return none, none, none
     rows, lcp = merge(bwts, ends_of, span)
-    seg, off = np.concatenate([x[0] for x in where])[rows], np.concatenate([x[1] for x in where])[rows]
-    group = np.cumsum(lcp < span)
-    alone = np.bincount(group, minlength=group[-1] + 1)[group] < 2
-    return group[~alone], seg[~alone], off[~alone]
+    head = lcp < span
+    some = np.flatnonzero(~(head & np.append(head[1:], True)))  # rows that share their group with another
+    group = np.cumsum(head, dtype=np.int32)[some]
+    place = np.concatenate(where)[rows[some]].astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in segments])])
+    seg = np.searchsorted(begin, place, "right") - 1
+    return group, seg, place - begin[seg]
+
+
+def stretches(block: repeats.Block) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words of each stretch of text that a block's regions cover without a gap, and its first region.
+
+    Anchors that stand close together have regions that overlap; their words are taken once. Windows of a stretch that
+    hold no anchor are compared as well: what is equal to an earlier one is repeated, whatever it was found by.
+    """
+    hi = block.lo + np.diff(block.begin)
+    order = np.lexsort((hi, block.lo, block.text))
+    text, lo, hi = block.text[order], block.lo[order], hi[order]
+    joined = np.append(False, (text[1:] == text[:-1]) & (lo[1:] <= hi[:-1]))
+    begin = block.begin[:-1][order]
+    begin[joined] += hi[:-1][joined[1:]] - lo[joined]  # without the words that the region before holds
+    parts = [block.words[a:b] for a, b in zip(begin, block.begin[1:][order])]
+    at = np.flatnonzero(~joined)
+    return order[at], [np.concatenate(parts[a:b]) for a, b in zip(at, np.append(at[1:], len(parts)))]
 
 
 def block_matches(block: repeats.Block, span: int) -> pa.RecordBatch | None:
     """The windows of a block that occur earlier."""
-    words, begin = block.words, block.begin
-    group, seg, off = repeated_windows([words[a:b] for a, b in zip(begin[:-1], begin[1:])], span)
+    first, parts = stretches(block)
+    group, seg, off = repeated_windows(parts, span)
     if not len(group):
         return None
     # 16-bit symbols can agree by chance: groups are told apart by the whole words too
-    weight, inverse = span_weights(len(words) + 1)
-    pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * weight[: len(words)], dtype=np.uint64)])
-    i = begin[seg] + off
-    check = (pre[i + span] - pre[i]) * inverse[i]
+    words = np.concatenate(parts)
+    i, check = np.concatenate([[0], np.cumsum([len(x) for x in parts])])[seg] + off, np.zeros(len(group), dtype=np.uint64)
+    for k, weight in enumerate(span_weights(span)[0]):
+        check += words[i + k] * weight
+    seg = first[seg]
     text = block.text[seg]
     lo = block.lo[seg] + off
     order = np.lexsort((lo, text, check, group))
-    group, check, text, lo, seg, off = (x[order] for x in (group, check, text, lo, seg, off))
+    group, check, text, lo, seg, off, i = (x[order] for x in (group, check, text, lo, seg, off, i))
     new = np.ones(len(group), dtype=bool)
     new[1:] = (group[1:] != group[:-1]) | (check[1:] != check[:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = np.flatnonzero((text != text[head]) | (lo != lo[head]))
-    return block.matches(seg[later], off[later], np.full(len(later), span), seg[head[later]], off[head[later]])
+    # windows that go on along one reference are one match; the next stretch's first window is span words further at least
+    later = later[np.argsort(i[later])]
+    ref = head[later]
+    new = np.ones(len(later) + 1, dtype=bool)
+    new[1:-1] = (np.diff(i[later]) != 1) | (np.diff(i[ref]) != 1)
+    at = np.flatnonzero(new)
+    later, ref = later[at[:-1]], ref[at[:-1]]
+    return block.matches(seg[later], off[later], np.diff(at) + (span - 1), seg[ref], off[ref])
 
 
 def duplicate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", span: int = repeats.SPAN, gram: int = repeats.GRAM, **options) -> DataFrame:  # noqa: ANN003

@@ -34,6 +34,7 @@ from graphloom.llm.text import Words, mix, pieces, winnow
 SPAN = 50
 GRAM = 16
 BLOCK_REGIONS = 50_000
+SLICE_ROWS = 500
 
 
 def texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -215,26 +216,29 @@ def in_blocks(segs: DataFrame, solve: Callable[[Block], pa.RecordBatch | None],
     id_type = segs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tables() -> Iterator[pa.Table]:
+        def blocks() -> Iterator[Block]:
             held: list[pa.RecordBatch] = []
             size, last = 0, None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (big.slice(k, SLICE_ROWS) for big in batches for k in range(0, big.num_rows, SLICE_ROWS)):
                 a = np.asarray(batch.column("anchor"))
                 if size >= block_words:  # ends before the last anchor that begins in this batch
                     stop = int(np.searchsorted(a, a[-1], "left")) if a[-1] != a[0] else 0
                     if stop or a[0] != last:
-                        yield pa.Table.from_batches([*held, batch.slice(0, stop)])
+                        table = pa.Table.from_batches([*held, batch.slice(0, stop)])
                         held, size, batch = [], 0, batch.slice(stop)
+                        block = Block(table, gram)
+                        del table  # the block has its own words
+                        yield block
+                        del block
                 held.append(batch)
                 size += batch.column("words").nbytes // 8
                 last = a[-1]
             if held:
-                yield pa.Table.from_batches(held)
+                yield Block(pa.Table.from_batches(held), gram)
 
-        for table in tables():
-            found = solve(Block(table, gram))
+        for block in blocks():
+            found = solve(block)
+            del block  # before the next one is made
             if found is not None and found.num_rows:
                 yield found
 

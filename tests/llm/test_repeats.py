@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -185,3 +186,47 @@ def test_a_third_of_all_rows_is_one_text(spark):
     for module in (rlz, bwt):
         got = module.duplicate_spans(spark.createDataFrame(docs, DOCS).repartition(6), salt_rows=100, block_regions=50).collect()
         assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == [(8 + i, 0, 70) for i in range(400)]
+
+
+def test_a_merge_holds_few_bytes_a_word():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(1, 2**63, 5000, dtype=np.uint64)
+    segs = [pool[(np.arange(84) + k) % 5000] for k in rng.integers(0, 5000, 4000)]
+    tracemalloc.start()
+    try:
+        bwt.repeated_windows(segs, 50, shard_words=100_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70 * 84 * len(segs)
+
+
+def test_blocks_are_not_larger_than_asked(spark):
+    """Arrow's batches hold 10,000 rows; a block of several anchors ends within them."""
+    words, asked = 80, 50_000
+    rows = [(k, k, 0, 0, 0, bytes(8 * words)) for k in range(20_000)]
+    segs = spark.createDataFrame(rows, "anchor long, doc_id long, digest long, pos int, lo int, words binary")
+
+    def sizes(block):
+        return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([len(block)], pa.int32()), pa.array([len(block.words)], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int32())], names=["doc_id", "digest", "lo", "hi", "ref_doc", "ref_lo"])
+
+    got = [(r["lo"], r["hi"]) for r in repeats.in_blocks(segs, sizes, 1, asked).collect()]
+    assert sum(n for n, _ in got) == len(rows)
+    assert max(n for _, n in got) <= asked + 2 * 500 * words
+
+
+def test_windows_along_one_reference_are_one_match():
+    w = np.arange(1, 31, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    table = pa.table({"anchor": pa.array([1, 1], pa.int64()), "doc_id": pa.array([1, 2], pa.int64()), "digest": pa.array([0, 0], pa.int64()), "pos": pa.array([9, 9], pa.int32()), "lo": pa.array([0, 0], pa.int32()), "words": pa.array([w.tobytes(), w[:20].tobytes()], pa.binary())})
+    got = bwt.block_matches(repeats.Block(table, GRAM), SPAN).to_pylist()
+    assert got == [{"doc_id": 2, "digest": 0, "lo": 0, "hi": 20, "ref_doc": 1, "ref_lo": 0}]
+
+
+def test_regions_that_overlap_are_compared_once():
+    """A text of one word has an anchor everywhere; each of its windows is given once."""
+    w = np.full(40, 7, dtype=np.uint64)
+    at = np.arange(40 - GRAM + 1)
+    lo, hi = np.maximum(0, at - (SPAN - GRAM)), np.minimum(40, at + SPAN)
+    table = pa.table({"anchor": pa.array([1] * len(at), pa.int64()), "doc_id": pa.array([1] * len(at), pa.int64()), "digest": pa.array([0] * len(at), pa.int64()), "pos": pa.array(at, pa.int32()), "lo": pa.array(lo, pa.int32()), "words": pa.array([w[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())})
+    got = bwt.block_matches(repeats.Block(table, GRAM), SPAN).to_pylist()
+    assert sorted((r["lo"], r["hi"], r["ref_lo"]) for r in got) == [(s, s + SPAN, 0) for s in range(1, 40 - SPAN + 1)]
