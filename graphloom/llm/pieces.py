@@ -16,7 +16,9 @@ A model that this can't be done for (another kind, no byte fallback, a normalise
 pieces, pieces across white space) raises an error.
 
 Shorter documents are split into units of a run of spaces and what follows it, which no piece of the model crosses;
-each distinct unit of a batch is encoded once by the library. Both ways give the ids that the library gives.
+each distinct unit of a batch is encoded once by the library, and a worker keeps the ids of `KNOWN` units at most between
+batches. Whatever Arrow's batches hold, about a megabyte of text is worked on at a time. Both ways give the ids that the
+library gives.
 
 Results, case by case: a null text has null ids; an empty text has none; null doc_ids are carried; repeated rows are
 encoded each; an empty table gives no rows; extra columns are ignored; texts of any length are encoded whole.
@@ -25,6 +27,7 @@ encoded each; an empty table gives no rows; extra columns are ignored; texts of
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -42,6 +45,9 @@ CHUNK_CHARS = 1 << 14
 MARK = "▁"
 NEVER = -np.inf
 FAN = 32
+KNOWN = 1 << 17  # units whose ids a worker keeps
+STEP_UNITS = 10_000
+STEP_IDS = 1 << 17
 UNIGRAM, BPE = 1, 2
 
 
@@ -101,7 +107,7 @@ class Model:
                 raw[i] = bytes([b])
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.raw_at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        self.known: dict[int, list[int]] = {}
+        self.known: dict[int, bytes] = {}  # of a unit's hash: its ids, 4 bytes each
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes_ids[b] for b in char.encode()]
@@ -162,18 +168,19 @@ def encode_column(m: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     v = np.where(within >= 0, _BYTE[data], np.uint64(0)) * weight[np.maximum(within, 0)]
     h = mix(np.add.reduceat(v, starts) + size.astype(np.uint64))
     distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    if len(m.known) > 1_000_000:
-        m.known.clear()
     labels = distinct.tolist()
     new = [i for i, x in enumerate(labels) if x not in m.known]
     raw = data.tobytes()
     texts = [raw[keys[first[i]] : ends[first[i]]].decode() for i in new]
     lone = [m.sp.piece_to_id(MARK)]
-    for i, t, ids in zip(new, texts, m.sp.encode(texts, num_threads=1) if texts else []):
-        m.known[labels[i]] = ids if t else lone
+    for k in range(0, len(new), STEP_UNITS):
+        for i, t, ids in zip(new[k : k + STEP_UNITS], texts[k : k + STEP_UNITS], m.sp.encode(texts[k : k + STEP_UNITS], num_threads=1)):
+            m.known[labels[i]] = array("i", ids if t else lone).tobytes()
     lists = [m.known[x] for x in labels]
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(sizes.sum()))
+    if len(m.known) > KNOWN:
+        m.known.clear()
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // 4
+    flat = np.frombuffer(b"".join(lists), dtype=np.int32)
     base = np.concatenate([[0], np.cumsum(sizes)])
     count = sizes[inverse]
     total = np.concatenate([[0], np.cumsum(count)])
@@ -185,7 +192,10 @@ def decode_flat(m: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     """UTF-8 bytes of all rows, and their offsets; the space before the first piece of a row is dropped."""
     size = (m.raw_at[1:] - m.raw_at[:-1])[ids]
     total = np.concatenate([[0], np.cumsum(size)])
-    out = m.raw[np.repeat(m.raw_at[ids] - total[:-1], size) + np.arange(total[-1])]
+    out = np.empty(int(total[-1]), dtype=np.uint8)
+    for k in range(0, len(ids), STEP_IDS):  # places in m.raw take 8 bytes for each byte of text
+        e = min(len(ids), k + STEP_IDS)
+        out[total[k] : total[e]] = m.raw[np.repeat(m.raw_at[ids[k:e]] - total[k:e], size[k:e]) + np.arange(total[k], total[e])]
     bounds = total[offsets]
     some = np.flatnonzero(np.diff(bounds) > 0)
     gone = bounds[:-1][some][out[bounds[:-1][some]] == 32]
@@ -358,13 +368,13 @@ def encode_giant(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
             yield Chunk(model(path), t, *x)
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for big in batches for part in pieces(big)):
             got = [c.transfer() for c in rows(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), batch.column("k"), pa.array([x.shape[1] for x in got], pa.int32()), pa.array([x.astype(np.float64).ravel().tolist() for x in got], pa.list_(pa.float64()))], names=["doc_id", "digest", "k", "width", "weights"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [c.ids(s, g) for c, s, g in zip(rows(batch), batch.column("start").to_pylist(), batch.column("goal").to_pylist())]
+        for batch in (part for big in batches for part in pieces(big)):
+            got = [np.array(c.ids(s, g), dtype=np.int32) for c, s, g in zip(rows(batch), batch.column("start").to_pylist(), batch.column("goal").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), batch.column("k"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "digest", "k", "part"])
 
     chunks = cut(docs.mapInArrow(spread, f"doc_id {id_type}, digest long, k int, text string, at long, a long, b long, end long").repartition("doc_id", "digest", "k"))
@@ -431,7 +441,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, giant_chars: int = GIANT_CHA
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in (part for big in batches for part in pieces(big)):
             col = batch.column("ids")
             yield finish(m, batch, np.asarray(col.flatten(), dtype=np.int32), np.concatenate([[0], np.cumsum(np.asarray(col.value_lengths(), dtype=np.int64))]))
 

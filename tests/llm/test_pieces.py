@@ -1,8 +1,10 @@
 import os
 import random
+import tracemalloc
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import pieces
@@ -114,3 +116,27 @@ def test_other_models_are_refused(tmp_path, change):
     path = reworked(lambda k, x: x.replace(old, new, 1) if k == which else x, tmp_path)
     with pytest.raises((ValueError, RuntimeError)):
         pieces.Model(path)
+
+
+def test_a_worker_keeps_few_units():
+    """Texts of ever new units: what is kept for later batches is bounded, and the ids are the library's all the same."""
+    m = pieces.Model(pieces.MODEL_PATH)
+    for k in range(20):
+        texts = [" ".join(f"u{k}x{i}x{j}" for j in range(100)) for i in range(100)]
+        ids, offsets = pieces.encode_column(m, pa.array(texts))
+        assert len(m.known) <= 1 << 17
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:3], offsets[1:4])] == [m.sp.encode(t) for t in texts[:3]]
+
+
+def test_decoding_holds_few_bytes_a_byte():
+    m = pieces.model(pieces.MODEL_PATH)
+    text = "the quick brown fox jumps over the lazy dog " * 1000
+    ids = np.array(m.sp.encode(text) * 100, dtype=np.int32)
+    tracemalloc.start()
+    try:
+        raw, bounds = pieces.decode_flat(m, ids, np.array([0, len(ids)]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert bounds[-1] == len(raw) > 4_000_000
+    assert peak < 14 * len(raw)
