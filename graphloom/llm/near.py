@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import skew
 from graphloom.llm.repeats import signed, texts
 from graphloom.llm.session import cut, documents
-from graphloom.llm.text import Words, mix, pieces
+from graphloom.llm.text import Words, mix, pieces, release
 
 SHINGLE = 3
 REGISTERS = 64
@@ -124,6 +124,7 @@ def sketches(docs: DataFrame, shingle: int, registers: int, rows: int) -> DataFr
                 flat = signed(np.ascontiguousarray(key[some]).ravel())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * n_bands), flat)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), signed(c[0][some]), signed(c[1][some]), bands], names=["doc_id", "c1", "c2", "bands"])
+            release()
 
     return docs.mapInArrow(scan, f"doc_id {id_type}, c1 long, c2 long, bands array<long>")
 
@@ -155,6 +156,7 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
                         found.append((i, max((similarity(x, own) for x in lead), default=0.0)))
                 at = pa.array([i for i, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("leader").take(at), batch.column("doc_id").take(at), pa.array([s for _, s in found], pa.float64())], names=["leader", "doc_id", "similarity"])
+            release()
 
     out = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "part").mapInArrow(run, f"leader {id_type}, doc_id {id_type}, similarity double")
     return out.groupBy("leader", "doc_id").agg(F.max("similarity").alias("similarity"))
@@ -235,6 +237,7 @@ def crowds(docs: DataFrame, members: DataFrame, top: DataFrame | None, threshold
                     if i == j or side == 0:
                         held.append((doc, label, bands, own))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.column("doc_id").type) for k in (0, 1)], names=["u", "v"])
+            release()
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, f"u {id_type}, v {id_type}")
 

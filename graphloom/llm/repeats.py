@@ -376,7 +376,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     joined = docs.join(marked, (docs["doc_id"] == F.col("__gl_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__gl_digest")), "left").drop("__gl_id", "__gl_digest")
 
     @F.pandas_udf("string")
-    def without(text, spans):  # noqa: ANN001, ANN202
+    def cut_text(text, spans):  # noqa: ANN001, ANN202
         out = text.copy()
         for i, (t, found) in enumerate(zip(text, spans)):
             if found is None or t is None:
@@ -390,6 +390,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out.iloc[i] = raw[~gone].tobytes().decode("utf-8")
         return out
 
+    # else the filter below is moved before it, and each text is cut twice, by twice as many Python workers, which stay
+    without = cut_text.asNondeterministic()
     changed = F.col("__gl_spans").isNotNull()
     out = joined.withColumn("__gl_text", F.when(changed, without("text", "__gl_spans")).otherwise(F.col("text")))
     cols = [F.col("__gl_text").alias("text") if c == "text" else F.when(changed, F.length("__gl_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from graphloom.llm import near
-from graphloom.llm.text import Words
+from graphloom.llm.text import Words, release
 
 DOCS = "doc_id long, text string"
 
@@ -135,3 +135,15 @@ def test_components_with_hubs(spark):
     want = {i: k for i, k in groups(edges, {x for e in edges for x in e}).items() if i != k}
     for salt_rows in (10, 10**6):
         assert {x["doc_id"]: x["keeper"] for x in near.components(spark.createDataFrame(edges, "u long, v long"), salt_rows).collect()} == want
+
+
+def test_freed_memory_is_given_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) >> 10
+
+    kept = [np.ones(8000) for _ in range(4000)]  # 244 MB, each too small to be mapped on its own
+    full, last = held(), kept[-1]
+    del kept
+    release()
+    assert full - held() > 200 and last.sum() == 8000

@@ -230,3 +230,11 @@ def test_regions_that_overlap_are_compared_once():
     table = pa.table({"anchor": pa.array([1] * len(at), pa.int64()), "doc_id": pa.array([1] * len(at), pa.int64()), "digest": pa.array([0] * len(at), pa.int64()), "pos": pa.array(at, pa.int32()), "lo": pa.array(lo, pa.int32()), "words": pa.array([w[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())})
     got = bwt.block_matches(repeats.Block(table, GRAM), SPAN).to_pylist()
     assert sorted((r["lo"], r["hi"], r["ref_lo"]) for r in got) == [(s, s + SPAN, 0) for s in range(1, 40 - SPAN + 1)]
+
+
+def test_each_text_is_cut_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, "a " + text), (3, text), (None, None)], DOCS)
+    got = rlz.remove_spans(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # two hold twice the Python workers
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, None), (1, text), (2, "a")]
