@@ -139,6 +139,17 @@ def test_communities(spark):
         K.create_clustering("magic")
 
 
+def test_communities_do_not_depend_on_blocks(spark):
+    """Each block sends its nodes' values on, once a block; many small blocks give what one gives."""
+    r = random.Random(5)
+    pairs = sorted({(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(150)} | {("hub", f"n{i}") for i in range(40)})
+    n, e = graph(spark, pairs)
+    rows = lambda df: {x["node_id"]: x["community"] for x in df.collect()}
+    one = rows(K.louvain(e))
+    assert rows(K.louvain(e, block_links=100)) == one and set(one) == {x for p in pairs if p[0] != p[1] for x in p}
+    assert K.louvain(e.limit(0)).count() == 0
+
+
 def test_report_arithmetic(spark):
     n = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate([("a", "P"), ("b", None), ("c", "P"), ("x", "Q")])], NODE)
     e = spark.createDataFrame([(0, "a", "influences", "b"), (1, "c", "owns", "a"), (2, "x", "owns", "a")], EDGE)
