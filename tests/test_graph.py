@@ -150,6 +150,14 @@ def test_communities_do_not_depend_on_blocks(spark):
     assert K.louvain(e.limit(0)).count() == 0
 
 
+def test_spectral_in_blocks(spark):
+    """Two groups without an edge between them; an end that is no node has no row."""
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(6) for j in range(i)] + [("a0", "lost")]
+    n, e = graph(spark, pairs)
+    part = {x["node_id"]: x["community"] for x in K.spectral(n.where("id <> 'lost'"), e, k=2, rounds=6, block_links=20).collect()}
+    assert set(part) == {f"{c}{i}" for c in "ab" for i in range(6)} and len(set(part.values())) <= 2
+
+
 def test_report_arithmetic(spark):
     n = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate([("a", "P"), ("b", None), ("c", "P"), ("x", "Q")])], NODE)
     e = spark.createDataFrame([(0, "a", "influences", "b"), (1, "c", "owns", "a"), (2, "x", "owns", "a")], EDGE)
