@@ -125,3 +125,19 @@ def test_metrics_are_zero_safe(spark):
     assert tuple(q) == (0.5, 0.5)
     f = M.failures(spark.createDataFrame([("a", 0.2, None), ("b", 0.0, 0.1)], "dataset string, violation double, precision double"))
     assert sorted((x["dataset"], x["failure"]) for x in f.collect()) == [("a", "entity boundary violations"), ("b", "low retrieval precision")]
+
+
+def test_scores_of_a_block_come_in_tiles():
+    """A block's scores are never in memory as a whole, and every query is answered under its own id."""
+    r = np.random.default_rng(3)
+    q, v, seen = r.normal(size=(300, 8)), r.normal(size=(500, 8)), []
+
+    def over(x, x_id, y, y_id):
+        seen.append(len(x))
+        i, j = np.nonzero(x @ y.T > 4)
+        return i, j, (x @ y.T)[i, j]
+
+    got = V._tiled(over, q, np.arange(300) + 1000, v, np.arange(500))
+    i, j = np.nonzero(q @ v.T > 4)
+    assert max(seen) <= V.TILE_ROWS < 300 and sum(seen) == 300
+    assert list(zip(got["query_id"], got["vec_id"], strict=True)) == list(zip((i + 1000).tolist(), j.tolist(), strict=True))
