@@ -171,6 +171,8 @@ def test_report_arithmetic(spark):
     assert k["summary"].endswith("The most common relationship type is 'influences'.")
     assert got["lone"]["themes"] == ["Q-centric", "loosely connected"] and got["lone"]["top_relationships"] is None
     assert "a (3)" in K.report_text(k)
+    few = {r["cluster_id"]: r.asDict(recursive=True) for r in K.reports(n, e, m, actors=False).collect()}  # the same without degrees
+    assert few == {c: x | {"top_actors": None} for c, x in got.items()}
     s = {r["cluster_id"]: r for r in K.summaries(n, e, m).collect()}
     assert s["k"]["name"] == "a_Community" and round(s["k"]["density"], 4) == 0.6667 and s["lone"]["density"] == 0.0
 
